@@ -151,27 +151,13 @@ def _margins(share: float) -> tuple[float, float]:
 def _moments(wide: DataFrame, ids: Sequence[str], probs: Sequence[float]):
     value = F.col("value")
     long = _long(wide, ids)
-    part = F.pmod(F.spark_partition_id(), F.lit(MERGE_FAN_IN)).alias("part")
-    n = F.col("n")
-    # Two levels, so that no task receives one state per input split.
-    summary = (
-        long.groupBy("column", part)
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.count(value).alias("n"),
-            F.avg(value).alias("avg"),
-            F.var_pop(value).alias("var"),
-            F.min(value).alias("lo"),
-            F.max(value).alias("hi"),
-        )
-        .groupBy("column")
-        .agg(
-            F.sum("rows").alias("rows"),
-            F.sum(n).alias("n"),
-            F.collect_list(F.struct("n", "avg", "var")).alias("parts"),
-            F.min("lo").alias("lo"),
-            F.max("hi").alias("hi"),
-        )
+    summary = long.groupBy("column").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count(value).alias("n"),
+        F.avg(value).alias("mean"),
+        F.var_pop(value).alias("var"),
+        F.min(value).alias("lo"),
+        F.max(value).alias("hi"),
     )
     points = sorted({q for p in probs for q in _margins(p)})
     if points:
@@ -188,25 +174,13 @@ def _moments(wide: DataFrame, ids: Sequence[str], probs: Sequence[float]):
         if r is None:  # no rows at all
             stats[x] = {"rows": 0, "n": 0, "mean": None, "m2": None, "lo": None, "hi": None}
             continue
-        mean, m2 = _combine([(p["n"], p["avg"], p["var"]) for p in r["parts"]])
-        stats[x] = {"rows": r["rows"], "n": r["n"], "mean": mean, "m2": m2, "lo": r["lo"], "hi": r["hi"]}
+        m2 = r["var"] * r["n"] if r["n"] else None
+        stats[x] = {"rows": r["rows"], "n": r["n"], "mean": r["mean"], "m2": m2, "lo": r["lo"], "hi": r["hi"]}
         if probs and r["n"]:
             hints[x] = set(r["cuts"])
     return stats, hints
 
 
-def _combine(parts: Iterable[tuple[int, float | None, float | None]]) -> tuple[float | None, float | None]:
-    """Mean and centred sum of squares of the union of parts."""
-    parts = [(n, avg, var * n) for n, avg, var in parts if n]
-    total = sum(n for n, _, _ in parts)
-    if not total:
-        return None, None
-    shift = parts[0][1]
-    mean = shift + sum(n * (avg - shift) for n, avg, _ in parts) / total
-    m2 = sum(m2 + n * (avg - mean) ** 2 for n, avg, m2 in parts)
-    return mean, m2
-
-
 def _select(wide: DataFrame, searches: dict[str, _Search], hints: dict[str, set[float]]) -> None:
     while any(s.open for s in searches.values()):
         _count_around(wide, searches, hints)

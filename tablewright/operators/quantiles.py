@@ -249,23 +249,28 @@ def _any(conditions: Iterable[Column]) -> Column:
 def _sort(wide: DataFrame, searches: dict[str, _Search], intervals: dict[str, list]) -> None:
     """Sort the values of short intervals; only the wanted ranks come back."""
     ids = list(intervals)
-    inside = [_any(_inside(F.col(x), iv) for iv in intervals[x]) for x in ids]
-    values = _long(wide.where(_any(inside)), ids, [F.when(c, F.col(x)) for x, c in zip(ids, inside)])
+    zones: dict[str, dict[int, tuple]] = {x: {} for x in ids}
+    for x in ids:
+        cuts = searches[x].cuts
+        for iv in intervals[x]:
+            zones[x][0 if iv[0] is None else 2 * (cuts.index(iv[0]) + 1)] = iv
+    # The zone expression is a CASE, which Spark compiles in small pieces.
+    kept = [F.when(_zone(F.col(x), searches[x].cuts).isin(*zones[x]), F.col(x)) for x in ids]
+    values = _long(wide, ids, kept)
     counted = values.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     # Intervals of a column do not overlap; each one is a window partition of its own.
     labelled, wanted, bases = None, [], {}
     for x in ids:
-        for k, iv in enumerate(intervals[x]):
-            here = (F.col("column") == x) & _inside(F.col("value"), iv)
-            labelled = F.when(here, k) if labelled is None else labelled.when(here, k)
+        here = F.col("column") == x
+        zone = _zone(F.col("value"), searches[x].cuts)
+        labelled = F.when(here, zone) if labelled is None else labelled.when(here, zone)
+        for k, iv in zones[x].items():
             first = searches[x].span(iv)[0]
             bases[(x, k)] = first
             for r in searches[x].open:
                 if searches[x].interval(r) == iv:
                     local = r - first
-                    wanted.append(
-                        (F.col("column") == x) & (F.col("k") == k) & (F.col("upto") > local) & (F.col("upto") - F.col("n") <= local)
-                    )
+                    wanted.append(here & (F.col("k") == k) & (F.col("upto") > local) & (F.col("upto") - F.col("n") <= local))
     order = Window.partitionBy("column", "k").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("k", labelled).withColumn("upto", F.sum("n").over(order))
     for row in ranked.where(_any(wanted)).collect():

@@ -65,14 +65,14 @@ NULL_TOKENS = (
     "null",
 )
 
-# Date spellings recognised by date detection, tried in this order.
+# Date spellings recognised by date detection: the shape of the text and its format.
 DATE_FORMATS = (
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss[.SSSSSS]",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy",
-    "dd-MMM-yyyy",
+    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
+    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{3}(\d{3})?)?$", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]"),
+    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3}(\d{3})?)?$", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]"),
+    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
+    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
+    (r"^\d{2}-[A-Za-z]{3}-\d{4}$", "dd-MMM-yyyy"),
 )
 
 SIZE_UNITS = ("B", "KB", "MB", "GB", "TB")

@@ -13,11 +13,19 @@ LONGEST_DATE_TEXT = 40
 
 
 def parse_date_text(c: Column) -> Column:
-    """The first format that fits, else NULL. Never raises, also under ANSI mode."""
+    """The date a text spells, else NULL. Never raises, also under ANSI mode.
+
+    A failed parse is an exception inside the JVM, so the shape of the text
+    decides which one format is tried.
+    """
     trimmed = F.trim(c)
-    parsed = F.coalesce(*[F.try_to_timestamp(trimmed, F.lit(fmt)) for fmt in DATE_FORMATS])
-    # No date is longer; whole documents are not worth six parse attempts.
-    return F.when(F.length(trimmed) <= LONGEST_DATE_TEXT, parsed)
+    # No date is longer; whole documents are not worth a look.
+    short = F.when(F.length(trimmed) <= LONGEST_DATE_TEXT, trimmed)
+    parsed = None
+    for shape, fmt in DATE_FORMATS:
+        hit, value = short.rlike(shape), F.try_to_timestamp(short, F.lit(fmt))
+        parsed = F.when(hit, value) if parsed is None else parsed.when(hit, value)
+    return parsed
 
 
 def parsed_date(df: DataFrame, name: str) -> Column:

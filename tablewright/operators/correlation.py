@@ -17,6 +17,7 @@ from tablewright.functions.values import as_double
 # beyond, matrix products per Arrow batch are cheaper (measured: 28 pairs as
 # aggregates generate code too large for the JIT compiler).
 AGGREGATE_MAX_COLUMNS = 3
+CENTRE_ROWS = 100
 
 _SCHEMA = "col_a string, col_b string, corr double"
 
@@ -86,12 +87,19 @@ def _by_aggregates(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return data.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
+def _middle(values: np.ndarray) -> float:
+    """A value from the middle of the finite ones, unaltered; 0 if there are none."""
+    finite = np.sort(values[np.isfinite(values)])
+    return float(finite[len(finite) // 2]) if len(finite) else 0.0
+
+
 def _by_products(df: DataFrame, names: Sequence[str]) -> DataFrame:
     k = len(names)
     data = df.select(*[as_double(df, n).alias(f"x{i}") for i, n in enumerate(names)])
-    # Values are taken relative to the column mean, so that the sums of squares
-    # keep their precision.
-    centre = np.array([v if v is not None else 0.0 for v in data.agg(*[F.avg(f"x{i}") for i in range(k)]).first()])
+    # Sums are taken relative to a typical value of each column, which keeps the
+    # digits of columns far from zero. Any centre gives the same coefficient.
+    some = data.limit(CENTRE_ROWS).toPandas().to_numpy(dtype=float).reshape(-1, k)
+    centre = np.array([_middle(some[:, i]) for i in range(k)])
     iu, ju = np.triu_indices(k, 1)
 
     def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

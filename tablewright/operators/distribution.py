@@ -39,11 +39,11 @@ def histograms(
         width = (hi - lo) / bins
         edges[n] = [lo + i * width for i in range(bins)] + [hi]
         x = as_double(df, n)
-        # Division can land next to the right bin; the edges decide.
-        guess = F.floor((x - F.lit(lo)) / F.lit(width)).cast("int")
-        guess = F.when(guess >= bins, bins - 1).when(guess < 0, 0).otherwise(guess)
-        left, right = F.lit(lo) + guess * F.lit(width), F.lit(lo) + (guess + 1) * F.lit(width)
-        bins_of.append(F.when(x < left, guess - 1).when((x >= right) & (guess < bins - 1), guess + 1).otherwise(guess))
+        # Compared with the edges themselves: dividing can land next to the right bin.
+        number = F.when(x < F.lit(edges[n][1]), 0)
+        for b in range(1, bins - 1):
+            number = number.when(x < F.lit(edges[n][b + 1]), b)
+        bins_of.append(number.when(x.isNotNull(), bins - 1))
     counted = value_counts(df, names, bins_of)
     # columns times bins rows, also for bins that stay empty
     frame = spark.createDataFrame(

@@ -23,6 +23,7 @@ from tablewright.functions.values import as_double, without_nan
 from tablewright.operators.correlation import correlation_pairs
 from tablewright.operators.lookup import left_lookup, mapping_bytes
 from tablewright.operators.target import Target
+from tablewright.session import together
 
 
 def date_parse_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -110,10 +111,12 @@ def add_value_encodings(
     if not columns:
         return df
     base = fit_on if fit_on is not None else df
-    sizes = mapping_bytes(base, columns)
-    totals = base.agg(
-        F.count(F.lit(1)).alias("rows"), *[F.count(without_nan(base, n)).alias(f"n{i}") for i, n in enumerate(columns)]
-    ).first()
+    counts = [F.count(without_nan(base, n)).alias(f"n{i}") for i, n in enumerate(columns)]
+    sizes, totals = together(
+        df.sparkSession,
+        lambda: mapping_bytes(base, columns),
+        lambda: base.agg(F.count(F.lit(1)).alias("rows"), *counts).first(),
+    )
     out = df
     for i, n in enumerate(columns):
         payload = []

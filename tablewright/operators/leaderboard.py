@@ -2,45 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.constants import REGRESSION
+from tablewright.operators.ranking import running_totals
 
 
-def _quality() -> list[Column]:
-    """Sort keys, best first. Classification: AUC, F1, accuracy; regression: R², RMSE."""
-    regression = F.col("problem_type") == REGRESSION
-    low, none = F.lit(-1.0), F.lit(float("-inf"))
-    return [
-        F.when(regression, F.coalesce("r2", none)).otherwise(F.coalesce("roc_auc", low)),
-        F.when(regression, F.coalesce(-F.col("rmse"), none)).otherwise(F.coalesce("f1", low)),
-        F.when(regression, F.lit(0.0)).otherwise(F.coalesce("accuracy", low)),
-    ]
+_LOWEST = float("-inf")
 
 
-def best_models(runs: DataFrame, results: DataFrame) -> DataFrame:
-    """Per run the name of its best model; the earlier result wins a tie.
+def _classification_quality() -> list[Column]:
+    """AUC, then F1, then accuracy; an absent metric counts as -1."""
+    return [F.coalesce(c, F.lit(-1.0)) for c in ("roc_auc", "f1", "accuracy")]
+
 
-    A run has a handful of results, and the maximum is combined on the map side,
-    so a run with very many results is no problem either.
+def _regression_quality() -> list[Column]:
+    """R², then the smaller RMSE; an absent metric ranks last."""
+    return [F.coalesce("r2", F.lit(_LOWEST)), F.coalesce(-F.col("rmse"), F.lit(_LOWEST)), F.lit(0.0)]
+
+
+def _per_run(results: DataFrame) -> DataFrame:
+    """Number of models and both possible winners per run, combined on the map side.
+
+    The join with the runs then meets one row per run, however many results a
+    run has. The earlier result wins a tie.
     """
-    joined = results.join(runs.select("run_id", "problem_type"), "run_id")
-    key = F.struct(*_quality(), -F.col("result_id"))
-    return joined.groupBy("run_id").agg(F.max_by("model_name", key).alias("best_model_name"))
+    first = -F.col("result_id")
+    return results.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("model_count"),
+        F.max_by("model_name", F.struct(*_classification_quality(), first)).alias("_classifier"),
+        F.max_by("model_name", F.struct(*_regression_quality(), first)).alias("_regressor"),
+    )
+
+
+def _winner() -> Column:
+    return F.when(F.col("problem_type") == REGRESSION, F.col("_regressor")).otherwise(F.col("_classifier"))
+
+
+def best_models(runs: DataFrame, results: DataFrame) -> DataFrame:
+    """Per run the name of its best model."""
+    joined = _per_run(results).join(runs.select("run_id", "problem_type"), "run_id")
+    return joined.select("run_id", _winner().alias("best_model_name"))
 
 
 def training_runs(runs: DataFrame, results: DataFrame, dataset_id: int | None = None) -> DataFrame:
     """Runs newest first with their number of models and best model; runs without results stay."""
     chosen = runs if dataset_id is None else runs.where(F.col("dataset_id") == dataset_id)
-    key = F.struct(*_quality(), -F.col("result_id"))
-    joined = results.join(chosen.select("run_id", "problem_type"), "run_id")
-    per_run = joined.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("model_count"), F.max_by("model_name", key).alias("best_model_name")
-    )
     return (
-        chosen.join(per_run, "run_id", "left")
-        .withColumn("model_count", F.coalesce("model_count", F.lit(0)))
+        chosen.join(_per_run(results), "run_id", "left")
+        .select(
+            *[F.col(c) for c in runs.columns],
+            F.coalesce("model_count", F.lit(0)).alias("model_count"),
+            _winner().alias("best_model_name"),
+        )
         .orderBy(F.col("created_at").desc(), F.col("run_id").desc())
     )
 
@@ -54,7 +69,13 @@ def run_results(results: DataFrame, run_id: int, model_name: str | None = None)
 
 
 def ranked_results(runs: DataFrame, results: DataFrame) -> DataFrame:
-    """Every result with its place within its run."""
-    joined = results.join(runs.select("run_id", "problem_type"), "run_id")
-    order = Window.partitionBy("run_id").orderBy(*[q.desc() for q in _quality()], F.col("result_id"))
-    return joined.withColumn("place", F.row_number().over(order))
+    """Every result with its place within its run, from a distributed running count."""
+    regression = F.col("problem_type") == REGRESSION
+    keys = [
+        (-F.when(regression, r).otherwise(c)).alias(f"_k{i}")
+        for i, (r, c) in enumerate(zip(_regression_quality(), _classification_quality()))
+    ]
+    joined = results.join(runs.select("run_id", "problem_type"), "run_id").select("*", *keys)
+    order = [f"_k{i}" for i in range(len(keys))] + ["result_id"]
+    placed = running_totals(joined, ["run_id"], order, {"place": F.lit(1)})
+    return placed.drop(*[f"_k{i}" for i in range(len(keys))]).withColumn("place", F.col("place").cast("int"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
+from functools import cached_property
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,7 @@ from tablewright.operators.lookup import ROW_OVERHEAD_BYTES, mapping_bytes
 from tablewright.operators.quantiles import numeric_summaries
 from tablewright.operators.split import Split, fit_split
 from tablewright.operators.target import Target
+from tablewright.session import together
 
 
 @dataclass(frozen=True)
@@ -136,13 +138,23 @@ class FittedPreprocessor:
         )
 
 
-def fit_preprocessor(train: DataFrame, numeric: Sequence[str], low: Sequence[str], high: Sequence[str]) -> FittedPreprocessor:
+def fit_preprocessor(
+    train: DataFrame, train_rows: int, numeric: Sequence[str], low: Sequence[str], high: Sequence[str]
+) -> FittedPreprocessor:
     """All statistics come from the training rows.
 
     Columns without a single training value cannot be filled or encoded and are
     reported in ``excluded``.
     """
-    summaries = numeric_summaries(train, list(numeric))
+    numeric, low, high = list(numeric), list(low), list(high)
+    # at most ten values per column come back for the one-hot columns
+    summaries, tallies, mode_of, sizes = together(
+        train.sparkSession,
+        lambda: numeric_summaries(train, numeric),
+        lambda: text_frequencies(train, low).collect() if low else [],
+        lambda: category_modes(train, high),
+        lambda: mapping_bytes(train, high),
+    )
     excluded = [n for n in numeric if not summaries[n].count]
     steps = []
     for n in numeric:
@@ -151,12 +163,8 @@ def fit_preprocessor(train: DataFrame, numeric: Sequence[str], low: Sequence[str
             steps.append(NumericStep(n, summaries[n].median, mean, scale))
 
     hot, seen = [], {}
-    if low:
-        # at most ten values per column
-        tallies = {}
-        for r in text_frequencies(train, list(low)).collect():
-            tallies.setdefault(r["column"], []).append((r["value"], r["count"]))
-        seen = tallies
+    for r in tallies:
+        seen.setdefault(r["column"], []).append((r["value"], r["count"]))
     for n in low:
         if n not in seen:
             excluded.append(n)
@@ -165,16 +173,12 @@ def fit_preprocessor(train: DataFrame, numeric: Sequence[str], low: Sequence[str
         hot.append(OneHotStep(n, fill, sorted(v for v, _ in seen[n])))
 
     ordinal, codes = [], {}
-    if high:
-        mode_of = category_modes(train, list(high))
-        sizes = mapping_bytes(train, list(high))
-        total = train.count()
-        for n in high:
-            if n not in mode_of:
-                excluded.append(n)
-                continue
-            codes[n] = ordinal_codes(train, n, rows_hint=sizes[n] // ROW_OVERHEAD_BYTES)
-            ordinal.append(OrdinalStep(n, mode_of[n], sizes[n], total))
+    for n in high:
+        if n not in mode_of:
+            excluded.append(n)
+            continue
+        codes[n] = ordinal_codes(train, n, rows_hint=sizes[n] // ROW_OVERHEAD_BYTES)
+        ordinal.append(OrdinalStep(n, mode_of[n], sizes[n], train_rows))
     return FittedPreprocessor(steps, hot, ordinal, codes, excluded)
 
 
@@ -203,7 +207,34 @@ class Preprocessed:
     preprocessor: FittedPreprocessor
     split: Split
     source: DataFrame
-    report: PreprocessingReport
+    target: Target
+    numeric: list[str]
+    low: dict[str, int]
+    high: list[str]
+
+    @cached_property
+    def report(self) -> PreprocessingReport:
+        """Computed when first asked for; fitting does not need it."""
+        df, names = self.source, [*self.numeric, *self.low, *self.high]
+        known = df.where(without_nan(df, self.target.name).isNotNull())
+        return PreprocessingReport(
+            target_column=self.target.name,
+            problem_type=self.target.problem_type,
+            feature_count_before=len(names),
+            feature_count_after=len(self.preprocessor.feature_names),
+            missing_values=missing_value_plan(df.select(*[column(n) for n in names])),
+            encoding=encoding_rows(df, self.low, self.high),
+            scaling_method="StandardScaler",
+            scaling_columns=[s.name for s in self.preprocessor.numeric],
+            outlier_method=f"Clip standardized values beyond +/-{OUTLIER_CLIP_STD} std",
+            outlier_clips=clip_counts(known, self.preprocessor.standardised(known)),
+            train_rows=self.split.train_rows,
+            test_rows=self.split.test_rows,
+            test_size=self.split.test_size,
+            stratified=self.split.stratified,
+            dropped_rows=self.split.dropped_rows,
+            excluded_columns=self.preprocessor.excluded,
+        )
 
     def features(self, part: str, keep: Sequence[str] = ()) -> DataFrame:
         """Clipped feature vectors of the ``train`` or ``test`` rows with the target."""
@@ -219,7 +250,7 @@ def preprocess(
     key: Sequence[str] | None = None,
     exclude: Sequence[str] = (),
 ) -> Preprocessed:
-    """Split, fit on the training rows, and report on the whole table.
+    """Split, then fit on the training rows; the report covers the whole table.
 
     ``exclude`` names columns that are neither target nor feature, such as row keys.
     """
@@ -227,30 +258,11 @@ def preprocess(
     usable = [f.name for f in df.schema.fields if is_numeric(f.dataType) or not _nested(f.dataType)]
     numeric = [n for n in numeric_columns(df, skip) if n in usable]
     categorical = [n for n in categorical_columns(df, skip) if n in usable]
-    low, high = cardinality_split(df, categorical)
-    split = fit_split(df, target, key)
-    fitted = fit_preprocessor(split.train(df), numeric, list(low), high)
-    known = df.where(without_nan(df, target.name).isNotNull())
-    features = df.select(*[column(n) for n in numeric + categorical])
-    report = PreprocessingReport(
-        target_column=target.name,
-        problem_type=target.problem_type,
-        feature_count_before=len(numeric) + len(categorical),
-        feature_count_after=len(fitted.feature_names),
-        missing_values=missing_value_plan(features),
-        encoding=encoding_rows(df, low, high),
-        scaling_method="StandardScaler",
-        scaling_columns=[s.name for s in fitted.numeric],
-        outlier_method=f"Clip standardized values beyond +/-{OUTLIER_CLIP_STD} std",
-        outlier_clips=clip_counts(known, fitted.standardised(known)),
-        train_rows=split.train_rows,
-        test_rows=split.test_rows,
-        test_size=split.test_size,
-        stratified=split.stratified,
-        dropped_rows=split.dropped_rows,
-        excluded_columns=fitted.excluded,
+    (low, high), split = together(
+        df.sparkSession, lambda: cardinality_split(df, categorical), lambda: fit_split(df, target, key)
     )
-    return Preprocessed(fitted, split, df, report)
+    fitted = fit_preprocessor(split.train(df), split.train_rows, numeric, list(low), high)
+    return Preprocessed(fitted, split, df, target, numeric, low, high)
 
 
 def _nested(dtype) -> bool:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,3 +56,10 @@ def materialise(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def together(spark: SparkSession, *jobs: Callable):
+    """Results of independent driver calls whose Spark jobs may run side by side."""
+    with ThreadPool(len(jobs)) as pool:
+        running = [pool.apply_async(inheritable_thread_target(spark)(job)) for job in jobs]
+        return [r.get() for r in running]

@@ -76,3 +76,12 @@ DATE_FORMATS = (
 )
 
 SIZE_UNITS = ("B", "KB", "MB", "GB", "TB")
+
+# Texts of reports and errors, read by users and front ends.
+SCALING_METHOD = "StandardScaler"
+OUTLIER_METHOD = f"Clip standardized values beyond +/-{OUTLIER_CLIP_STD} std"
+ERROR_NOT_CSV = "Only CSV files are supported"
+ERROR_NO_DATA = "CSV file contains no data"
+ERROR_NO_COLUMN = "Column '{}' does not exist in this dataset"
+ERROR_FEW_CLASSES = "Target column must have at least 2 distinct values"
+ERROR_MISSING_FIELDS = "Missing required fields: {}"

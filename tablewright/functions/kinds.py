@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablewright.constants import ERROR_MISSING_FIELDS, ERROR_NO_COLUMN
+
 
 def column(name: str) -> Column:
     """Reference a column by its exact name, dots and blanks included."""
@@ -46,12 +48,12 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> None:
     present = set(df.columns)
     absent = [n for n in names if n not in present]
     if absent:
-        raise ValueError(f"Missing required fields: {', '.join(absent)}")
+        raise ValueError(ERROR_MISSING_FIELDS.format(", ".join(absent)))
 
 
 def require_column(df: DataFrame, name: str) -> None:
     if name not in df.columns:
-        raise ValueError(f"Column '{name}' does not exist in this dataset")
+        raise ValueError(ERROR_NO_COLUMN.format(name))
 
 
 def select_expected(df: DataFrame, names: Sequence[str]) -> DataFrame:

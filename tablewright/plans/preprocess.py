@@ -11,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.constants import OUTLIER_CLIP_STD
+from tablewright.constants import OUTLIER_METHOD, SCALING_METHOD
 from tablewright.functions.kinds import (
     categorical_columns,
     column,
@@ -224,9 +224,9 @@ class Preprocessed:
             feature_count_after=len(self.preprocessor.feature_names),
             missing_values=missing_value_plan(df.select(*[column(n) for n in names])),
             encoding=encoding_rows(df, self.low, self.high),
-            scaling_method="StandardScaler",
+            scaling_method=SCALING_METHOD,
             scaling_columns=[s.name for s in self.preprocessor.numeric],
-            outlier_method=f"Clip standardized values beyond +/-{OUTLIER_CLIP_STD} std",
+            outlier_method=OUTLIER_METHOD,
             outlier_clips=clip_counts(known, self.preprocessor.standardised(known)),
             train_rows=self.split.train_rows,
             test_rows=self.split.test_rows,

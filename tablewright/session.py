@@ -39,9 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    fallback = os.path.join(tempfile.gettempdir(), f"tablewright-{os.getpid()}")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    return fallback
+    return os.path.join(tempfile.gettempdir(), f"tablewright-{os.getpid()}")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

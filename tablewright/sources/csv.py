@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.constants import ERROR_NO_DATA, ERROR_NOT_CSV
 from tablewright.functions.kinds import column
 from tablewright.functions.values import (
     null_token_to_null,
@@ -36,7 +37,7 @@ def read_text_csv(
     paths = [path] if isinstance(path, str) else list(path)
     for p in paths:
         if not _is_csv(p):
-            raise ValueError("Only CSV files are supported")
+            raise ValueError(ERROR_NOT_CSV)
     head = spark.read.options(**_BASE).option("multiLine", multiline).option("header", False).csv(paths)
     first = head.first() if head.columns else None
     if first is None:
@@ -55,7 +56,7 @@ def read_text_csv(
     if columns is not None:
         df = df.select(*[column(n) for n in columns])
     if df.isEmpty():
-        raise ValueError("CSV file contains no data")
+        raise ValueError(ERROR_NO_DATA)
     return df.select(*[null_token_to_null(column(n)).alias(n) for n in df.columns])
 
 

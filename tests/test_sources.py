@@ -88,6 +88,20 @@ def test_checkpoints_go_to_the_shared_folder(spark):
     assert materialise(spark.range(3)).count() == 3
 
 
+def test_no_local_folder_on_a_cluster():
+    class Fake:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Fake)
+    Fake.sparkContext.master = "local[2]"
+    assert "tablewright-" in shared_dir(Fake)
+
+
 def test_trend_sink_holds_back_open_days(spark, tmp_path):
     """Append mode emits a day once the watermark has passed it; a second run picks up where the first ended."""
     src, out, cp = (str(tmp_path / n) for n in ("src", "out", "cp"))

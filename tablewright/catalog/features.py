@@ -86,11 +86,22 @@ def drop_correlated(spark, sf_dir):
 
 
 def engineered(spark, sf_dir):
-    df = orders_gaps(spark, sf_dir).drop("o_custkey")
-    out, _ = engineer_features(df, Target("o_totalprice", REGRESSION), keep=["o_orderkey"])
-    cols = [c for c in out.columns if c not in ("o_orderkey",)]
-    numeric = {f.name for f in out.schema.fields if f.dataType.typeName() in ("double", "integer", "long")}
-    return out.select("o_orderkey", *[r(F.col(c).cast("double")).alias(c) if c in numeric else F.col(c) for c in cols])
+    """The whole chain over parts with a date.
+
+    Squares and products with the year are dropped as correlated; every other
+    pair is far from the limit, so the columns are the same at any scale.
+    """
+    parts = read(spark, sf_dir, "part").select(
+        "p_partkey",
+        "p_name",
+        F.nullif("p_brand", F.lit("Brand#7")).alias("p_brand"),
+        "p_size",
+        F.date_format(F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") * 9).cast("int")), "yyyy-MM-dd").alias("made"),
+        "p_retailprice",
+    )
+    out, _ = engineer_features(parts, Target("p_retailprice", REGRESSION), keep=["p_partkey"])
+    text = {"p_name", "p_brand"}
+    return out.select("p_partkey", *[F.col(c) if c in text else r(F.col(c).cast("double")).alias(c) for c in out.columns if c != "p_partkey"])
 
 
 QUERIES = {
@@ -159,12 +170,13 @@ SELECT doc_id, round(a.m, 6) AS lang_target_enc, round(b.m, 6) AS source_target_
  UNION ALL SELECT 'negative_discount', 'l_discount', ABS(corr(l_discount, negative_discount)) FROM t
  UNION ALL SELECT 'l_extendedprice', 'l_quantity', ABS(corr(l_quantity, l_extendedprice)) FROM t)
 SELECT dropped, kept, round(v, 4) AS correlation FROM c WHERE v > 0.95""",
-    "engineer_features": f"""WITH {ORDERS_GAPS_SQL},
- p AS (SELECT o_orderkey, o_orderstatus, o_orderpriority, o_totalprice, year(o_orderdate)::DOUBLE AS y, month(o_orderdate)::DOUBLE AS m, (isodow(o_orderdate) - 1)::DOUBLE AS w FROM gaps),
- a AS (SELECT o_orderpriority AS k, COUNT(*)::DOUBLE / (SELECT COUNT(o_orderpriority) FROM gaps) AS f, AVG(o_totalprice) AS e FROM gaps WHERE o_orderpriority IS NOT NULL GROUP BY 1),
- b AS (SELECT o_orderstatus AS k, COUNT(*)::DOUBLE / (SELECT COUNT(o_orderstatus) FROM gaps) AS f, AVG(o_totalprice) AS e FROM gaps GROUP BY 1)
-SELECT o_orderkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, o_orderpriority, y AS o_orderdate_year, m AS o_orderdate_month, w AS o_orderdate_weekday,
- m * w AS o_orderdate_month_x_o_orderdate_weekday,
- round(b.f, 6) AS o_orderstatus_freq, round(b.e, 6) AS o_orderstatus_target_enc, round(a.f, 6) AS o_orderpriority_freq, round(a.e, 6) AS o_orderpriority_target_enc
-FROM p LEFT JOIN a ON a.k = o_orderpriority LEFT JOIN b ON b.k = o_orderstatus""",
+    "engineer_features": """WITH p AS (SELECT p_partkey, p_name, NULLIF(p_brand, 'Brand#7') AS p_brand, p_size::DOUBLE AS p_size, p_retailprice,
+  CAST(DATE '1995-01-01' + CAST(p_partkey * 9 AS INTEGER) AS DATE) AS made FROM part),
+ d AS (SELECT *, year(made)::DOUBLE AS y, month(made)::DOUBLE AS m, (isodow(made) - 1)::DOUBLE AS w FROM p),
+ a AS (SELECT p_name AS k, COUNT(*)::DOUBLE / (SELECT COUNT(p_name) FROM p) AS f, AVG(p_retailprice) AS e FROM p WHERE p_name IS NOT NULL GROUP BY 1),
+ b AS (SELECT p_brand AS k, COUNT(*)::DOUBLE / (SELECT COUNT(p_brand) FROM p) AS f, AVG(p_retailprice) AS e FROM p WHERE p_brand IS NOT NULL GROUP BY 1)
+SELECT p_partkey, p_name, p_brand, p_size, round(p_retailprice, 6) AS p_retailprice, y AS made_year, m AS made_month, w AS made_weekday,
+ p_size * m AS p_size_x_made_month, p_size * w AS p_size_x_made_weekday, m * w AS made_month_x_made_weekday,
+ round(a.f, 6) AS p_name_freq, round(a.e, 6) AS p_name_target_enc, round(b.f, 6) AS p_brand_freq, round(b.e, 6) AS p_brand_target_enc
+FROM d LEFT JOIN a ON a.k = p_name LEFT JOIN b ON b.k = p_brand""",
 }

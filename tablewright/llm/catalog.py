@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import toxicity
+from tablewright.llm import neardup, toxicity
 from tablewright.llm.tables import fold, read
 
 
@@ -23,5 +23,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op5_toxicity": op5_toxicity}
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document over links at 0.8 of two-word shingles; one of each component is kept."""
+    found = neardup.near_duplicates(read(spark, sf_dir, "documents"), neardup.NearDupOptions(words=2))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"),
+    )
+
+
+QUERIES = {"op5_toxicity": op5_toxicity, "op7_near_duplicates": op7_near_duplicates}
 SQL: dict[str, str] = {}

@@ -8,8 +8,11 @@ probability of the Jaccard similarity for sets of any size.
 *Candidates.* Texts with equal shingle sets form a class at once. Classes that agree on a band of four registers
 (32 bands; a pair at 0.8 is missed with probability 5e-8) are candidates. In the first round every class is compared
 with the smallest class it shares a band with, so a group of n near copies costs n comparisons. After that only bands
-that still hold several components are looked at: all pairs of different components in small bands; in large ones a
-few centres against all others, round after round, until no pair of different components is left unseen.
+that still hold several components are looked at. Members outside the largest component of a band are compared with
+all members of other components where these pairs are few. In larger bands a few centres come first, then the
+members that are still apart (short texts around a common line, say) are grouped anew by their rarest shingles, so
+many of each text that two texts over the threshold share one. Should such a group be large as well, its outsiders
+are compared with all members in blocks of bounded size, which return links only.
 
 *Estimate and verification.* The share of agreeing registers, corrected for accidental collisions, drops pairs that lie
 more than five standard errors under the threshold. The rest is confirmed on the full shingle sets.
@@ -45,13 +48,14 @@ _MEMO = 1 << 20
 
 @dataclass(frozen=True)
 class NearDupOptions:
-    """``small_band`` only decides how pairs are visited, not which."""
+    """``group_pairs``, ``centres`` and ``block`` only decide in which order pairs are visited, not which."""
 
     words: int = 5
     percent: int = 80
     rows_per_band: int = 4
-    small_band: int = 128
-    centres: int = 16
+    group_pairs: int = 20_000
+    centres: int = 12
+    block: int = 256
 
 
 class WordHashes(dict):
@@ -134,12 +138,17 @@ def sketches(docs: DataFrame, options: NearDupOptions, id_col="doc_id", text_col
     return add_columns(rows, "n long, set_id binary, bands array<long>, regs binary", compute).drop("text")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, options: NearDupOptions, id_col: str, text_col: str) -> DataFrame:
-    """(id, shingles) of the documents in ``ids``: sorted 64-bit hashes."""
+def _sets(docs: DataFrame, ids: DataFrame, options: NearDupOptions, id_col: str, text_col: str, listed: bool = False) -> DataFrame:
+    """(id, shingles) of the documents in ``ids``: sorted 64-bit hashes, packed or as an array."""
     hashes = WordHashes()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(bounded_broadcast(ids, ids.count(), 16), "id", "left_semi")
-    out = add_columns(rows, "shingles binary", lambda b: [pa.array([shingle_set(t, options.words, hashes).tobytes() for t in texts(b, "text")], pa.binary())])
-    return out.drop("text")
+    kind, ddl = (pa.list_(pa.int64()), "array<long>") if listed else (pa.binary(), "binary")
+
+    def compute(batch):
+        sets = (shingle_set(t, options.words, hashes) for t in texts(batch, "text"))
+        return [pa.array([x.view(np.int64) if listed else x.tobytes() for x in sets], kind)]
+
+    return add_columns(rows, f"shingles {ddl}", compute).drop("text")
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, options: NearDupOptions) -> DataFrame:
@@ -178,6 +187,85 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, options: NearD
     return stored(add_columns(wide, "linked boolean", confirm).where("linked").select("a", "b"), "links")
 
 
+def _mixed_groups(keyed: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, id, n, keys, root, main, members, outsiders) of the groups that hold several components.
+
+    ``main`` marks the members of the group's largest component, ``outsiders`` counts the others.
+    """
+    labelled = keyed.join(roots, "id", "left").select(*keyed.columns, F.coalesce("root", "id").alias("root"))
+    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("members"))
+    mixed = largest.where("top.n < members").select("key", "members", F.col("top.root").alias("top"), (F.col("members") - F.col("top.n")).alias("outsiders"))
+    return labelled.join(mixed, "key").select(*keyed.columns, "root", (F.col("root") == F.col("top")).alias("main"), "members", "outsiders")
+
+
+def _across(some: DataFrame, others: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a > b) of members of one group that are in different components.
+
+    A pair that shares several groups is made in that of the smallest key only; sizes bound the similarity.
+    """
+    x = some.select("key", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("keys").alias("kx"))
+    y = others.select("key", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("keys").alias("ky"))
+    alike = (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
+    once = F.array_min(F.array_intersect("kx", "ky")) == x["key"]
+    both = x.join(y, (x["key"] == y["key"]) & (F.col("rx") != F.col("ry")) & alike & once)
+    return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+
+
+def _rare_shingles(docs: DataFrame, ids: DataFrame, options: NearDupOptions, id_col: str, text_col: str) -> DataFrame:
+    """(key, id, n, keys): the rarest shingles of each document, so many that two documents over the threshold share one (prefix filter)."""
+    sets = _sets(docs, stored(ids, "crowded"), options, id_col, text_col, listed=True)
+    each = stored(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key")), "shingles")
+    often = each.groupBy("key").agg(F.count("*").alias("c"))
+    ranked = each.join(often, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("s"))
+    prefix = (F.col("n") - F.ceil(F.col("n") * options.percent / 100) + 1).cast("int")
+    rare = F.filter(F.slice("s", 1, prefix), lambda t: t["c"] > 1)["key"]
+    return ranked.select("id", F.col("n").cast("long").alias("n"), rare.alias("keys")).select(F.explode("keys").alias("key"), "id", "n", "keys")
+
+
+def _block_links(docs: DataFrame, many: DataFrame, options: NearDupOptions, id_col: str, text_col: str) -> DataFrame:
+    """Links (a > b) between the outsiders of large groups and all their members, block against block, on full sets."""
+    sets = stored(_sets(docs, stored(many.select("id").distinct(), "crowded"), options, id_col, text_col), "sets")
+    rows = many.withColumn("earlier", F.filter("keys", lambda k: k < F.col("key"))).join(sets, "id")
+
+    def blocks(part: DataFrame, size: str) -> DataFrame:
+        block = F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / options.block).cast("long"))
+        return part.groupBy("key", block.alias("block")).agg(F.collect_list(F.struct("id", "root", "earlier", "shingles")).alias("rows")).drop("block")
+
+    both = blocks(rows.where("NOT main"), "outsiders").withColumnRenamed("rows", "x").join(blocks(rows, "members").withColumnRenamed("rows", "y"), "key")
+
+    def confirm(batches):
+        for batch in batches:
+            a, b = [], []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = x.as_py(), y.as_py()
+                ids, roots = (np.array([r[c] for r in y], np.int64) for c in ("id", "root"))
+                sets = [np.frombuffer(r["shingles"], np.uint64) for r in y]
+                size = np.array([len(v) for v in sets])
+                owner, pool = np.repeat(np.arange(len(y)), size), np.concatenate(sets)
+                key_owner = np.repeat(np.arange(len(y)), [len(r["earlier"]) for r in y])
+                key_pool = np.concatenate([np.array(r["earlier"], np.int64) for r in y])
+                for r in x:
+                    own = np.frombuffer(r["shingles"], np.uint64)
+                    common = np.bincount(owner[np.isin(pool, own)], minlength=len(y))
+                    before = np.bincount(key_owner[np.isin(key_pool, np.array(r["earlier"], np.int64))], minlength=len(y))
+                    linked = (100 * common >= options.percent * (size + len(own) - common)) & (roots != r["root"]) & (before == 0)
+                    a += np.maximum(ids[linked], r["id"]).tolist()
+                    b += np.minimum(ids[linked], r["id"]).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return both.mapInArrow(confirm, "a long, b long")
+
+
+def _relabelled(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after ``links`` between ids; only the components they join are worked on."""
+    named = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
+    ends = links.join(named, "a", "left").join(named.toDF("b", "rb"), "b", "left")
+    joined = stored(components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "joined").toDF("root", "top")
+    known = roots.join(joined, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    return known.union(joined.join(known.select(F.col("id").alias("root")), "root", "left_anti"))
+
+
 def near_duplicates(docs: DataFrame, options: NearDupOptions | None = None, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, n, component) of every row of ``docs``; component is the smallest id reachable over links."""
     o = options or NearDupOptions()
@@ -187,37 +275,32 @@ def near_duplicates(docs: DataFrame, options: NearDupOptions | None = None, id_c
     banded = classes.select("id", F.explode("bands").alias("key"))
     # band keys that at least two classes share
     shared = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("centre")).where("members > 1")
-    members = stored(banded.join(shared, "key"), "members")
+    members = stored(banded.select("key", "id").join(shared, "key"), "members")
     first = members.where("centre <> id").groupBy(F.col("id").alias("a")).agg(F.min("centre").alias("b"))
     links = _links(docs, classes, first, o, id_col, text_col)
     roots = stored(components(links), "roots")
-    members = members.select("key", "id")
-    turn = 0
-    while True:
-        turn += 1
-        labelled = members.join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-        mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("lo < hi").select("key", "members")
-        left = stored(labelled.join(mixed, "key"), "left")
-        size = left.agg(F.max("members")).first()[0]
-        if size is None:
+    keyed = members.select("key", "id").join(classes.select("id", "n", F.col("bands").alias("keys")), "id")
+    work = F.col("outsiders") * F.col("members")
+    for turn in range(3):
+        left = stored(_mixed_groups(keyed, roots), "left")
+        most = left.agg(F.max(work)).first()[0]
+        if most is None:
             break
-        left = left.withColumn("turn", F.xxhash64("id", F.lit(turn)))
-        few = left.where(F.col("members") <= o.small_band)
-        pairs = few.toDF("key", "a", "ra", "_m", "_t").join(few.select("key", F.col("id").alias("b"), F.col("root").alias("rb")), "key").where("ra < rb").select("a", "b")
-        many = left.where(F.col("members") > o.small_band)
-        if size > o.small_band:
-            # centres: the members with the smallest hashes, found by a cut that about `centres` members pass
-            cut = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(o.centres) / F.col("members"), F.lit(1.0))
-            centres = many.where(F.col("turn") < cut)
-            pairs = pairs.union(many.select("key", F.col("id").alias("a"), F.col("root").alias("ra")).join(centres.select("key", F.col("id").alias("b"), F.col("root").alias("rb")), "key").where("ra <> rb").select("a", "b"))
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        more = _links(docs, classes, pairs, o, id_col, text_col)
-        links = links.union(more)
-        roots = stored(components(links), "roots")
-        if size <= o.small_band:
+        few, many = left.where(work <= o.group_pairs), left.where(work > o.group_pairs)
+        pairs, crowded = _across(few.where("NOT main"), few, o.percent), most > o.group_pairs
+        if crowded and turn == 0:
+            # most outsiders of a large group are linked with one of a few members
+            draw = F.xxhash64("id", F.lit(turn)).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+            pairs = pairs.union(_across(many.where(draw < F.lit(o.centres) / F.col("members")), many, o.percent))
+            keyed = many.select(*keyed.columns)
+        elif crowded and turn == 1:
+            keyed = stored(_rare_shingles(docs, many.select("id").distinct(), o, id_col, text_col), "rare")
+        found = _links(docs, classes, pairs.distinct(), o, id_col, text_col)
+        if crowded and turn == 2:
+            found = found.union(stored(_block_links(docs, many, o, id_col, text_col), "links"))
+        roots = stored(_relabelled(roots, found), "roots")
+        if not crowded:
             break
-        # a centre has met all others of its band
-        members = stored(many.where(F.col("turn") >= cut).select("key", "id"), "members")
     classes = classes.join(roots, "id", "left").select("set_id", F.coalesce("root", "id").alias("root"))
     own = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     named = rows.select("id", "n", F.when(F.col("id").isNotNull(), F.col("set_id")).alias("set_id"))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, neardup, packing, toxicity
+from tablewright.llm import decontamination, lines, neardup, packing, quality, toxicity
 from tablewright.llm.tables import fold, read
 
 
@@ -84,10 +84,65 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every document and the verdict after removing the shared lines of its source."""
+    judged = quality.judge_quality(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_left", "base_failed", "kept")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that exceed the boilerplate ratio of its source."""
+    return lines.drop_boilerplate(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+def _lines_sql(min_docs: int, percent: float) -> str:
+    normal = rf"trim(regexp_replace(translate(l, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"
+    return rf"""
+docs AS (SELECT doc_id, coalesce(source, '') AS host, text FROM documents),
+lines AS (
+  SELECT doc_id, host, text, k, l, {normal} AS line
+  FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS k FROM docs)),
+shared AS (
+  SELECT host, line FROM lines WHERE line <> '' GROUP BY host, line
+  HAVING count(DISTINCT text) >= {min_docs}
+     AND count(DISTINCT text) * 100 >= {percent} * (SELECT count(DISTINCT text) FROM docs d WHERE d.host = lines.host)),
+marked AS (SELECT lines.*, shared.line IS NOT NULL AS dropped FROM lines LEFT JOIN shared USING (host, line))"""
+
+
+OP8_SQL = f"""
+WITH {_lines_sql(10, 2.0)}
+SELECT doc_id, source, CASE WHEN d.text IS NOT NULL THEN coalesce(m.text, '') END AS text,
+       CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_dropped, 0) AS INTEGER) AS n_dropped
+FROM documents d LEFT JOIN (
+  SELECT doc_id, string_agg(l, chr(10) ORDER BY k) FILTER (NOT dropped) AS text, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped
+  FROM marked GROUP BY doc_id) m USING (doc_id)
+"""
+
+OP4_SQL = rf"""
+WITH {_lines_sql(20, 1.0)},
+w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+twice AS (SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY doc_id),
+rest AS (
+  SELECT doc_id, sum(len(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))) FILTER (NOT dropped) AS n_left,
+         count(*) FILTER (line <> '') - count(DISTINCT l) FILTER (line <> '') AS dup
+  FROM marked GROUP BY doc_id),
+a AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_left, 0) AS BIGINT) AS n_left
+  FROM w LEFT JOIN repeats USING (doc_id) LEFT JOIN rest USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM a)
+SELECT *, NOT base_failed AND n_left * 100 >= n_words * 50 AND n_left >= 25 AS kept FROM b
+"""
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_line_dedup": op8_line_dedup,
 }
-SQL: dict[str, str] = {"op6_decontamination": OP6_SQL}
+SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_line_dedup": OP8_SQL}

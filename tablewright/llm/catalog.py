@@ -96,7 +96,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines_sql(min_docs: int, percent: float) -> str:
-    normal = rf"trim(regexp_replace(translate(l, '{UPPER}', '{LOWER}'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"
+    normal = "lower(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)))"
     return rf"""
 docs AS (SELECT doc_id, coalesce(source, '') AS host, text FROM documents),
 lines AS (

@@ -1,6 +1,6 @@
 """Lines that many documents of a host share, in DataFrame operations only.
 
-A line is compared in normalised form: A-Z lower-cased, runs of white space as one blank, trimmed. Blank lines are never
+A line is compared in normalised form: trimmed and lower-cased. Blank lines are never
 counted or dropped. Copies of a whole text count as one document, so a group of exact copies does not make its own lines
 look like boilerplate. A NULL host is the host with the empty name; a NULL text has no lines and stays NULL.
 
@@ -14,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.tables import ascii_lower, bounded_broadcast, stored
+from tablewright.llm.tables import bounded_broadcast, stored
 
+SPACE = " \t\n\x0b\x0c\r"
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
@@ -24,7 +25,7 @@ def line_array(text: Column) -> Column:
 
 
 def normal(line: Column) -> Column:
-    return F.btrim(F.regexp_replace(ascii_lower(line), BLANKS, " "), F.lit(" "))
+    return F.lower(F.btrim(line, F.lit(SPACE)))
 
 
 def line_hash(line: Column) -> Column:
@@ -32,12 +33,12 @@ def line_hash(line: Column) -> Column:
 
 
 def has_word(line: Column) -> Column:
-    return F.length(F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))) > 0
+    return F.length(F.btrim(line, F.lit(SPACE))) > 0
 
 
 def word_count(text: Column) -> Column:
     """Number of words between white space."""
-    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    trimmed = F.btrim(text, F.lit(SPACE))
     return F.when(F.length(trimmed) > 0, F.size(F.split(trimmed, BLANKS))).otherwise(0)
 
 
@@ -56,15 +57,17 @@ def _few(hosts: DataFrame) -> bool:
 
 
 def with_dropped(docs: DataFrame, min_docs: int, percent: float, host_col="source", text_col="text") -> DataFrame:
-    """``docs`` with ``kept_lines`` and ``n_lines`` (lines of the text before; both NULL for a NULL text)."""
+    """``docs`` with ``kept_lines``, ``dropped_lines`` and ``n_lines`` (lines of the text before); NULL for a NULL text."""
     shared = stored(shared_lines(docs, min_docs, percent, host_col, text_col), "lines")
     size = shared.agg(F.count("*").alias("hosts"), F.sum(F.size("dropped")).alias("lines")).first()
     # the dropped lines of all hosts are broadcast while their size is small, else both sides meet by host
     right = bounded_broadcast(shared.toDF("_host", "_dropped"), (size["hosts"] or 0) * 4 + (size["lines"] or 0), 16)
     joined = docs.join(right, F.coalesce(F.col(host_col), F.lit("")) == F.col("_host"), "left")
-    stays = lambda line: ~has_word(line) | F.col("_dropped").isNull() | ~F.array_contains("_dropped", line_hash(line))
+    goes = lambda line: F.array_contains("_dropped", line_hash(line)) & has_word(line)
     lines = line_array(F.col(text_col))
-    return joined.withColumns({"kept_lines": F.filter(lines, stays), "n_lines": F.size(lines)}).drop("_host", "_dropped")
+    kept = F.when(F.col("_dropped").isNull(), lines).otherwise(F.filter(lines, lambda line: ~goes(line)))
+    dropped = F.when(F.col("_dropped").isNotNull(), F.filter(lines, goes))
+    return joined.withColumns({"kept_lines": kept, "dropped_lines": dropped, "n_lines": F.size(lines)}).drop("_host", "_dropped")
 
 
 def drop_boilerplate(docs: DataFrame, min_pages: int = 10, percent: float = 2.0, host_col="source", text_col="text") -> DataFrame:
@@ -77,4 +80,4 @@ def drop_boilerplate(docs: DataFrame, min_pages: int = 10, percent: float = 2.0,
         text_col: F.when(F.col(text_col).isNotNull(), F.array_join("kept_lines", "\n")),
         "n_dropped": F.coalesce(F.col("n_lines") - F.size("kept_lines"), F.lit(0)),
         "n_lines": F.coalesce("n_lines", F.lit(0)),
-    }).drop("kept_lines")
+    }).drop("kept_lines", "dropped_lines")

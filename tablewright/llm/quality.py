@@ -12,10 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.lines import BLANKS, has_word, line_array, with_dropped, word_count
+from tablewright.llm.lines import BLANKS, SPACE, has_word, line_array, with_dropped, word_count
 
 SYMBOLS = "#*$%&|<>"
-_SPACE = " \t\n\x0b\x0c\r"
+#: Bits for the position of a window in its text.
+_BITS = 28
+_POSITION = (1 << _BITS) - 1
 
 
 def _at(array: str, k: Column) -> Column:
@@ -25,31 +27,37 @@ def _at(array: str, k: Column) -> Column:
 def text_statistics(docs: DataFrame, text_col="text") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words."""
     text = F.coalesce(text_col, F.lit(""))
-    solid = F.translate(text, _SPACE, "")
+    solid = F.translate(text, SPACE, "")
     filled = F.filter(line_array(text), has_word)
+    trimmed = F.btrim(text, F.lit(SPACE))
     out = docs.withColumns({
-        "_words": F.filter(F.split(text, BLANKS), lambda w: w != ""),
+        "_words": F.when(F.length(trimmed) > 0, F.split(trimmed, BLANKS)).otherwise(F.array().cast("array<string>")),
         "word_chars": F.length(solid).cast("long"),
         "n_symbols": (F.length(solid) - F.length(F.translate(solid, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size(filled) - F.size(F.array_distinct(filled))).cast("long"),
     })
-    # (hash, position) of every three-word window, sorted by hash
-    gram = lambda k: F.struct(F.xxhash64(_at("_words", k), _at("_words", k + 1), _at("_words", k + 2)).alias("h"), k.alias("k"))
-    grams = F.when(F.size("_words") >= 3, F.transform(F.sequence(F.lit(0), F.size("_words") - 3), gram))
-    out = out.withColumns({"n_words": F.size("_words").cast("long"), "_grams": F.array_sort(grams)})
+    # upper hash bits and position of every window in one number, sorted: windows that may be equal are neighbours
+    gram = lambda k: F.xxhash64(_at("_words", k), _at("_words", k + 1), _at("_words", k + 2))
+    packed = F.transform(F.sequence(F.lit(0), F.size("_words") - 3), lambda k: gram(k).bitwiseAND(F.lit(~_POSITION)).bitwiseOR(k.cast("long")))
+    out = out.withColumns({"n_words": F.size("_words").cast("long"), "_packed": F.when(F.size("_words") >= 3, F.sort_array(packed))})
+    near = lambda x, k: F.coalesce(F.shiftrightunsigned(x.bitwiseXOR(_at("_packed", k)), _BITS) == 0, F.lit(False))
+    maybe = F.filter("_packed", lambda x, k: near(x, k - 1) | near(x, k + 1))
+    # the few that are left are compared by their whole hash
+    whole = F.transform(maybe, lambda x: F.struct(gram(x.bitwiseAND(F.lit(_POSITION)).cast("int")).alias("h"), x.bitwiseAND(F.lit(_POSITION)).cast("int").alias("k")))
+    out = out.withColumn("_grams", F.sort_array(whole))
     same = lambda x, k: F.coalesce(_at("_grams", k)["h"] == x["h"], F.lit(False))
-    out = out.withColumn("_twice", F.array_sort(F.filter("_grams", lambda x, k: same(x, k - 1) | same(x, k + 1))["k"]))
+    out = out.withColumn("_twice", F.sort_array(F.filter("_grams", lambda x, k: same(x, k - 1) | same(x, k + 1))["k"]))
     reach = F.transform("_twice", lambda p, k: F.least(F.lit(3), F.coalesce(_at("_twice", k + 1) - p, F.lit(3))))
     out = out.withColumn("n_repeat_words", F.coalesce(F.aggregate(reach, F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long"))
-    return out.drop("_words", "_grams", "_twice")
+    return out.drop("_words", "_packed", "_grams", "_twice")
 
 
 def judge_quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20, line_percent: float = 1.0, min_left_percent: int = 50, min_left_words: int = 25, host_col="source", text_col="text") -> DataFrame:
-    """``docs`` with the statistics, base_failed, n_left (words outside shared lines), clean_text and kept."""
-    marked = with_dropped(docs, min_docs, line_percent, host_col, text_col).drop("n_lines")
+    """``docs`` with the statistics, base_failed, dropped_lines, n_left (words outside them) and kept."""
+    marked = with_dropped(docs, min_docs, line_percent, host_col, text_col).drop("kept_lines", "n_lines")
     judged = text_statistics(marked, text_col)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    left = F.coalesce(F.aggregate(F.transform("kept_lines", word_count), F.lit(0), lambda a, b: a + b), F.lit(0)).cast("long")
-    judged = judged.withColumns({"base_failed": failed, "n_left": left, "clean_text": F.array_join("kept_lines", "\n")})
+    gone = F.coalesce(F.aggregate(F.transform("dropped_lines", word_count), F.lit(0), lambda a, b: a + b), F.lit(0))
+    judged = judged.withColumns({"base_failed": failed, "n_left": F.col("n_words") - gone})
     enough = (F.col("n_left") * 100 >= F.col("n_words") * min_left_percent) & (F.col("n_left") >= min_left_words)
-    return judged.withColumn("kept", ~F.col("base_failed") & enough).drop("kept_lines")
+    return judged.withColumn("kept", ~F.col("base_failed") & enough)

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, lines, neardup, packing, quality, toxicity
+from tablewright.llm import decontamination, lines, neardup, packing, quality, secrets, toxicity, urls
 from tablewright.llm.tables import fold, read
 
 
@@ -137,12 +137,36 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT *, NOT base_failed AND n_left * 100 >= n_words * 50 AND n_left >= 25 AS kept FROM b
 """
 
+#: The rules of the url query.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the url of every page."""
+    return urls.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    options = secrets.SecretOptions()
+    found = secrets.find_secrets(docs, secrets.fit_markov(docs, options), options)
+    return found.select(
+        "doc_id",
+        *[secrets.kind_count("base", k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(secrets.written("base"), 256).alias("base_sha256"),
+        secrets.written("spans").alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_url_filter": op2_url_filter,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_line_dedup": op8_line_dedup,
+    "op9_secrets": op9_secrets,
 }
 SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_line_dedup": OP8_SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, lines, neardup, packing, quality, secrets, toxicity, urls
+from tablewright.llm import decontamination, language_model, lines, neardup, packing, quality, secrets, toxicity, urls
 from tablewright.llm.tables import fold, read
 
 
@@ -159,6 +159,20 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a model of the documents of six folds of seven."""
+    found, n = language_model.score_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 7) != 2)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(fold("id", 7) == 2, F.lit(False)).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(n).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
@@ -168,5 +182,6 @@ QUERIES = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_line_dedup": op8_line_dedup,
     "op9_secrets": op9_secrets,
+    "op10_language_model": op10_language_model,
 }
 SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_line_dedup": OP8_SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import decontamination, language_model, lines, neardup, packing, quality, secrets, toxicity, urls
+from tablewright.llm import archives, decontamination, language_model, lines, neardup, packing, quality, secrets, toxicity, urls
 from tablewright.llm.tables import fold, read
 
 
@@ -173,9 +173,16 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WARC records of every page, converted from legacy archives and read back."""
+    found = archives.convert_pages(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
+    "op3_archives": op3_archives,
     "op4_quality": op4_quality,
     "op5_toxicity": op5_toxicity,
     "op6_decontamination": op6_decontamination,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tablewright.session import scratch_path
 
+_FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Largest estimated size of a broadcast side; larger sides are joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
 
@@ -17,9 +18,15 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read again: computed once, whole after the loss of executors."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, label)
+    # the shuffle files of the write are of no use once it is done
+    before = spark.conf.get(_FILE_CLEANUP, None)
+    spark.conf.set(_FILE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_FILE_CLEANUP) if before is None else spark.conf.set(_FILE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def fold(doc_id: str | Column, k: int) -> Column:

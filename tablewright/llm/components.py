@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.tables import stored
+from tablewright.llm.tables import bounded_broadcast, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         seen = stamp
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(bounded_broadcast(low, 2 * stamp[0], 16), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        small = large.join(bounded_broadcast(low, 2 * stamp[0], 16), "a")
         now = stored(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "edges")

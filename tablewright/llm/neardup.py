@@ -54,7 +54,7 @@ class NearDupOptions:
     percent: int = 80
     rows_per_band: int = 4
     group_pairs: int = 20_000
-    centres: int = 12
+    centres: int = 6
     block: int = 256
 
 
@@ -199,6 +199,16 @@ def _mixed_groups(keyed: DataFrame, roots: DataFrame) -> DataFrame:
     return labelled.join(mixed, "key").select(*keyed.columns, "root", (F.col("root") == F.col("top")).alias("main"), "members", "outsiders")
 
 
+def _by_work(keyed: DataFrame, roots: DataFrame, options: NearDupOptions):
+    """The mixed groups with few pairs between components, those with many, and whether there are any of these; None without mixed groups."""
+    left = stored(_mixed_groups(keyed, roots), "left")
+    work = F.col("outsiders") * F.col("members")
+    most = left.agg(F.max(work)).first()[0]
+    if most is None:
+        return None, None, False
+    return left.where(work <= options.group_pairs), left.where(work > options.group_pairs), most > options.group_pairs
+
+
 def _across(some: DataFrame, others: DataFrame, percent: int) -> DataFrame:
     """Pairs (a > b) of members of one group that are in different components.
 
@@ -280,26 +290,26 @@ def near_duplicates(docs: DataFrame, options: NearDupOptions | None = None, id_c
     links = _links(docs, classes, first, o, id_col, text_col)
     roots = stored(components(links), "roots")
     keyed = members.select("key", "id").join(classes.select("id", "n", F.col("bands").alias("keys")), "id")
-    work = F.col("outsiders") * F.col("members")
-    for turn in range(3):
-        left = stored(_mixed_groups(keyed, roots), "left")
-        most = left.agg(F.max(work)).first()[0]
-        if most is None:
+    for turn in range(2):
+        few, many, crowded = _by_work(keyed, roots, o)
+        if few is None:
             break
-        few, many = left.where(work <= o.group_pairs), left.where(work > o.group_pairs)
-        pairs, crowded = _across(few.where("NOT main"), few, o.percent), most > o.group_pairs
+        pairs, block_links = _across(few.where("NOT main"), few, o.percent), None
         if crowded and turn == 0:
             # most outsiders of a large group are linked with one of a few members
-            draw = F.xxhash64("id", F.lit(turn)).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+            draw = F.xxhash64("id").cast("double") / F.lit(2.0**64) + F.lit(0.5)
             pairs = pairs.union(_across(many.where(draw < F.lit(o.centres) / F.col("members")), many, o.percent))
             keyed = many.select(*keyed.columns)
-        elif crowded and turn == 1:
-            keyed = stored(_rare_shingles(docs, many.select("id").distinct(), o, id_col, text_col), "rare")
+        elif crowded:
+            rare = stored(_rare_shingles(docs, many.select("id").distinct(), o, id_col, text_col), "rare")
+            few, many, crowded = _by_work(rare, roots, o)
+            if few is not None:
+                pairs = pairs.union(_across(few.where("NOT main"), few, o.percent))
+            if crowded:
+                block_links = stored(_block_links(docs, many, o, id_col, text_col), "links")
         found = _links(docs, classes, pairs.distinct(), o, id_col, text_col)
-        if crowded and turn == 2:
-            found = found.union(stored(_block_links(docs, many, o, id_col, text_col), "links"))
-        roots = stored(_relabelled(roots, found), "roots")
-        if not crowded:
+        roots = stored(_relabelled(roots, found if block_links is None else found.union(block_links)), "roots")
+        if turn == 0 and not crowded:
             break
     classes = classes.join(roots, "id", "left").select("set_id", F.coalesce("root", "id").alias("root"))
     own = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))

@@ -32,7 +32,7 @@ from tablewright.llm.arrow import texts
 from tablewright.llm.tables import stored
 
 END, START = b" end", b" start"  # words hold no blanks
-_MEMO = 1 << 20
+_MEMO = 1 << 17
 _ROW = "block long, shard int, kind string, a binary, b binary, c binary, d binary, e binary"
 _NAMES = [f.split()[0] for f in _ROW.split(", ")]
 _SCHEMA = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("kind", pa.string()), *[(x, pa.binary()) for x in "abcde"]])

@@ -43,7 +43,7 @@ MANTISSA_BITS = 10
 COLLISION = 0.169919487159739
 _MIX1, _MIX2, _STEP = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 _PROBES = np.argsort(np.random.default_rng(20).random((REGISTERS, REGISTERS)), axis=1)
-_MEMO = 1 << 20
+_MEMO = 1 << 17
 
 
 @dataclass(frozen=True)

@@ -33,7 +33,7 @@ from tablewright.llm.tables import stored
 # ASCII characters other than letters separate tokens.
 _SPLIT = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 STEMS = (5, 4)
-_MEMO = 1 << 20
+_MEMO = 1 << 17
 
 PASSAGES = "array<struct<first_token:int,last_token:int,score:double,e_value:double>>"
 

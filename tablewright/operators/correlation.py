@@ -2,23 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.kinds import numeric_columns
 from tablewright.functions.values import as_double
 
-# Up to this many columns every pair is three built-in aggregates in one plan;
-# beyond, matrix products per Arrow batch are cheaper (measured: 28 pairs as
-# aggregates generate code too large for the JIT compiler).
-AGGREGATE_MAX_COLUMNS = 3
-CENTRE_ROWS = 100
-
 _SCHEMA = "col_a string, col_b string, corr double"
 
 
@@ -27,9 +19,7 @@ def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> Da
     names = list(columns if columns is not None else numeric_columns(df))
     if len(names) < 2:
         return df.sparkSession.createDataFrame([], _SCHEMA)
-    if len(names) <= AGGREGATE_MAX_COLUMNS:
-        return _by_aggregates(df, names)
-    return _by_products(df, names)
+    return _by_pair(df, names)
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -62,78 +52,29 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str] | None = None) -> D
     return both.unionByName(diag)
 
 
-def _by_aggregates(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    data = df.select(*[as_double(df, n).alias(f"x{i}") for i, n in enumerate(names)])
-    aggs, rows = [], []
-    for i, j in combinations(range(len(names)), 2):
-        x, y = F.col(f"x{i}"), F.col(f"x{j}")
-        key = f"{i}_{j}"
-        aggs += [
-            F.regr_sxy(y, x).alias(f"sxy{key}"),
-            F.regr_sxx(y, x).alias(f"sxx{key}"),
-            F.regr_syy(y, x).alias(f"syy{key}"),
-        ]
-        spread = F.sqrt(F.col(f"sxx{key}")) * F.sqrt(F.col(f"syy{key}"))
-        r = F.try_divide(F.col(f"sxy{key}"), spread)
-        # greatest and least skip NULL, so an undefined coefficient is kept apart
-        bounded = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
-        rows.append(
-            F.struct(
-                F.lit(names[i]).alias("col_a"),
-                F.lit(names[j]).alias("col_b"),
-                F.when(r.isNotNull(), bounded).alias("corr"),
-            )
-        )
-    return data.agg(*aggs).select(F.inline(F.array(*rows)))
-
-
-def _middle(values: np.ndarray) -> float:
-    """A value from the middle of the finite ones, unaltered; 0 if there are none."""
-    finite = np.sort(values[np.isfinite(values)])
-    return float(finite[len(finite) // 2]) if len(finite) else 0.0
+def _by_pair(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Co-moments of every pair as one group each, combined on the map side.
 
-
-def _by_products(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    k = len(names)
+    The built-in aggregates keep mean and co-moment of the rows where both sides are present and merge them pairwise,
+    so columns far from zero keep their digits and a constant side has no spread at all.
+    """
     data = df.select(*[as_double(df, n).alias(f"x{i}") for i, n in enumerate(names)])
-    # Sums are taken relative to a typical value of each column, which keeps the
-    # digits of columns far from zero. Any centre gives the same coefficient.
-    some = data.limit(CENTRE_ROWS).toPandas().to_numpy(dtype=float).reshape(-1, k)
-    centre = np.array([_middle(some[:, i]) for i in range(k)])
-    iu, ju = np.triu_indices(k, 1)
-
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for pdf in batches:
-            x = pdf.to_numpy(dtype=float) - centre
-            m = ~np.isnan(x)
-            x = np.where(m, x, 0.0)
-            mf = m.astype(float)
-            sq = x * x
-            part = np.stack([mf.T @ mf, x.T @ mf, mf.T @ x, x.T @ x, sq.T @ mf, mf.T @ sq])
-            total = part if total is None else total + part
-        if total is not None:
-            t = total[:, iu, ju]
-            yield pd.DataFrame(
-                {"i": iu, "j": ju, "n": t[0], "sx": t[1], "sy": t[2], "sxy": t[3], "sxx": t[4], "syy": t[5]}
-            )
-
-    sums = data.mapInPandas(
-        products, "i int, j int, n double, sx double, sy double, sxy double, sxx double, syy double"
+    pairs = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"x{i}").alias("x"), F.col(f"x{j}").alias("y"))
+            for i, j in combinations(range(len(names)), 2)
+        ]
+    )
+    moments = data.select(F.inline(pairs)).groupBy("i", "j").agg(
+        F.regr_sxy("y", "x").alias("sxy"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy")
     )
-    # k*k/2 rows per task, combined on the map side
-    total = sums.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy", "sxx", "syy")])
-    n = F.col("n")
-    sxy = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
-    sxx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n)
-    syy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
-    # Rounding leaves a trace of variance in a constant column.
-    floor = F.lit(1e-14)
-    real = (sxx > floor * F.col("sxx")) & (syy > floor * F.col("syy"))
-    r = F.try_divide(sxy, F.sqrt(F.greatest(sxx, F.lit(0.0))) * F.sqrt(F.greatest(syy, F.lit(0.0))))
+    # every pair is listed, also where the table has no rows; k*k/2 rows on either side
+    listed = df.sparkSession.createDataFrame(list(combinations(range(len(names)), 2)), "i int, j int")
+    r = F.try_divide("sxy", F.sqrt("sxx") * F.sqrt("syy"))
     label = F.array(*[F.lit(x) for x in names])
-    return total.select(
+    return listed.join(F.broadcast(moments), ["i", "j"], "left").select(
         F.element_at(label, F.col("i") + 1).alias("col_a"),
         F.element_at(label, F.col("j") + 1).alias("col_b"),
-        F.when(real & r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("corr"),
+        # greatest and least skip NULL, so an undefined coefficient is kept apart
+        F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("corr"),
     )

@@ -107,9 +107,7 @@ def test_missing_and_shape_of_empty_frame(spark):
     }
 
 
-@pytest.mark.parametrize("limit", [3, 99])
-def test_correlation_like_pandas(spark, monkeypatch, limit):
-    monkeypatch.setattr(correlation, "AGGREGATE_MAX_COLUMNS", limit)
+def test_correlation_like_pandas(spark):
     n = 500
     pdf = pd.DataFrame({"a": RNG.normal(1e6, 1, n), "b": RNG.normal(size=n), "k": 3.7, "t": RNG.random(n)})
     pdf["c"] = pdf["a"] * -2 + RNG.normal(size=n)
@@ -125,6 +123,15 @@ def test_correlation_like_pandas(spark, monkeypatch, limit):
             assert v == pytest.approx(want.loc[a, b], abs=1e-9)
 
 
+@pytest.mark.parametrize("more", [0, 2])
+def test_correlation_of_a_column_that_starts_late_and_far_from_zero(spark, more):
+    a = F.when(F.col("id") >= 1000, F.col("id") % 100 + 1.7e9)
+    df = spark.range(0, 20_000, 1, 4).select(a.alias("a"), (2 * a + 1).alias("b"), *[F.rand(k).alias(f"r{k}") for k in range(more)])
+    got = {(r["col_a"], r["col_b"]): r["corr"] for r in correlation.correlation_pairs(df).collect()}
+    assert got["a", "b"] == pytest.approx(1.0, abs=1e-9) and len(got) == (2 + more) * (1 + more) // 2
+    assert [r["corr"] for r in correlation.correlation_pairs(df.limit(0)).collect()] == [None] * len(got)
+
+
 def test_correlation_needs_two_columns(spark):
     assert correlation.correlation_matrix(spark.createDataFrame([(1.0,)], "a double")).count() == 0
 

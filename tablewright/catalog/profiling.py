@@ -76,6 +76,12 @@ def correlation_few(spark, sf_dir):
     return rounded(correlation_matrix(df), 6, ["corr"])
 
 
+def correlation_far(spark, sf_dir):
+    a = F.when(F.col("l_orderkey") > 1000, F.col("l_orderkey") + 1.7e9)
+    df = read(spark, sf_dir, "lineitem").select(a.alias("a"), (2 * a + 1).alias("b"), "l_quantity", "l_extendedprice")
+    return rounded(correlation_matrix(df), 6, ["corr"])
+
+
 def histogram(spark, sf_dir):
     return histograms(lineitem_gaps(spark, sf_dir).select("l_quantity", "l_extendedprice", "l_discount", "l_suppkey"))
 
@@ -135,6 +141,7 @@ QUERIES = {
     "top_values": categorical_top,
     "correlation_matrix": correlation_wide,
     "correlation_few_columns": correlation_few,
+    "correlation_far_from_zero": correlation_far,
     "histogram": histogram,
     "boxplot": boxplot,
     "sample_rows": row_sample,
@@ -269,6 +276,10 @@ SELECT * FROM m WHERE missing_count > 0""",
     "correlation_matrix": f"WITH {LINEITEM_GAPS_SQL} {_corr_sql('gaps', LINEITEM_NUMERIC)}",
     "correlation_few_columns": f"""WITH p AS (SELECT p_size, CASE WHEN p_size > 3 THEN p_retailprice END AS price, 1.0::DOUBLE AS constant FROM part)
 {_corr_sql("p", ["p_size", "price", "constant"])}""",
+    "correlation_far_from_zero": f"""WITH f AS (
+ SELECT a, 2 * a + 1 AS b, l_quantity, l_extendedprice
+ FROM (SELECT CASE WHEN l_orderkey > 1000 THEN l_orderkey + 1.7e9::DOUBLE END AS a, l_quantity, l_extendedprice FROM lineitem))
+{_corr_sql("f", ["a", "b", "l_quantity", "l_extendedprice"])}""",
     "histogram": f"WITH {LINEITEM_GAPS_SQL} {_hist_sql('gaps', ['l_quantity', 'l_extendedprice', 'l_discount', 'l_suppkey'])}",
     "boxplot": f"WITH {LINEITEM_GAPS_SQL} {_box_sql('gaps', LINEITEM_NUMERIC)}",
     "sample_rows": """SELECT event_id, user_id, event_type, value, props FROM events

@@ -9,8 +9,6 @@ from pyspark.sql import types as T
 from tablewright.constants import DATE_FORMATS
 from tablewright.functions.kinds import column, is_temporal
 
-LONGEST_DATE_TEXT = 40
-
 
 def parse_date_text(c: Column) -> Column:
     """The date a text spells, else NULL. Never raises, also under ANSI mode.
@@ -18,12 +16,10 @@ def parse_date_text(c: Column) -> Column:
     A failed parse is an exception inside the JVM, so the shape of the text
     decides which one format is tried.
     """
-    trimmed = F.trim(c)
-    # No date is longer; whole documents are not worth a look.
-    short = F.when(F.length(trimmed) <= LONGEST_DATE_TEXT, trimmed)
+    text = F.trim(c)
     parsed = None
     for shape, fmt in DATE_FORMATS:
-        hit, value = short.rlike(shape), F.try_to_timestamp(short, F.lit(fmt))
+        hit, value = text.rlike(shape), F.try_to_timestamp(text, F.lit(fmt))
         parsed = F.when(hit, value) if parsed is None else parsed.when(hit, value)
     return parsed
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tablewright.llm.tables import bounded_broadcast, stored
@@ -15,15 +15,19 @@ def components(edges: DataFrame) -> DataFrame:
     is written to the shared folder. The number of rounds grows with the logarithm of the longest path.
     """
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    while True:
-        stamp = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if stamp == seen or stamp[0] == 0:
-            return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("root")).union(now.select("b", "b").distinct().join(now.select("a"), F.col("b") == F.col("a"), "left_anti").toDF("id", "root"))
-        seen = stamp
+    while (left := _unfinished(now))["inner"]:
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(bounded_broadcast(low, 2 * stamp[0], 16), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.join(bounded_broadcast(low, 2 * left["edges"], 16), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(bounded_broadcast(low, 2 * stamp[0], 16), "a")
+        small = large.join(bounded_broadcast(low, 2 * left["edges"], 16), "a")
         now = stored(small.select("a", F.col("m").alias("b")).union(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct(), "edges")
+    return now.toDF("id", "root").union(now.select("b", "b").distinct().toDF("id", "root"))
+
+
+def _unfinished(edges: DataFrame) -> Row:
+    """``edges``, their number, and ``inner``, the nodes that keep them from being stars: those with two smaller ends, or with a smaller and a larger one."""
+    ends = edges.select(F.col("a").alias("id"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(edges.select("b", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("id").agg(F.sum("down").alias("down"), F.sum("up").alias("up"))
+    inner = (F.col("down") > 1) | ((F.col("down") > 0) & (F.col("up") > 0))
+    return nodes.agg(F.coalesce(F.sum("down"), F.lit(0)).alias("edges"), F.count_if(inner).alias("inner")).first()

@@ -138,10 +138,10 @@ def sketches(docs: DataFrame, options: NearDupOptions, id_col="doc_id", text_col
     return add_columns(rows, "n long, set_id binary, bands array<long>, regs binary", compute).drop("text")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, options: NearDupOptions, id_col: str, text_col: str, listed: bool = False) -> DataFrame:
-    """(id, shingles) of the documents in ``ids``: sorted 64-bit hashes, packed or as an array."""
+def _sets(docs: DataFrame, ids: DataFrame, most: int, options: NearDupOptions, id_col: str, text_col: str, listed: bool = False) -> DataFrame:
+    """(id, shingles) of the documents in ``ids`` (``most`` rows at the most): sorted 64-bit hashes, packed or as an array."""
     hashes = WordHashes()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(bounded_broadcast(ids, ids.count(), 16), "id", "left_semi")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(bounded_broadcast(ids.distinct(), most, 16), "id", "left_semi")
     kind, ddl = (pa.list_(pa.int64()), "array<long>") if listed else (pa.binary(), "binary")
 
     def compute(batch):
@@ -172,8 +172,8 @@ def _plausible(pairs: DataFrame, classes: DataFrame, options: NearDupOptions) ->
 def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, options: NearDupOptions, id_col: str, text_col: str) -> DataFrame:
     """The pairs (a, b) confirmed on their full shingle sets."""
     pairs = stored(_plausible(pairs, classes, options), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = stored(_sets(docs, stored(ids, "ids"), options, id_col, text_col), "sets")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    sets = stored(_sets(docs, ids, 2 * pairs.count(), options, id_col, text_col), "sets")
     wide = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
 
     def confirm(batch):
@@ -224,7 +224,7 @@ def _across(some: DataFrame, others: DataFrame, percent: int) -> DataFrame:
 
 def _rare_shingles(docs: DataFrame, ids: DataFrame, options: NearDupOptions, id_col: str, text_col: str) -> DataFrame:
     """(key, id, n, keys): the rarest shingles of each document, so many that two documents over the threshold share one (prefix filter)."""
-    sets = _sets(docs, stored(ids, "crowded"), options, id_col, text_col, listed=True)
+    sets = _sets(docs, ids, ids.count(), options, id_col, text_col, listed=True)
     each = stored(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key")), "shingles")
     often = each.groupBy("key").agg(F.count("*").alias("c"))
     ranked = each.join(often, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("s"))
@@ -235,7 +235,7 @@ def _rare_shingles(docs: DataFrame, ids: DataFrame, options: NearDupOptions, id_
 
 def _block_links(docs: DataFrame, many: DataFrame, options: NearDupOptions, id_col: str, text_col: str) -> DataFrame:
     """Links (a > b) between the outsiders of large groups and all their members, block against block, on full sets."""
-    sets = stored(_sets(docs, stored(many.select("id").distinct(), "crowded"), options, id_col, text_col), "sets")
+    sets = stored(_sets(docs, many.select("id"), many.count(), options, id_col, text_col), "sets")
     rows = many.withColumn("earlier", F.filter("keys", lambda k: k < F.col("key"))).join(sets, "id")
 
     def blocks(part: DataFrame, size: str) -> DataFrame:
@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, options: NearDupOptions | None = None, id_c
             pairs = pairs.union(_across(many.where(draw < F.lit(o.centres) / F.col("members")), many, o.percent))
             keyed = many.select(*keyed.columns)
         elif crowded:
-            rare = stored(_rare_shingles(docs, many.select("id").distinct(), o, id_col, text_col), "rare")
+            rare = stored(_rare_shingles(docs, many.select("id"), o, id_col, text_col), "rare")
             few, many, crowded = _by_work(rare, roots, o)
             if few is not None:
                 pairs = pairs.union(_across(few.where("NOT main"), few, o.percent))

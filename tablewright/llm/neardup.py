@@ -233,6 +233,24 @@ def _rare_shingles(docs: DataFrame, ids: DataFrame, options: NearDupOptions, id_
     return ranked.select("id", F.col("n").cast("long").alias("n"), rare.alias("keys")).select(F.explode("keys").alias("key"), "id", "n", "keys")
 
 
+def _overlaps(sets: list[np.ndarray]):
+    """A function that counts, for an array of distinct values, how many of them each of ``sets`` holds; the sets are sorted once for all arrays."""
+    owner = np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+    values, place = np.unique(np.concatenate(sets), return_inverse=True)
+    found = np.zeros(len(values), bool)
+
+    def count(own: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(values, own)
+        inside = at < len(values)
+        hits = at[inside][values[at[inside]] == own[inside]]
+        found[hits] = True
+        out = np.bincount(owner[found[place]], minlength=len(sets))
+        found[hits] = False
+        return out
+
+    return count
+
+
 def _block_links(docs: DataFrame, many: DataFrame, options: NearDupOptions, id_col: str, text_col: str) -> DataFrame:
     """Links (a > b) between the outsiders of large groups and all their members, block against block, on full sets."""
     sets = stored(_sets(docs, many.select("id"), many.count(), options, id_col, text_col), "sets")
@@ -252,13 +270,10 @@ def _block_links(docs: DataFrame, many: DataFrame, options: NearDupOptions, id_c
                 ids, roots = (np.array([r[c] for r in y], np.int64) for c in ("id", "root"))
                 sets = [np.frombuffer(r["shingles"], np.uint64) for r in y]
                 size = np.array([len(v) for v in sets])
-                owner, pool = np.repeat(np.arange(len(y)), size), np.concatenate(sets)
-                key_owner = np.repeat(np.arange(len(y)), [len(r["earlier"]) for r in y])
-                key_pool = np.concatenate([np.array(r["earlier"], np.int64) for r in y])
+                in_sets, in_keys = _overlaps(sets), _overlaps([np.array(r["earlier"], np.int64) for r in y])
                 for r in x:
                     own = np.frombuffer(r["shingles"], np.uint64)
-                    common = np.bincount(owner[np.isin(pool, own)], minlength=len(y))
-                    before = np.bincount(key_owner[np.isin(key_pool, np.array(r["earlier"], np.int64))], minlength=len(y))
+                    common, before = in_sets(own), in_keys(np.array(r["earlier"], np.int64))
                     linked = (100 * common >= options.percent * (size + len(own) - common)) & (roots != r["root"]) & (before == 0)
                     a += np.maximum(ids[linked], r["id"]).tolist()
                     b += np.minimum(ids[linked], r["id"]).tolist()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from tablewright.llm.arrow import add_columns, texts
 from tablewright.llm.components import components
-from tablewright.llm.tables import bounded_broadcast, stored
+from tablewright.llm.tables import bounded_broadcast, few_tasks, stored
 
 BUCKET_BITS = 7
 REGISTERS = 1 << BUCKET_BITS
@@ -192,7 +192,7 @@ def _mixed_groups(keyed: DataFrame, roots: DataFrame) -> DataFrame:
 
     ``main`` marks the members of the group's largest component, ``outsiders`` counts the others.
     """
-    labelled = keyed.join(roots, "id", "left").select(*keyed.columns, F.coalesce("root", "id").alias("root"))
+    labelled = keyed.join(bounded_broadcast(roots, roots.count(), 16), "id", "left").select(*keyed.columns, F.coalesce("root", "id").alias("root"))
     sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("members"))
     mixed = largest.where("top.n < members").select("key", "members", F.col("top.root").alias("top"), (F.col("members") - F.col("top.n")).alias("outsiders"))
@@ -284,11 +284,16 @@ def _block_links(docs: DataFrame, many: DataFrame, options: NearDupOptions, id_c
 
 def _relabelled(roots: DataFrame, links: DataFrame) -> DataFrame:
     """``roots`` after ``links`` between ids; only the components they join are worked on."""
-    named = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
-    ends = links.join(named, "a", "left").join(named.toDF("b", "rb"), "b", "left")
-    joined = stored(components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "joined").toDF("root", "top")
-    known = roots.join(joined, "root", "left").select("id", F.coalesce("top", "root").alias("root"))
-    return known.union(joined.join(known.select(F.col("id").alias("root")), "root", "left_anti"))
+    most = links.count()
+    ids = links.select(F.col("a").alias("id")).union(links.select("b"))
+    # the linked ids that have a root already; the others are their own
+    named = stored(few_tasks(roots.join(bounded_broadcast(ids, 2 * most, 16), "id", "left_semi"), 2 * most), "named")
+    left, right = (bounded_broadcast(named.toDF(c, f"r{c}"), 2 * most, 16) for c in "ab")
+    ends = links.join(left, "a", "left").join(right, "b", "left")
+    joined = stored(few_tasks(components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")), most), 2 * most), "joined").toDF("root", "top")
+    known = roots.join(bounded_broadcast(joined, 2 * most, 16), "root", "left").select("id", F.coalesce("top", "root").alias("root"))
+    fresh = joined.join(bounded_broadcast(named.select("root"), 2 * most, 16), "root", "left_anti")
+    return known.union(fresh)
 
 
 def near_duplicates(docs: DataFrame, options: NearDupOptions | None = None, id_col="doc_id", text_col="text") -> DataFrame:
@@ -303,7 +308,7 @@ def near_duplicates(docs: DataFrame, options: NearDupOptions | None = None, id_c
     members = stored(banded.select("key", "id").join(shared, "key"), "members")
     first = members.where("centre <> id").groupBy(F.col("id").alias("a")).agg(F.min("centre").alias("b"))
     links = _links(docs, classes, first, o, id_col, text_col)
-    roots = stored(components(links), "roots")
+    roots = stored(components(links, links.count()), "roots")
     keyed = members.select("key", "id").join(classes.select("id", "n", F.col("bands").alias("keys")), "id")
     for turn in range(2):
         few, many, crowded = _by_work(keyed, roots, o)

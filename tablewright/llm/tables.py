@@ -10,6 +10,8 @@ from tablewright.session import scratch_path
 _FILE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Largest estimated size of a broadcast side; larger sides are joined by a shuffle.
 BROADCAST_BYTES = 48 << 20
+#: Narrow rows for which a task of its own is worth its start.
+ROWS_PER_TASK = 50_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,11 @@ def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of at most ``rows`` (counted) narrow rows in no more partitions than they fill, but at least eight."""
+    return df.coalesce(max(8, -(-rows // ROWS_PER_TASK)))
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased, nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -62,8 +62,8 @@ def ordinal_codes(df: DataFrame, name: str, rows_hint: int | None = None) -> Dat
     return ranked.select("key", (F.col("code") - 1).cast("bigint").alias("code"), "count")
 
 
-def apply_ordinal(df: DataFrame, name: str, codes: DataFrame, size_bytes: int, total_rows: int | None, out: str) -> DataFrame:
-    looked_up = left_lookup(df, name, codes, ["code"], size_bytes, "count", total_rows)
+def apply_ordinal(df: DataFrame, name: str, codes: DataFrame, size_bytes: int, total_rows: int | None, out: str, share: int = 1) -> DataFrame:
+    looked_up = left_lookup(df, name, codes, ["code"], size_bytes, "count", total_rows, share)
     return looked_up.withColumn(out, F.coalesce("code", F.lit(UNSEEN_CATEGORY_CODE)).cast("double")).drop("code")
 
 

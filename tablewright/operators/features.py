@@ -127,7 +127,7 @@ def add_value_encodings(
             payload.append(F.col("mean_y").alias(f"{n}_target_enc"))
         names = ([f"{n}_freq"] if frequency else []) + ([f"{n}_target_enc"] if y is not None else [])
         mapping = table.select("key", F.col("n").alias("_n"), *payload)
-        out = left_lookup(out, n, mapping, names, sizes[n], "_n", totals["rows"])
+        out = left_lookup(out, n, mapping, names, sizes[n], "_n", totals["rows"], len(columns))
     return out
 
 

@@ -39,31 +39,39 @@ def left_lookup(
     mapping: DataFrame,
     payload: Sequence[str],
     size_bytes: int,
-    count: str | None = None,
+    count: str,
     total_rows: int | None = None,
+    share: int = 1,
 ) -> DataFrame:
     """Add ``payload`` columns of ``mapping`` (keyed by ``key``) for the values of column ``name``.
 
-    Small mappings are broadcast. For a large one only the hot values are (at
-    most ``HOT_SHARE`` rows, found through their ``count``); rows they answer, and
-    rows without a value, never reach a shuffle. The rest meets the mapping in a
-    shuffled join where no value holds more than a thousandth of the rows.
+    Small mappings are broadcast; ``share`` lookups of one plan divide the
+    budget. Of a large one only the hot values are (at most ``HOT_SHARE`` rows,
+    found through their ``count``). All rows meet the mapping in one shuffled
+    join; those that are answered already, and those without a value, travel
+    under the number of their partition instead of their value, so that no
+    value holds more than a thousandth of the rows of a task.
     """
     keyed = df.withColumn("_key", without_nan(df, name))
-    if size_bytes <= BROADCAST_BYTES:
+    if size_bytes * share <= BROADCAST_BYTES:
         small = mapping.select(F.col("key").alias("_key"), *payload)
         return keyed.join(F.broadcast(small), "_key", "left").drop("_key")
-    if count is None or total_rows is None:
-        return keyed.join(mapping.select(F.col("key").alias("_key"), *payload), "_key", "left").drop("_key")
+    if total_rows is None:
+        total_rows = mapping.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
 
     values = F.struct(*[F.col(p) for p in payload])
     hot = mapping.where(F.col(count) * HOT_SHARE >= F.lit(total_rows)).select(
         F.col("key").alias("_key"), values.alias("_hot")
     )
-    first = keyed.join(F.broadcast(hot), "_key", "left")
+    cold = mapping.select(F.col("key").alias("_key"), F.lit(-1).alias("_salt"), values.alias("_cold"))
     settled = F.col("_hot").isNotNull() | F.col("_key").isNull()
-    kept = [column(c) for c in df.columns]
-    at_once = first.where(settled).select(*kept, *[F.col("_hot").getField(p).alias(p) for p in payload])
-    cold = mapping.select(F.col("key").alias("_key"), *payload)
-    shuffled = first.where(~settled).join(cold, "_key", "left").select(*kept, *payload)
-    return at_once.unionByName(shuffled)
+    spread = keyed.join(F.broadcast(hot), "_key", "left").select(
+        *[column(c) for c in df.columns],
+        "_hot",
+        F.when(~settled, F.col("_key")).alias("_key"),
+        F.when(settled, F.spark_partition_id()).otherwise(-1).alias("_salt"),
+    )
+    found = F.coalesce("_hot", "_cold")
+    return spread.join(cold, ["_key", "_salt"], "left").select(
+        *[column(c) for c in df.columns], *[found.getField(p).alias(p) for p in payload]
+    )

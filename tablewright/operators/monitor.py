@@ -87,17 +87,19 @@ def prediction_overview(log: DataFrame, project_id: int | None = None) -> DataFr
             F.count("avg_confidence").alias("conf_n"),
         )
     )
-    per_model = cells.groupBy("model_name").agg(
+    # one row per model (g = 1) and one per day (g = 2)
+    parts = cells.groupingSets([["model_name"], ["date"]], "model_name", "date").agg(
+        F.grouping_id().alias("g"),
         F.sum("rows").alias("rows"),
         F.min("first_id").alias("first_id"),
         F.sum("conf").alias("conf"),
         F.sum("conf_n").alias("conf_n"),
-        F.collect_set("date").alias("days"),
     )
-    key = F.struct(F.col("rows"), -F.col("first_id"))
-    return per_model.agg(
-        F.coalesce(F.sum("rows"), F.lit(0)).alias("total_predictions"),
+    of_model = lambda c: F.when(F.col("g") == 1, F.col(c))
+    key = F.when(F.col("g") == 1, F.struct(F.col("rows"), -F.col("first_id")))
+    return parts.agg(
+        F.coalesce(F.sum(of_model("rows")), F.lit(0)).alias("total_predictions"),
         F.max_by("model_name", key).alias("most_used_model"),
-        F.try_divide(F.sum("conf"), F.sum("conf_n")).alias("average_confidence"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("days")))).alias("days_active"),
+        F.try_divide(F.sum(of_model("conf")), F.sum(of_model("conf_n"))).alias("average_confidence"),
+        F.count_if((F.col("g") == 2) & F.col("date").isNotNull()).alias("days_active"),
     )

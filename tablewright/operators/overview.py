@@ -49,7 +49,8 @@ def missing_only(missing: DataFrame) -> DataFrame:
 def row_digest(df: DataFrame) -> list:
     """Two independent 64-bit hashes of a row; equal rows agree, NULLs and NaNs included.
 
-    Spark's hash skips NULLs, so the mask of NULL positions is hashed as well.
+    Spark's hash skips NULLs, so the mask of NULL positions is hashed as well, and
+    nested values are hashed as JSON text that keeps them.
     """
     values = []
     for f in df.schema.fields:
@@ -57,6 +58,8 @@ def row_digest(df: DataFrame) -> list:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             # -0.0 equals 0.0, and NaN counts as missing
             c = F.when(~F.isnan(c), c + F.lit(0.0))
+        elif isinstance(f.dataType, (T.ArrayType, T.StructType, T.MapType)):
+            c = F.to_json(c, {"ignoreNullFields": "false"})
         values.append(c)
     mask = F.concat(*[F.when(v.isNull(), "1").otherwise("0") for v in values])
     return [

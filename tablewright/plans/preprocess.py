@@ -96,7 +96,7 @@ class FittedPreprocessor:
         wide = df
         for i, s in enumerate(self.ordinal):
             wide = wide.withColumn(f"_o{i}", filled(without_nan(df, s.name), F.lit(s.fill).cast(df.schema[s.name].dataType)))
-            wide = apply_ordinal(wide, f"_o{i}", self.codes[s.name], s.size_bytes, s.total_rows, f"_c{i}")
+            wide = apply_ordinal(wide, f"_o{i}", self.codes[s.name], s.size_bytes, s.total_rows, f"_c{i}", len(self.codes))
         features: list[Column] = []
         for z in self.standardised(df).values():
             features.append(clipped(z) if clip else z)

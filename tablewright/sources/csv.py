@@ -32,7 +32,8 @@ def read_text_csv(
     ``path`` may be a file, a folder written by Spark, or a list; names must
     end in ``.csv``. Set ``multiline`` when quoted cells hold line breaks: such
     a file cannot be split, so write large data as many files. ``columns``
-    prunes the read.
+    prunes the read. Files whose header differs in names or order from the first
+    one are an error (not checked if a column has no name).
     """
     paths = [path] if isinstance(path, str) else list(path)
     for p in paths:
@@ -51,6 +52,7 @@ def read_text_csv(
         .option("multiLine", multiline)
         .option("header", True)
         .option("mode", "FAILFAST")
+        .option("enforceSchema", not all(names))
         .csv(paths, schema=", ".join(f"`{n.replace('`', '``')}` string" for n in (x or f"_c{i}" for i, x in enumerate(names))))
     )
     if columns is not None:

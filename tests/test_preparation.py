@@ -196,3 +196,19 @@ def test_date_columns(spark):
         "iso string, named string, num string, void string",
     )
     assert date_columns(df) == ["iso", "named"]
+
+
+def test_large_lookups_grow_linearly(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
+    rows = spark.range(400).select("id", *[F.when(F.col("id") % 3 > 0, F.col("id") % (50 + k)).alias(f"c{k}") for k in range(4)])
+    out = rows
+    for k in range(4):
+        mapping = rows.where(f"c{k} IS NOT NULL").groupBy(F.col(f"c{k}").alias("key")).agg(F.count("*").alias("n"), F.min("id").alias(f"m{k}"))
+        out = lookup.left_lookup(out, f"c{k}", mapping, [f"m{k}"], 1, "n")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Range (0, 400") <= 1 + 2 * 4
+    got = out.toPandas()
+    assert len(got) == 400
+    for k in range(4):
+        want = got.groupby(f"c{k}")["id"].transform("min")
+        assert got[f"m{k}"].equals(want.where(got[f"c{k}"].notna()))

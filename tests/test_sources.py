@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tablewright.functions.kinds import column_kinds, features_of, select_expected
 from tablewright.functions.values import normalised, payload_number, portable
 from tablewright.session import materialise, scratch_path, shared_dir
-from tablewright.sources.csv import read_csv
+from tablewright.sources.csv import read_csv, read_text_csv
 from tablewright.sources.sinks import write_csv
 from tablewright.streaming.trend import read_event_stream, start_trend_sink
 
@@ -118,3 +118,12 @@ def test_trend_sink_holds_back_open_days(spark, tmp_path):
     start_trend_sink(log(), out, cp).awaitTermination()
     got = {str(r["date"]): r["count"] for r in spark.read.schema("date date, count bigint").parquet(out).collect()}
     assert got == {"2024-01-01": 5, "2024-01-05": 7}
+
+
+def test_files_with_another_column_order_are_an_error(spark, tmp_path):
+    for name, text in (("a.csv", "x,y\n1,2\n"), ("b.csv", "y,x\n30,3\n")):
+        (tmp_path / name).write_text(text)
+    both = [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]
+    with pytest.raises(Exception, match="(?i)header"):
+        read_text_csv(spark, both).collect()
+    assert read_text_csv(spark, both[1:]).select("x").first()["x"] == "3"

@@ -203,3 +203,8 @@ def test_size_text():
     assert [size_text(v) for v in (0, 1023, 1024, 1536, 1024**2, 5 * 1024**4, 3 * 1024**5)] == [
         "0.0 B", "1023.0 B", "1.0 KB", "1.5 KB", "1.0 MB", "5.0 TB", "3072.0 TB"
     ]
+
+
+def test_duplicates_with_nulls_inside_arrays(spark):
+    df = spark.createDataFrame([([1, None],), ([1],), ([None, 1],), ([1],)], "a array<int>")
+    assert duplicate_count(df).first()[0] == duplicate_count(df, whole_rows=True).first()[0] == 1

@@ -17,10 +17,11 @@ from tablewright.operators.tree_shap import build_ensemble, shap_values
 from tablewright.plans.explain import explain_rows, shap_summary
 from tablewright.plans.model import ScoringModel, score
 from tablewright.plans.preprocess import preprocess
-from tablewright.plans.training import Boosting, SuiteOptions, judge, loggable_params, run_suite
+from tablewright.plans.training import RESULT_SCHEMA, Boosting, Suite, SuiteOptions, judge, loggable_params, run_suite
 from tablewright.plans.serve import score_batch
 from tablewright.session import scratch_path
 from tablewright.sources.sinks import LOG_SCHEMA, read_log
+from tests.conftest import SF
 
 TINY = SuiteOptions(trees=3, forest_depth=3, boosting={"gbt_fast": Boosting(2, 2, 0.3)}, max_iter=20)
 
@@ -250,3 +251,22 @@ def test_judge_regression_and_params(spark):
     from pyspark.ml.regression import LinearRegression
 
     assert "maxIter" in loggable_params(LinearRegression())
+
+
+@pytest.mark.parametrize("name", ["train_suite_binary", "train_suite_multiclass", "train_suite_regression"])
+def test_suite_queries_train_at_full_size_on_all_columns(spark, monkeypatch, name):
+    from tablewright.catalog import training
+
+    seen = {}
+
+    def run(prepared, target, options=SuiteOptions(), **_):
+        seen.update(options=options, columns=prepared.preprocessor.input_columns)
+        assert prepared.features("train").where("features IS NULL").count() == 0
+        empty = spark.createDataFrame([], RESULT_SCHEMA)
+        return Suite(empty, empty, {})
+
+    monkeypatch.setattr(training, "run_suite", run)
+    out = training.QUERIES[name](spark, SF)
+    many = ["c_name"] if name == "train_suite_binary" else ["o_orderdate", "o_custkey"]
+    assert seen["options"] == SuiteOptions() and set(many) <= set(seen["columns"])
+    assert "training_time_seconds" not in out.columns

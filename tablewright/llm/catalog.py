@@ -160,8 +160,9 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Log probability of every document under a model of the documents of six folds of seven."""
-    found, n = language_model.score_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), fold("doc_id", 7) != 2)
+    """Log probability of every document under a model of orders one to three of the documents of six folds of seven."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found, n = language_model.score_texts(docs, fold("doc_id", 7) != 2, language_model.ModelOptions(order=3))
     return found.select(
         F.col("id").alias("doc_id"),
         F.coalesce(fold("id", 7) == 2, F.lit(False)).alias("held_out"),

@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and a two-level n-gram trie in memory-mapped files, queried in arrays."""
+"""Elias-Fano sequences and an n-gram trie of two or three levels in memory-mapped files, queried in arrays."""
 
 from __future__ import annotations
 
@@ -22,7 +22,9 @@ class EliasFano:
         self.buckets = buckets
         # first element of each bucket, read from the unary part
         zeros = np.flatnonzero(np.unpackbits(self.upper, bitorder="little") == 0)[:buckets]
-        self.first = np.concatenate([[0], zeros - np.arange(len(zeros))])
+        self.first = np.zeros(len(zeros) + 1, np.int32 if n < 1 << 31 else np.int64)
+        np.subtract(zeros, np.arange(len(zeros)), out=zeros)
+        self.first[1:] = zeros
 
     @staticmethod
     def _mapped(folder: str, name: str, data: np.ndarray) -> np.ndarray:
@@ -50,7 +52,7 @@ class EliasFano:
     def successor(self, keys: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Index of the first element not under each key, within [begin, end) where given."""
         bucket = np.minimum((keys >> np.uint64(self.low_bits)).astype(np.int64), self.buckets - 1)
-        lo, hi = self.first[bucket], self.first[bucket + 1]
+        lo, hi = (self.first[bucket + k].astype(np.int64) for k in (0, 1))
         if begin is not None:
             lo, hi = np.maximum(lo, begin), np.minimum(hi, end)
         low, lo, hi = keys & np.uint64((1 << self.low_bits) - 1), lo.copy(), hi.copy()
@@ -76,30 +78,50 @@ class EliasFano:
 
     def at(self, index: np.ndarray) -> np.ndarray:
         """The elements themselves."""
-        bucket = np.searchsorted(self.first, index, "right") - 1
+        bucket = np.searchsorted(self.first, index.astype(self.first.dtype), "right") - 1
         return (bucket.astype(np.uint64) << np.uint64(self.low_bits)) | self.lows(index)
 
 
 class Trie:
-    """Contexts (64-bit), monotone pointers to their successors (32-bit, made monotone by the context's rank), one byte each."""
+    """Contexts (64-bit), monotone pointers to their successors (32-bit, made monotone by the context's rank), one byte each; a third level alike below each successor."""
 
-    def __init__(self, folder: str, context: np.ndarray, successor: np.ndarray, codes: np.ndarray):
-        """Arrays sorted by context and successor, without repeats."""
+    def __init__(self, folder: str, context: np.ndarray, successor: np.ndarray, codes: np.ndarray, third: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
+        """Arrays sorted by context and successor, without repeats; ``third``: index of the pair, successor and code, sorted alike."""
         start = np.flatnonzero(np.diff(context, prepend=context[:1] ^ np.uint64(1))) if len(context) else np.empty(0, np.int64)
         rank = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(context)))).astype(np.uint64)
         self.contexts = EliasFano(folder, "contexts", context[start], 1 << 64)
         self.pointers = EliasFano(folder, "pointers", np.append(start, len(context)).astype(np.uint64), len(context) + 1)
         self.successors = EliasFano(folder, "successors", (rank << np.uint64(32)) | successor, max(len(start), 1) << 32)
         self.codes = EliasFano._mapped(folder, "codes", codes)
-
-    def codes_of(self, context: np.ndarray, length: np.ndarray, successor: np.ndarray) -> np.ndarray:
-        """Code of each successor of each context (``length`` successors each), 0 where the trie has none."""
+        if third:
+            pair, successor, codes = third
+            begin = np.searchsorted(pair, np.arange(len(context) + 1, dtype=pair.dtype)).astype(np.uint64)
+            self.third_pointers = EliasFano(folder, "third_pointers", begin, len(pair) + 1)
+            self.third_successors = EliasFano(folder, "third_successors", (pair << np.uint64(32)) | successor, max(len(context), 1) << 32)
+            self.third_codes = EliasFano._mapped(folder, "third_codes", codes)
+
+    def pairs(self, context: np.ndarray, length: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Index of each successor of each context (``length`` successors each), -1 where the trie has none."""
         rank = self.contexts.find(context)
-        known = np.maximum(rank, 0)
-        begin, end = (self.pointers.at(known + k).astype(np.int64) for k in (0, 1)) if self.contexts.n else (known, known)
-        begin, end = np.where(rank >= 0, begin, 0), np.where(rank >= 0, end, 0)
-        each = lambda x: np.repeat(x, length)
-        at = self.successors.find((each(known).astype(np.uint64) << np.uint64(32)) | successor, each(begin), each(end))
-        out = np.zeros(len(at), np.uint8)
-        out[at >= 0] = self.codes[at[at >= 0]]
-        return out
+        return _below(self.pointers, self.successors, rank, length, successor)
+
+    def codes_of(self, pair: np.ndarray) -> np.ndarray:
+        return _codes(self.codes, pair)
+
+    def third_codes_of(self, pair: np.ndarray, length: np.ndarray, successor: np.ndarray) -> np.ndarray:
+        """Code of each successor of each pair, by the pair's index."""
+        return _codes(self.third_codes, _below(self.third_pointers, self.third_successors, pair, length, successor))
+
+
+def _below(pointers: EliasFano, successors: EliasFano, parent: np.ndarray, length: np.ndarray, successor: np.ndarray) -> np.ndarray:
+    known = np.maximum(parent, 0)
+    begin, end = (pointers.at(known + k).astype(np.int64) for k in (0, 1)) if pointers.n > 1 else (known, known)
+    begin, end = np.where(parent >= 0, begin, 0), np.where(parent >= 0, end, 0)
+    each = lambda x: np.repeat(x, length)
+    return successors.find((each(known).astype(np.uint64) << np.uint64(32)) | successor, each(begin), each(end))
+
+
+def _codes(codes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(at), np.uint8)
+    out[at >= 0] = codes[at[at >= 0]]
+    return out

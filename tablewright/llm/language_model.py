@@ -12,6 +12,11 @@ of two above the smallest one. A query finds the context, then its successor rel
 conditional probability is smoothed towards the token's own: P(b|a) = (c12 + m P(b)) / (c(a) + m), P(b) = (c(b)+1)/(N+V+1).
 A text's first token has the start of text as context, which occurs once per training text.
 
+With ``order`` 3 a third level hangs below the pairs: the tokens that follow a pair, found by the pair's place in its
+shard, where they are sent with it. P(c|a,b) = (c123 + m P(c|b)) / (c12 + m), so an unseen pair backs off to P(c|b). The
+pair's count is the byte of its level. A text's first token has no pair before it. A frequent word's pairs bring all that
+follows them, so they are spread over a sixteenth of the shards where there are many.
+
 NULL texts are empty: their only token is the end. A NULL id is allowed; such rows are not used for training. Repeated
 rows count and are scored one by one. An empty table gives an empty result.
 """
@@ -19,7 +24,7 @@ rows count and are scored one by one. An empty table gives an empty result.
 from __future__ import annotations
 
 import tempfile
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +38,10 @@ from tablewright.llm.tables import stored
 
 END, START = b" end", b" start"  # words hold no blanks
 _MEMO = 1 << 17
-_ROW = "block long, shard int, kind string, a binary, b binary, c binary, d binary, e binary"
+_SENT = 4 << 20  # bytes of rows that are handed on at once
+_ROW = "block long, shard int, kind string, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
 _NAMES = [f.split()[0] for f in _ROW.split(", ")]
-_SCHEMA = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("kind", pa.string()), *[(x, pa.binary()) for x in "abcde"]])
+_SCHEMA = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("kind", pa.string()), *[(x, pa.binary()) for x in "abcdefg"]])
 
 
 @dataclass(frozen=True)
@@ -46,6 +52,7 @@ class ModelOptions:
     block_tokens: int = 2_000_000
     shard_chars: int = 32_000_000
     spread: int = 4
+    order: int = 2
 
 
 class _Hashes(dict):
@@ -70,6 +77,16 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SCHEMA)], names=_NAMES)
 
 
+def _rows(table: pa.Table | pa.RecordBatch) -> list[dict]:
+    """Rows with their binary fields as buffers, not copies."""
+    value = lambda v: v.as_buffer() if isinstance(v, pa.BinaryScalar) and v.is_valid and not isinstance(v, pa.StringScalar) else v.as_py()
+    return [dict(zip(_NAMES, map(value, fields))) for fields in zip(*(table.column(c) for c in _NAMES))]
+
+
+def _stable(shard: np.ndarray) -> np.ndarray:
+    return np.argsort(shard, kind="stable").astype(np.int32)
+
+
 def _blocks(rows: DataFrame, options: ModelOptions) -> DataFrame:
     """One row per block: ids, NULL ids and training marks (a: int64, b: 2 bytes a text), tokens per text (c), tokens as ranks (d) among the sorted distinct hashes (e)."""
 
@@ -80,7 +97,7 @@ def _blocks(rows: DataFrame, options: ModelOptions) -> DataFrame:
         def block():
             flat = np.concatenate(words)
             distinct, rank = np.unique(flat, return_inverse=True)
-            row = ((part << 32) + number, None, "texts", np.array(ids, np.int64).tobytes(), np.array(marks, np.uint8).tobytes(), np.array(sizes, np.int64).tobytes(), rank.astype(np.uint32).tobytes(), distinct.tobytes())
+            row = ((part << 32) + number, None, "texts", np.array(ids, np.int64).tobytes(), np.array(marks, np.uint8).tobytes(), np.array(sizes, np.int64).tobytes(), rank.astype(np.uint32).tobytes(), distinct.tobytes(), None, None)
             for x in (ids, marks, sizes, words):
                 x.clear()
             return _table([row])
@@ -101,10 +118,15 @@ def _blocks(rows: DataFrame, options: ModelOptions) -> DataFrame:
     return rows.mapInArrow(run, _ROW)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, at = np.unique(keys, return_inverse=True)
+    return distinct, at.astype(np.int32)
+
+
 class _Block:
-    """A block with its distinct tokens and token pairs, in the order in which shards are asked."""
+    """A block with its distinct tokens, token pairs and, at order 3, triples, in the order in which shards are asked."""
 
-    def __init__(self, row: dict, shards: int, spread: int):
+    def __init__(self, row: dict, shards: int, options: ModelOptions):
         self.ids, self.marks = np.frombuffer(row["a"], np.int64), np.frombuffer(row["b"], np.uint8).reshape(-1, 2).astype(bool)
         self.sizes, self.rank, self.hashes = np.frombuffer(row["c"], np.int64), np.frombuffer(row["d"], np.uint32).astype(np.int64), np.frombuffer(row["e"], np.uint64)
         self.first = np.cumsum(self.sizes) - self.sizes
@@ -114,40 +136,67 @@ class _Block:
         before[1:] = self.rank[:-1]
         before[self.first] = n  # the start of text
         self.before = before
-        self.pairs, self.pair_of = np.unique(before * (n + 1) + self.rank, return_inverse=True)
-        context, successor = np.divmod(self.pairs, n + 1)
+        pairs, self.pair_of = _distinct(before * (n + 1) + self.rank)
+        self.n_pairs = len(pairs)
+        context, successor = np.divmod(pairs, n + 1)
         self.context = np.append(self.hashes, np.uint64(xxhash.xxh3_64_intdigest(START)))[context]
-        self.successor = _mixed(self.hashes[successor]) >> np.uint64(32)
+        self.successor = self.successor_hash(successor)
         mixed = _mixed(self.context) >> np.uint64(32)
-        self.pair_shard = ((mixed + self.successor % np.uint64(spread)) % np.uint64(shards)).astype(np.int64)
-        self.token_shard = ((_mixed(self.hashes) >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
+        self.pair_shard = ((mixed + self.successor % np.uint64(options.spread)) % np.uint64(shards)).astype(np.int32)
+        self.token_shard = ((_mixed(self.hashes) >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
         # pairs come by context; those of one shard stay in this order
-        self.pair_order = np.lexsort((np.arange(len(self.pairs)), self.pair_shard))
-        self.token_order = np.lexsort((np.arange(n), self.token_shard))
+        self.pair_order = _stable(self.pair_shard)
+        self.token_order = _stable(self.token_shard)
+        if options.order > 2:
+            # a token that is not its text's first follows the pair that ends before it; triples come by pair
+            follows = np.ones(len(self.rank), bool)
+            follows[self.first] = False
+            self.later = np.flatnonzero(follows)
+            triples, self.triple_of = _distinct(self.pair_of[self.later - 1].astype(np.int64) * (n + 1) + self.rank[self.later])
+            self.n_triples = len(triples)
+            pair, successor = np.divmod(triples, n + 1)
+            self.third = self.successor_hash(successor).astype(np.uint32)
+            self.below = np.bincount(pair, minlength=self.n_pairs).astype(np.uint32)
+            self.triple_shard = self.pair_shard[pair]
+            self.triple_order = _stable(self.triple_shard)
+
+    def successor_hash(self, rank: np.ndarray) -> np.ndarray:
+        return _mixed(self.hashes[rank]) >> np.uint64(32)
 
 
 def _requests(blocks: DataFrame, shards: int, options: ModelOptions) -> DataFrame:
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                x = _Block(row, shards, options.spread)
+            for row in _rows(batch):
+                x = _Block(row, shards, options)
                 rows = []
                 count = np.bincount(x.rank[x.train], minlength=len(x.hashes)).astype(np.uint32)
                 for s, at in _by_shard(x.token_shard, x.token_order, shards):
-                    rows.append((row["block"], s, "tokens", x.hashes[at].tobytes(), count[at].tobytes(), None, None, None))
-                count = np.bincount(x.pair_of[x.train], minlength=len(x.pairs)).astype(np.uint32)
+                    rows.append((row["block"], s, "tokens", x.hashes[at].tobytes(), count[at].tobytes(), *[None] * 5))
+                count = np.bincount(x.pair_of[x.train], minlength=x.n_pairs).astype(np.uint32)
+                third = {}
+                if options.order > 2:
+                    triples = np.bincount(x.triple_of[x.train[x.later]], minlength=x.n_triples).astype(np.uint32)
+                    third = dict(_by_shard(x.triple_shard, x.triple_order, shards))
                 for s, at in _by_shard(x.pair_shard, x.pair_order, shards):
                     context = x.context[at]
                     start = np.flatnonzero(np.diff(context, prepend=context[:1] ^ np.uint64(1)))
                     length = np.diff(np.append(start, len(at))).astype(np.uint32)
-                    rows.append((row["block"], s, "pairs", context[start].tobytes(), length.tobytes(), x.successor[at].astype(np.uint32).tobytes(), count[at].tobytes(), None))
+                    below = [None] * 3
+                    if options.order > 2:
+                        follow = third.get(s, x.triple_order[:0])
+                        below = [x.below[at].tobytes(), x.third[follow].tobytes(), triples[follow].tobytes()]
+                    rows.append((row["block"], s, "pairs", context[start].tobytes(), length.tobytes(), x.successor[at].astype(np.uint32).tobytes(), count[at].tobytes(), *below))
+                    if sum(len(v) for r in rows for v in r[3:] if v) > _SENT:
+                        yield _table(rows)
+                        rows = []
                 yield _table(rows)
 
     return blocks.mapInArrow(run, _ROW)
 
 
 def _by_shard(shard: np.ndarray, order: np.ndarray, shards: int):
-    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+    ends = np.searchsorted(shard[order], np.arange(shards + 1, dtype=shard.dtype))
     for s in range(shards):
         if ends[s] < ends[s + 1]:
             yield s, order[ends[s] : ends[s + 1]]
@@ -164,68 +213,101 @@ def decode_count(code: np.ndarray) -> np.ndarray:
 
 def _answer(table: pa.Table) -> pa.Table:
     """A shard: adds up, builds its part of the model, answers each block; the row of kind sums has its tokens and distinct tokens."""
-    rows = table.to_pylist()
+    rows = _rows(table)
     out = []
     asked = [r for r in rows if r["kind"] == "tokens"]
     if asked:
         hashes, counts = (np.concatenate([np.frombuffer(r[c], t) for r in asked]) for c, t in (("a", np.uint64), ("b", np.uint32)))
         distinct, at = np.unique(hashes, return_inverse=True)
         total = np.bincount(at, weights=counts).astype(np.int64)
-        out.append((-1, asked[0]["shard"], "sums", np.array([total.sum(), (total > 0).sum()], np.int64).tobytes(), None, None, None, None))
+        out.append((-1, asked[0]["shard"], "sums", np.array([total.sum(), (total > 0).sum()], np.int64).tobytes(), *[None] * 6))
         end = 0
         for r in asked:
             begin, end = end, end + len(r["a"]) // 8
-            out.append((r["block"], r["shard"], "tokens", total[at[begin:end]].astype(np.int64).tobytes(), None, None, None, None))
+            out.append((r["block"], r["shard"], "tokens", total[at[begin:end]].astype(np.int64).tobytes(), *[None] * 6))
     asked = [r for r in rows if r["kind"] == "pairs"]
     if asked:
         with tempfile.TemporaryDirectory() as folder:
             trie = _trie(asked, folder)
             for r in asked:
-                codes = trie.codes_of(np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.uint32), np.frombuffer(r["c"], np.uint32).astype(np.uint64))
-                out.append((r["block"], r["shard"], "pairs", codes.tobytes(), None, None, None, None))
+                pair = trie.pairs(np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.uint32), np.frombuffer(r["c"], np.uint32).astype(np.uint64))
+                third = None
+                if r["e"] is not None:
+                    third = trie.third_codes_of(pair, np.frombuffer(r["e"], np.uint32), np.frombuffer(r["f"], np.uint32).astype(np.uint64)).tobytes()
+                out.append((r["block"], r["shard"], "pairs", trie.codes_of(pair).tobytes(), third, *[None] * 5))
     return pa.Table.from_batches([_table(out)], _SCHEMA)
 
 
 def _trie(asked: list[dict], folder: str):
     from tablewright.llm.eliasfano import Trie
 
-    context, successor, count = [], [], []
+    context, successor, count, third, held = [], [], [], [], 0
     for r in asked:
         n = np.frombuffer(r["d"], np.uint32)
         seen = n > 0
         context.append(np.repeat(np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.uint32))[seen])
         successor.append(np.frombuffer(r["c"], np.uint32)[seen])
         count.append(n[seen])
+        if r["e"] is not None:
+            # the pair of a triple that occurs in training texts occurs there too
+            m = np.frombuffer(r["g"], np.uint32)
+            pair = np.repeat((held + np.cumsum(seen) - 1).astype(np.int32), np.frombuffer(r["e"], np.uint32))
+            third.append((pair[m > 0], np.frombuffer(r["f"], np.uint32)[m > 0], m[m > 0]))
+        held += len(count[-1])
     context, successor, count = (np.concatenate(x) for x in (context, successor, count))
     order = np.lexsort((successor, context))
-    context, successor, count = context[order], successor[order].astype(np.uint64), count[order].astype(np.int64)
-    new = np.ones(len(context), bool)
+    context, successor, count = context[order], successor[order], count[order]
+    new = np.ones(len(order), bool)
     new[1:] = (context[1:] != context[:-1]) | (successor[1:] != successor[:-1])
     start = np.flatnonzero(new)
-    total = np.add.reduceat(count, start) if len(start) else count
-    return Trie(folder, context[start], successor[start], encode_count(total))
+    context, successor, total = context[start], successor[start].astype(np.uint64), _sums(count, start)
+    below = None
+    if third:
+        place = np.empty(len(order), np.uint64)
+        place[order] = np.cumsum(new) - 1
+        del order, new, start, count
+        key = np.concatenate([(place[pair] << np.uint64(32)) | last for pair, last, _ in third])
+        count = np.concatenate([n for _, _, n in third])
+        third.clear()
+        order = np.argsort(key)
+        key, count = key[order], count[order]
+        start = np.flatnonzero(np.diff(key, prepend=key[:1] ^ np.uint64(1)))
+        below = (key[start] >> np.uint64(32), key[start] & np.uint64(0xFFFFFFFF), encode_count(_sums(count, start)))
+        del key, count, order, start
+    return Trie(folder, context, successor, encode_count(total), below)
+
+
+def _sums(count: np.ndarray, start: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(count, start, dtype=np.int64) if len(start) else count.astype(np.int64)
 
 
 def _scores(shards: int, options: ModelOptions, n: int, v: int):
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        x = _Block(next(r for r in rows if r["kind"] == "texts"), shards, options.spread)
-        count, codes = np.zeros(len(x.hashes), np.int64), np.zeros(len(x.pairs), np.uint8)
-        answer = {(r["kind"], r["shard"]): r["a"] for r in rows if r["kind"] != "texts"}
+        rows = _rows(table)
+        x = _Block(next(r for r in rows if r["kind"] == "texts"), shards, options)
+        count, codes = np.zeros(len(x.hashes), np.int64), np.zeros(x.n_pairs, np.uint8)
+        answer = {(r["kind"], r["shard"]): (r["a"], r["b"]) for r in rows if r["kind"] != "texts"}
         for s, at in _by_shard(x.token_shard, x.token_order, shards):
-            count[at] = np.frombuffer(answer["tokens", s], np.int64)
+            count[at] = np.frombuffer(answer["tokens", s][0], np.int64)
         for s, at in _by_shard(x.pair_shard, x.pair_order, shards):
-            codes[at] = np.frombuffer(answer["pairs", s], np.uint8)
+            codes[at] = np.frombuffer(answer["pairs", s][0], np.uint8)
         own = (count + 1) / (n + v + 1)
         end = np.searchsorted(x.hashes, np.uint64(xxhash.xxh3_64_intdigest(END)))
         context = np.append(count, count[end])  # texts start as often as they end
         smoothed = (decode_count(codes)[x.pair_of] + options.mass * own[x.rank]) / (context[x.before] + options.mass)
+        # a quantised count may exceed its context's by a rounding step
+        smoothed = np.minimum(smoothed, 1.0)
+        if options.order > 2:
+            third = np.zeros(x.n_triples, np.uint8)
+            for s, at in _by_shard(x.triple_shard, x.triple_order, shards):
+                third[at] = np.frombuffer(answer["pairs", s][1], np.uint8)
+            pair = decode_count(codes)[x.pair_of[x.later - 1]]
+            smoothed[x.later] = (decode_count(third)[x.triple_of] + options.mass * smoothed[x.later]) / (pair + options.mass)
         add = lambda values: np.add.reduceat(values, x.first)
         columns = [
             pa.array(x.ids, mask=~x.marks[:, 0]), pa.array(x.marks[:, 1]), pa.array(x.sizes),
             pa.array(add((count[x.rank] > 0).astype(np.int64))), pa.array(add(np.log10(own)[x.rank])),
-            # a quantised count may exceed its context's by a rounding step
-            pa.array(add(np.log10(np.minimum(smoothed, 1.0)))),
+            pa.array(add(np.log10(smoothed))),
         ]
         return pa.table(columns, names=["id", "train", "n_tokens", "n_known", "base_score", "score"])
 
@@ -237,7 +319,9 @@ def score_texts(docs: DataFrame, train: Column, options: ModelOptions | None = N
     o = options or ModelOptions()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    shards = max(8, -(-size // o.shard_chars))
+    # a shard of order 3 gets twice the rows for its texts
+    shards = max(8, -(-size * (o.order - 1) // o.shard_chars))
+    o = replace(o, spread=max(o.spread, shards // 16))
     blocks = stored(_blocks(rows, o), "blocks")
     answers = stored(_requests(blocks, shards, o).groupBy("shard").applyInArrow(_answer, _ROW), "answers")
     sums = answers.where("kind = 'sums'").select("a").toArrow().column("a").to_pylist()  # two numbers a shard

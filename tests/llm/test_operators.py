@@ -370,6 +370,44 @@ def test_language_model_matches_plain_counts(spark):
     assert language_model.score_texts(docs.limit(0), F.lit(True))[0].count() == 0
 
 
+def test_language_model_query_knows_contexts_of_two_words(spark, tmp_path):
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows = [(i, t) for i, t in zip(train, ["p q r"] * 64 + ["s q t"] * 64 + ["q"] * 64)] + [(held[0], "p q r"), (held[1], "p q t")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in catalog.op10_language_model(spark, str(tmp_path)).collect()}
+    assert got[held[0]] > got[held[1]] + 0.4  # alike in words and pairs but for what follows "p q"
+
+
+def test_language_model_of_order_three_matches_plain_counts(spark):
+    rows = [tuple(r) for r in table(spark, "documents").select("doc_id", "text").collect()] + [(None, "x y"), (5001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    options = language_model.ModelOptions(block_tokens=20_000, shard_chars=50_000, order=3)
+    found, n = language_model.score_texts(docs, catalog.fold("doc_id", 7) != 2, options)
+    got = {r["id"]: r["score"] for r in found.collect()}
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, t in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 7 != 2:
+            w = [language_model.START, *language_model.tokens(t or "")]
+            one.update(w[1:])
+            two.update(zip(w, w[1:]))
+            three.update(zip(w, w[1:], w[2:]))
+    one[language_model.START], v = one[language_model.END], len(one)
+    coded = lambda c: float(language_model.decode_count(language_model.encode_count(np.array([c])))[0])
+    for i, t in rows:
+        w = [language_model.START, *language_model.tokens(t or "")]
+        score, p = 0.0, 0.0
+        for k in range(1, len(w)):
+            p = (coded(two[w[k - 1], w[k]]) + 20 * (one[w[k]] + 1) / (n + v + 1)) / (one[w[k - 1]] + 20)
+            p = min(p, 1.0)
+            if k > 1:
+                p = (coded(three[w[k - 2], w[k - 1], w[k]]) + 20 * p) / (coded(two[w[k - 2], w[k - 1]]) + 20)
+            score += math.log10(p)
+        assert math.isclose(got[i], score, rel_tol=1e-9)
+    empty = language_model.score_texts(docs.limit(0), F.lit(True), options)[0]
+    assert empty.count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=200, unique=True), st.lists(st.integers(0, 2**64 - 1), max_size=50))
 def test_elias_fano_finds_what_it_holds(values, others):

@@ -9,7 +9,7 @@ the rank of a document is its rank in its input partition plus a running count o
 frequent, meets in one task.
 
 Null texts are empty and become the closing id alone. Repeated rows are packed like others. An empty table gives an
-empty result. The text of special tokens is ordinary text.
+empty result. The text of a special token is that token, as the file's own library has it.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from tablewright.llm.tables import bounded_broadcast, stored
 # Fixed value: the pattern that splits text before byte-level byte-pair encoding.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ENCODERS: dict = {}
+# The faster library overflows its stack on white space of about a million characters.
+_BLANK = 5_000
 
 
 @dataclass(frozen=True)
@@ -50,7 +53,10 @@ def _byte_of() -> dict[str, int]:
 
 
 def encoder(path: str):
-    """Function from text to ids for a tokenizer file; the same ids as the file's own library, merged by a faster one."""
+    """Function from text to ids for a tokenizer file; the same ids as the file's own library, merged by a faster one.
+
+    Texts that hold a special token, or white space that fills ``_BLANK`` characters, go to the file's own library.
+    """
     if path not in _ENCODERS:
         import tiktoken
 
@@ -59,10 +65,26 @@ def encoder(path: str):
         special = {t["content"] for t in spec.get("added_tokens", [])}
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        _ENCODERS[path] = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+        def encode(text: str) -> list[int]:
+            # a run of twice the length fills one of these pieces
+            blank = any(text[k : k + _BLANK].isspace() for k in range(0, len(text) - _BLANK + 1, _BLANK))
+            if blank or any(t in text for t in special):
+                return _own_library(path).encode(text, add_special_tokens=False).ids
+            return fast(text)
+
+        _ENCODERS[path] = encode
     return _ENCODERS[path]
 
 
+@cache
+def _own_library(path: str):
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 def tokenised(docs: DataFrame, options: PackOptions, text_col="text") -> DataFrame:
     """``docs`` without the text, with ids (little-endian unsigned 32-bit), n_ids, rest (length), part, rank and blocks_before.
 

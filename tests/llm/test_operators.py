@@ -79,6 +79,15 @@ def test_packing_is_a_partition_of_the_ids(spark):
     assert 1 - ids / (1024 * len({p["sequence_id"] for p in pieces})) < 0.02
 
 
+def test_packing_ids_are_those_of_the_unmodified_library(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(OPTIONS.tokenizer_path)
+    rows = [(1, "a <|endoftext|> b"), (2, "<|endoftext|><|endoftext|>\n x"), (3, "\n" * 1_200_000 + "a"), (4, "a" + " \n" * 4_999 + "b"), (5, "<|endoftext|"), (6, None)]
+    pieces = packing.digest(packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), OPTIONS)[1]).collect()
+    check_pieces(pieces, rows, tokenizer)
+
+
 def test_packing_hard_rows(spark, docs, none):
     placed, pieces = packing.pack(docs, OPTIONS)
     assert placed.count() == docs.count() and "_x" in pieces.columns

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from tablewright.llm.tables import bounded_broadcast, stored
 
 SPACE = " \t\n\x0b\x0c\r"
+#: Texts of a line from which it is broadcast.
+_HOT = 50_000
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
 
@@ -52,6 +54,31 @@ def shared_lines(docs: DataFrame, min_docs: int, percent: float, host_col="sourc
     return over.groupBy("host").agg(F.collect_list("line").alias("dropped"))
 
 
+def dropped_words(docs: DataFrame, min_docs: int, host_col="source", text_col="text") -> DataFrame:
+    """(host, text, gone, lines): hash, words and line hashes of each text in lines that at least ``min_docs`` texts of its host hold.
+
+    Rows of (text, line) meet the shared lines by (host, line). Lines of very many texts are few, as each takes that many
+    rows, and are broadcast; so no key of the other join has many rows, and no host meets in one place.
+    """
+    rows = docs.select(F.coalesce(host_col, F.lit("")).alias("host"), F.col(text_col).alias("t")).where("t IS NOT NULL")
+    line = F.transform(F.filter(line_array(F.col("t")), has_word), lambda x: F.struct(line_hash(x).alias("line"), word_count(x).cast("long").alias("w")))
+    # a row without a line counts the copies of the text
+    copy = F.array(F.struct(F.lit(None).cast("long").alias("line"), F.lit(1).cast("long").alias("w")))
+    held = rows.select("host", F.xxhash64("t").alias("text"), F.explode(F.concat(line, copy)).alias("x")).groupBy("host", "text", "x.line").agg(F.sum("x.w").alias("w"))
+    held = stored(held, "held-lines")
+    lines = held.where("line IS NOT NULL")
+    shared = stored(lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs), "shared-lines")
+    hot = F.broadcast(shared.where(F.col("n") >= _HOT).select("host", "line"))
+    cold = shared.where(F.col("n") < _HOT).select("host", "line")
+    cold = bounded_broadcast(cold, cold.count(), 32)
+    found = lines.join(hot, ["host", "line"]).unionByName(lines.join(hot, ["host", "line"], "left_anti").join(cold, ["host", "line"]))
+    every = found.unionByName(held.where("line IS NULL"))
+    copies = F.sum(F.when(F.col("line").isNull(), F.col("w")))
+    gone = F.sum(F.when(F.col("line").isNotNull(), F.col("w")))
+    marks = every.groupBy("host", "text").agg((gone / copies).cast("long").alias("gone"), F.collect_list("line").alias("lines"))
+    return marks.where("gone > 0")
+
+
 def _few(hosts: DataFrame) -> bool:
     return hosts.count() <= 200_000
 

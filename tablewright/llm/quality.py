@@ -1,7 +1,7 @@
 """Quality rules of whole texts and cross-document line frequency, in DataFrame operations only.
 
-Base rules: too few words, or too many words in repeated three-word windows. Method: lines that more than a limit of
-distinct documents of a host hold are removed, and a document of which too little is left is rejected.
+Base rules: too few words, or too many words in repeated three-word windows. Method: lines that a number of
+distinct documents of a host hold, whatever its size, are removed, and a document of which too little is left is rejected.
 
 NULL and empty texts have no words and fail. Repeated rows are judged alike. The windows of a text are hashed, sorted
 with their positions and compared with their neighbours, so a text of n words takes n log n steps in its own row.
@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.lines import BLANKS, SPACE, has_word, line_array, with_dropped, word_count
+from tablewright.llm.lines import BLANKS, SPACE, dropped_words, has_word, line_array, line_hash
+from tablewright.llm.tables import bounded_broadcast, stored
 
 SYMBOLS = "#*$%&|<>"
 #: Bits for the position of a window in its text.
@@ -52,12 +53,18 @@ def text_statistics(docs: DataFrame, text_col="text") -> DataFrame:
     return out.drop("_words", "_packed", "_grams", "_twice")
 
 
-def judge_quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20, line_percent: float = 1.0, min_left_percent: int = 50, min_left_words: int = 25, host_col="source", text_col="text") -> DataFrame:
+def judge_quality(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, min_docs: int = 20, min_left_percent: int = 50, min_left_words: int = 25, host_col="source", text_col="text") -> DataFrame:
     """``docs`` with the statistics, base_failed, dropped_lines, n_left (words outside them) and kept."""
-    marked = with_dropped(docs, min_docs, line_percent, host_col, text_col).drop("kept_lines", "n_lines")
-    judged = text_statistics(marked, text_col)
+    marks = stored(dropped_words(docs, min_docs, host_col, text_col).toDF("_host", "_text", "_gone", "_lines"), "marks")
+    size = marks.agg(F.count("*").alias("texts"), F.sum(F.size("_lines")).alias("lines")).first()
+    marks = bounded_broadcast(marks, size["texts"] * 4 + (size["lines"] or 0), 16)
+    # statistics come first, so only what is asked for travels
+    judged = text_statistics(docs, text_col).withColumns({"_h": F.coalesce(host_col, F.lit("")), "_t": F.when(F.col(text_col).isNotNull(), F.xxhash64(text_col))})
+    judged = judged.join(marks, (F.col("_h") == F.col("_host")) & (F.col("_t") == F.col("_text")), "left")
+    goes = lambda line: has_word(line) & F.array_contains("_lines", line_hash(line))
+    judged = judged.withColumn("dropped_lines", F.when(F.col("_lines").isNotNull(), F.filter(line_array(F.col(text_col)), goes)))
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    gone = F.coalesce(F.aggregate(F.transform("dropped_lines", word_count), F.lit(0), lambda a, b: a + b), F.lit(0))
-    judged = judged.withColumns({"base_failed": failed, "n_left": F.col("n_words") - gone})
+    judged = judged.withColumns({"base_failed": failed, "n_left": F.col("n_words") - F.coalesce("_gone", F.lit(0))})
+    judged = judged.drop("_h", "_t", "_host", "_text", "_gone", "_lines")
     enough = (F.col("n_left") * 100 >= F.col("n_words") * min_left_percent) & (F.col("n_left") >= min_left_words)
     return judged.withColumn("kept", ~F.col("base_failed") & enough)

@@ -196,6 +196,20 @@ def test_depleted_documents_are_rejected(spark):
     assert not got[3]["kept"] and got[3]["n_left"] == 2 and got[99]["kept"] and got[99]["n_left"] == got[99]["n_words"]
 
 
+@pytest.mark.parametrize("hot", [50_000, 22])
+def test_quality_limit_does_not_grow_with_the_host(spark, monkeypatch, hot):
+    monkeypatch.setattr(lines, "_HOT", hot)
+    passage = " ".join(f"p{k}" for k in range(50))
+    own = lambda k: " ".join(f"o{k}x{j}" for j in range(30))
+    rows = [(k, (f"{passage}\nnav bar\n{own(k)}\n NAV bar" if k < 25 else f"{own(k)}\n{own(-k)}"), "s") for k in range(4_000)]
+    rows += [(5_000 + k, f"{passage}\nnav bar\n{own(0)}\n NAV bar", "s") for k in range(3)] + [(6_000 + k, f"{passage}\n{own(k)}", "small") for k in range(19)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in quality.judge_quality(docs).collect()}
+    assert len(got) == len(rows)
+    assert all(got[k]["n_left"] == 30 and not got[k]["kept"] and len(got[k]["dropped_lines"]) == 3 for k in (0, 7, 24, 5_000, 5_002))
+    assert got[100]["n_left"] == 60 and got[100]["kept"] and got[6_001]["kept"]
+
+
 def test_line_dedup_hard_rows(docs, none):
     got = {r["doc_id"]: r for r in lines.drop_boilerplate(docs).collect()}
     assert got[1]["text"] is None and got[2]["text"] == "" and got[6]["n_dropped"] == 0

@@ -1,8 +1,9 @@
 """URL filter: explicit rules first, then a path-template tree per host.
 
 The tree is built level by level on counts: a segment that enough urls of its node have stays, any other is generalised
-to a wildcard of its shape ({n} digits, {x} hexadecimal, {s} other, with the file extension). Segments past ``depth`` are
-one wildcard. Urls that a rule decides are the labelled samples. Sibling branches that differ in one segment are merged
+to a wildcard of its shape ({n} digits, {x} hexadecimal, {s} other, with the file extension). The tree is as deep as the
+longest path; a level carries only urls that still have a segment. Once no node has enough urls for a segment of its own,
+no deeper one has, and what is left of the paths takes its shapes at once. Urls that a rule decides are the labelled samples. Sibling branches that differ in one segment are merged
 unless their labelled share of blocked urls differs significantly from that of their family. A template is rejected if
 its blocked share, smoothed towards the share of all labelled urls, is high enough.
 
@@ -14,6 +15,7 @@ third of all urls is split like any other skewed join key.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,6 @@ Rule = tuple[str, str, str]  # (allow or block, host, path)
 
 @dataclass(frozen=True)
 class UrlOptions:
-    depth: int = 4
     min_support: int = 5
     min_share: float = 0.02
     similar_z: float = 1.96
@@ -60,24 +61,28 @@ def _shape(segment: Column) -> Column:
 
 def with_templates(urls: DataFrame, options: UrlOptions) -> DataFrame:
     """``urls`` (host, path, ...) with ``template`` and ``family`` (the template with its first fixed segment open)."""
-    segments = F.split("path", "/")
-    tail = F.when(F.size(segments) > options.depth + 1, F.lit("/{s}")).otherwise("")
-    rows = urls.withColumns({"_seg": segments, "template": F.lit(""), "family": F.lit(""), "_open": F.lit(False), "_tail": tail})
-    for level in range(1, options.depth + 1):
-        rows = rows.withColumn("_s", F.get("_seg", F.lit(level)))
-        counts = rows.where("_s IS NOT NULL").groupBy("host", "template", "_s").agg(F.count("*").alias("n"))
+    rows = urls.withColumns({"_seg": F.split("path", "/"), "template": F.lit(""), "family": F.lit(""), "_open": F.lit(False)})
+    done, level = [], 1
+    while True:
+        done.append(rows.where(F.size("_seg") <= level))
+        rows = rows.where(F.size("_seg") > level).withColumn("_s", F.get("_seg", F.lit(level)))
+        counts = rows.groupBy("host", "template", "_s").agg(F.count("*").alias("n"))
         nodes = counts.groupBy("host", "template").agg(F.sum("n").alias("total"))
+        if (nodes.agg(F.max("total")).first()[0] or 0) < max(1, options.min_support):
+            rest = F.array_join(F.transform(F.slice("_seg", level + 1, F.size("_seg")), lambda x: F.concat(F.lit("/"), _shape(x))), "")
+            done.append(rows.drop("_s").withColumns({"template": F.concat("template", rest), "family": F.concat("family", rest)}))
+            break
         fixed = counts.where(F.col("n") >= options.min_support).join(nodes, ["host", "template"]).where((F.col("n") >= F.col("total") * options.min_share) & (_shape(F.col("_s")).startswith("{s}")))
         rows = rows.join(fixed.select("host", "template", "_s", F.lit(True).alias("_fixed")), ["host", "template", "_s"], "left")
         stays = F.col("_fixed").isNotNull()
         name = F.when(stays, F.col("_s")).otherwise(_shape(F.col("_s")))
-        there = F.col("_s").isNotNull()
         rows = stored(rows.withColumns({
-            "family": F.when(there, F.concat("family", F.lit("/"), F.when(stays & ~F.col("_open"), "*").otherwise(name))).otherwise(F.col("family")),
-            "template": F.when(there, F.concat("template", F.lit("/"), name)).otherwise(F.col("template")),
-            "_open": F.col("_open") | F.coalesce(stays & there, F.lit(False)),
+            "family": F.concat("family", F.lit("/"), F.when(stays & ~F.col("_open"), "*").otherwise(name)),
+            "template": F.concat("template", F.lit("/"), name),
+            "_open": F.col("_open") | stays,
         }).drop("_fixed", "_s"), "urls")
-    return rows.withColumns({"template": F.concat("template", "_tail"), "family": F.concat("family", "_tail")}).drop("_seg", "_open", "_tail")
+        level += 1
+    return reduce(DataFrame.unionByName, done).drop("_seg", "_open")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], options: UrlOptions | None = None, id_col="page_id", url_col="url") -> DataFrame:

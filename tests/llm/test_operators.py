@@ -149,6 +149,18 @@ def test_url_templates_reject_bad_branches(spark):
     assert urls.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_url_templates_reach_the_last_segment(spark):
+    leaves = {("de", "d1"): 10, ("fr", "f1"): 15, ("en", "d1"): 10, ("en", "f1"): 10}
+    urls_of = [f"http://x.com/{lang}/a/b/c/{leaf}?{k}" for (lang, leaf), n in leaves.items() for k in range(n)]
+    urls_of += ["http://x.com/en" + "/7" * 300 + "/last.html"]
+    pages = spark.createDataFrame(list(enumerate(urls_of)), "page_id long, url string")
+    got = [(r["path"], r["verdict"], r["template"]) for r in urls.judge_urls(pages, [("block", "com", "/de/"), ("allow", "com", "/fr/")]).collect()]
+    assert len(got) == len(urls_of)
+    assert {(v, t) for p, v, t in got if p == "/en/a/b/c/d1"} == {("block", "/*/a/b/c/d1")}
+    assert {(v, t) for p, v, t in got if p == "/en/a/b/c/f1"} == {("allow", "/*/a/b/c/f1")}
+    assert {t for p, _, t in got if p.endswith("html")} == {"/*" + "/{n}" * 300 + "/{s}.html"}
+
+
 # archives
 
 

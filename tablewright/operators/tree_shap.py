@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Bounds the broadcast: about 32 bytes per leaf and path feature, a few hundred
-# megabytes at this size. 300 trees of depth 10 stay below 650,000 nodes.
-MAX_NODES = 2_000_000
+# Trees are read, broadcast and added up in groups of about this many nodes
+# (a larger tree is a group of its own): about 32 bytes per leaf and path feature.
+NODES_PER_PART = 200_000
 ROWS_PER_BLOCK = 256
 CELLS_PER_BLOCK = 2_000_000
 
@@ -49,24 +49,41 @@ class Ensemble:
     base: np.ndarray
     groups: tuple[LeafGroup, ...]
 
+    @property
+    def leaves(self) -> int:
+        return sum(len(g.value) for g in self.groups)
 
-def load_ensemble(spark: SparkSession, path: str, n_features: int, kind: str) -> Ensemble:
-    """Read a saved Spark tree model.
+
+def load_ensembles(spark: SparkSession, path: str, n_features: int, kind: str) -> Iterator[Ensemble]:
+    """Read a saved Spark tree model, a group of trees at a time; base and contributions of the groups add up.
 
     ``kind``: ``forest_classes`` (class shares averaged over trees),
     ``forest_value`` (predictions averaged) or ``boosted`` (weighted sum).
     """
     data = spark.read.parquet(f"{path}/data")
-    if data.count() > MAX_NODES:
-        raise ValueError("the model has too many nodes to explain")
-    nodes = data.select("treeID", "nodeData.*").toPandas()
     meta = spark.read.parquet(f"{path}/treesMetadata")
     weights = {r[0]: r[2] for r in meta.collect()}
-    trees = []
-    for tree_id, part in nodes.groupby("treeID"):
-        scale = weights[tree_id] if kind == "boosted" else 1.0 / len(weights)
-        trees.append((part.sort_values("id"), scale))
-    return build_ensemble(trees, n_features, kind)
+    sizes = sorted((r[0], r[1]) for r in data.groupBy("treeID").count().collect())
+    for first, last in _tree_groups(sizes):
+        nodes = data.where(F.col("treeID").between(first, last)).select("treeID", "nodeData.*").toPandas()
+        trees = []
+        for tree_id, part in nodes.groupby("treeID"):
+            scale = weights[tree_id] if kind == "boosted" else 1.0 / len(weights)
+            trees.append((part.sort_values("id"), scale))
+        yield build_ensemble(trees, n_features, kind)
+
+
+def _tree_groups(sizes: Sequence[tuple[int, int]]) -> list[tuple[int, int]]:
+    """First and last tree of each group, from ``(tree, nodes)`` in order."""
+    groups: list[list[int]] = []
+    held = 0
+    for tree, nodes in sizes:
+        if not groups or held + nodes > NODES_PER_PART:
+            groups.append([tree, tree])
+            held = 0
+        groups[-1][1] = tree
+        held += nodes
+    return [(first, last) for first, last in groups]
 
 
 def build_ensemble(trees: Sequence[tuple[pd.DataFrame, float]], n_features: int, kind: str) -> Ensemble:

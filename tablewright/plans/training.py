@@ -48,7 +48,7 @@ class Boosting:
 @dataclass(frozen=True)
 class SuiteOptions:
     trees: int = FOREST_TREES
-    forest_depth: int = 10
+    forest_depth: int = 30  # the most that Spark grows
     boosting: Mapping[str, Boosting] = field(
         default_factory=lambda: {
             "gbt_fast": Boosting(100, 6, 0.3),

@@ -253,6 +253,27 @@ def test_judge_regression_and_params(spark):
     assert "maxIter" in loggable_params(LinearRegression())
 
 
+def test_explanations_of_any_number_of_nodes(spark, fitted, monkeypatch):
+    from tablewright.operators import tree_shap
+    from tablewright.plans import explain
+
+    df, prepared, s = fitted
+    test, model = prepared.split.test(df), s.models["random_forest"]
+    read = lambda: {r["c_custkey"]: r for r in explain_rows(test, model, ["c_custkey"]).collect()}
+    phi = lambda r: {c["feature"]: c["shap_value"] for c in r["contributions"]}
+    whole = read()
+    # fewer nodes than a tree has: three groups
+    monkeypatch.setattr(tree_shap, "NODES_PER_PART", 4)
+    monkeypatch.setattr(explain, "NODES_PER_PART", 4)
+    parts = read()
+    assert set(parts) == set(whole)
+    for k, r in whole.items():
+        assert math.isclose(r["base_value"], parts[k]["base_value"], rel_tol=1e-9)
+        assert all(math.isclose(v, phi(parts[k])[f], rel_tol=1e-9, abs_tol=1e-12) for f, v in phi(r).items())
+    assert tree_shap._tree_groups([(0, 3), (1, 1), (2, 9), (3, 2)]) == [(0, 1), (2, 2), (3, 3)]
+    assert SuiteOptions().forest_depth == 30
+
+
 @pytest.mark.parametrize("name", ["train_suite_binary", "train_suite_multiclass", "train_suite_regression"])
 def test_suite_queries_train_at_full_size_on_all_columns(spark, monkeypatch, name):
     from tablewright.catalog import training

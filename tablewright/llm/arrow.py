@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 
 def add_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
@@ -25,6 +25,34 @@ def add_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def free_names(df: DataFrame, names: list[str]) -> list[str]:
+    """The names, with underscores at the end of those that ``df`` has already (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def append_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch], list[pa.Array]], drop: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` without ``drop`` and with the columns of ``fields`` behind it, computed per batch; no shuffle.
+
+    All other columns of ``df`` stay as they are; a new name that is taken gets underscores (``free_names``).
+    """
+    new = StructType.fromDDL(fields)
+    keep = [k for k, n in enumerate(df.columns) if n not in drop]
+    names = [df.columns[k] for k in keep] + free_names(df.drop(*drop), new.names)
+    schema = StructType([df.schema.fields[k] for k in keep] + [StructField(n, f.dataType) for n, f in zip(names[len(keep) :], new.fields)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + compute(batch), names=names)
+
+    return df.mapInArrow(run, schema)
+
+
 def texts(batch: pa.RecordBatch, column: str, null: str | None = "") -> Iterator[str | None]:
     """The values of a text column one by one, NULL as ``null``."""
     for value in batch.column(column):

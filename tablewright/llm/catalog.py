@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import archives, decontamination, language_model, lines, neardup, packing, quality, secrets, toxicity, urls
+from tablewright.llm import archives, decontamination, language_model, lines, neardup, packing, periodic, quality, secrets, toxicity, urls
 from tablewright.llm.tables import fold, read
 
 
@@ -180,6 +180,66 @@ def op3_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Fixed value: what separates words.
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _with_loops(docs: DataFrame) -> DataFrame:
+    """The documents of the contract: a tenth of them, by the checksum of the id, repeat some of their words to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    split = docs.select("doc_id", "text", g.alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("w"))
+    placed = split.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+    placed = placed.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    loop = F.expr("slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a)")
+    looped = F.array_join(F.concat(F.expr("slice(w, 1, a)"), loop), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), looped).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document."""
+    found = periodic.find_runs(_with_loops(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    found = found.withColumn("best", periodic.longest_run("runs"))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+# crc32 bit by bit: 8 steps for each character of the decimal id
+OP11_SQL = rf"""
+WITH h AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(8 * len(CAST(doc_id AS VARCHAR))), lambda k: CASE WHEN k % 8 = 0 THEN ord(CAST(doc_id AS VARCHAR)[k // 8 + 1])::BIGINT ELSE 0 END)),
+      lambda c, x: xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1)))) AS h
+  FROM documents),
+a AS (SELECT *, len(w) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM h),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM a),
+v AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM p),
+e AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS word FROM v),
+cells AS (SELECT x.doc_id, x.i, x.i - y.i AS q FROM e x JOIN e y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i < x.i AND 4 * (x.i - y.i) <= x.n),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM cells),
+stretches AS (
+  SELECT doc_id, q, min(i) - q AS start, count(*) + q AS length FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)),
+runs AS (
+  SELECT * FROM stretches s WHERE NOT EXISTS (
+    FROM stretches t WHERE t.doc_id = s.doc_id AND t.q < s.q AND t.start <= s.start AND t.start + t.length >= s.start + s.length)),
+per AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min(struct_pack(start := start, length := length, q := q), struct_pack(l := -length, s := start, q := q)) AS best,
+    string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS s FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM runs),
+left_over AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS s FROM e ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.q AS period, 1000 * best.length // best.q AS exponent_milli,
+       sha256(coalesce(per.s, '')) AS runs_sha256, sha256(coalesce(left_over.s, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN per USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_url_filter": op2_url_filter,
@@ -191,5 +251,6 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_secrets": op9_secrets,
     "op10_language_model": op10_language_model,
+    "op11_periodic_runs": op11_periodic_runs,
 }
-SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_line_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_line_dedup": OP8_SQL, "op11_periodic_runs": OP11_SQL}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
@@ -58,3 +60,14 @@ def texts(batch: pa.RecordBatch, column: str, null: str | None = "") -> Iterator
     for value in batch.column(column):
         text = value.as_py()
         yield null if text is None else text
+
+
+def slices(column: pa.Array, size: int = 4 << 20) -> Iterator[pa.Array]:
+    """A text column in pieces of some ``size`` bytes; a longer text is a piece of its own."""
+    bytes_of = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, begin = np.cumsum(bytes_of), 0
+    while begin < len(column):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield column.slice(begin, end - begin)
+        begin = end

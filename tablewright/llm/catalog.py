@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import archives, decontamination, language_model, lines, neardup, packing, periodic, quality, secrets, toxicity, urls
+from tablewright.llm import archives, decontamination, language_model, lines, neardup, packing, periodic, quality, secrets, tokenfiles, toxicity, urls
 from tablewright.llm.tables import fold, read
+from tablewright.session import scratch_path
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,6 +181,15 @@ def op3_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place, size and checksum of the ids of every document, read back from files of fixed-width ids."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = scratch_path(spark, "ids")
+    tokenfiles.write_files(docs, folder, tokenfiles.FileOptions(public_tokenizers.path("word_bpe_49k.json")))
+    found = tokenfiles.read_documents(spark, folder, docs.schema["doc_id"].dataType.simpleString(), ids=False)
+    return tokenfiles.with_starts(found).select(F.col("key").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 #: Fixed value: what separates words.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -252,5 +262,6 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_language_model": op10_language_model,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_token_files": op13_token_files,
 }
 SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_line_dedup": OP8_SQL, "op11_periodic_runs": OP11_SQL}

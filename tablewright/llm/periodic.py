@@ -28,10 +28,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.arrow import append_columns
+from tablewright.llm.arrow import append_columns, slices
 
-#: Bytes of text that are treated together; a longer text is treated alone.
-SLICE_BYTES = 4 << 20
 _RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
 
@@ -119,17 +117,6 @@ def find(words: np.ndarray, longest: int, options: RunOptions) -> np.ndarray:
     return runs[np.lexsort((runs[:, 2], runs[:, 0]))]
 
 
-def _slices(column: pa.Array) -> Iterator[pa.Array]:
-    """The column in pieces of some ``SLICE_BYTES`` of text, at least one row each."""
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends, begin = np.cumsum(sizes), 0
-    while begin < len(column):
-        before = ends[begin - 1] if begin else 0
-        end = max(begin + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
-        yield column.slice(begin, end - begin)
-        begin = end
-
-
 def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """(all words, first word of each text and the number of words at the end)."""
     parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
@@ -167,7 +154,7 @@ def find_runs(docs: DataFrame, options: RunOptions | None = None, text_col="text
 
     def compute(batch):
         column = batch.column(text_col)
-        pieces = [_runs_of(s, o) for s in _slices(column)]
+        pieces = [_runs_of(s, o) for s in slices(column)]
         if not pieces:
             return [pa.array([], pa.list_(_RUN)), pa.array([], pa.string())]
         return [pa.concat_arrays([p[k] for p in pieces]) for k in (0, 1)]

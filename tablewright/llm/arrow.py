@@ -38,10 +38,11 @@ def free_names(df: DataFrame, names: list[str]) -> list[str]:
     return out
 
 
-def append_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch], list[pa.Array]], drop: tuple[str, ...] = ()) -> DataFrame:
+def append_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch], list[pa.Array]], drop: tuple[str, ...] = (), slice_by: str | None = None) -> DataFrame:
     """``df`` without ``drop`` and with the columns of ``fields`` behind it, computed per batch; no shuffle.
 
-    All other columns of ``df`` stay as they are; a new name that is taken gets underscores (``free_names``).
+    All other columns of ``df`` stay as they are; a new name that is taken gets underscores (``free_names``). Batches are
+    cut so that each holds some megabytes of the text column ``slice_by``.
     """
     new = StructType.fromDDL(fields)
     keep = [k for k, n in enumerate(df.columns) if n not in drop]
@@ -49,8 +50,9 @@ def append_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch
     schema = StructType([df.schema.fields[k] for k in keep] + [StructField(n, f.dataType) for n, f in zip(names[len(keep) :], new.fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + compute(batch), names=names)
+        for whole in batches:
+            for batch in [whole] if slice_by is None else (whole.slice(*s) for s in spans(whole.column(slice_by))):
+                yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + compute(batch), names=names)
 
     return df.mapInArrow(run, schema)
 
@@ -62,12 +64,12 @@ def texts(batch: pa.RecordBatch, column: str, null: str | None = "") -> Iterator
         yield null if text is None else text
 
 
-def slices(column: pa.Array, size: int = 4 << 20) -> Iterator[pa.Array]:
-    """A text column in pieces of some ``size`` bytes; a longer text is a piece of its own."""
+def spans(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of pieces of some ``size`` bytes of a text column; a longer text is a piece of its own."""
     bytes_of = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends, begin = np.cumsum(bytes_of), 0
     while begin < len(column):
         before = ends[begin - 1] if begin else 0
         end = max(begin + 1, int(np.searchsorted(ends, before + size, "right")))
-        yield column.slice(begin, end - begin)
+        yield begin, end - begin
         begin = end

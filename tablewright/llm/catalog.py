@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm import archives, decontamination, language_model, lines, neardup, packing, periodic, quality, secrets, tokenfiles, toxicity, urls
+from tablewright.llm import alignment, archives, decontamination, language_model, lines, neardup, packing, periodic, quality, secrets, tokenfiles, toxicity, urls
 from tablewright.llm.tables import fold, read
 from tablewright.session import scratch_path
 
@@ -181,6 +181,15 @@ def op3_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of the tokens of two tokenizers in every document, and the support of its links in the corpus."""
+    options = alignment.AlignOptions(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    found = alignment.align_texts(read(spark, sf_dir, "documents").select("doc_id", "text"), options)
+    written = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    found = found.withColumn("groups_sha256", written).drop("groups")
+    return alignment.link_support(found).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place, size and checksum of the ids of every document, read back from files of fixed-width ids."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -262,6 +271,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_language_model": op10_language_model,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_alignment": op12_alignment,
     "op13_token_files": op13_token_files,
 }
 SQL: dict[str, str] = {"op4_quality": OP4_SQL, "op6_decontamination": OP6_SQL, "op8_line_dedup": OP8_SQL, "op11_periodic_runs": OP11_SQL}

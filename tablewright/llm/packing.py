@@ -45,32 +45,41 @@ class PackOptions:
     min_cut: int = 8
 
 
-def _byte_of() -> dict[str, int]:
+def byte_of() -> dict[str, int]:
     """Printable stand-ins of bytes in byte-level vocabularies: printable Latin-1 as it is, the others from 256 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     others = [b for b in range(256) if b not in set(plain)]
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(others)}
 
 
+def plain_encoder(spec: dict):
+    """Function from text to ids for a byte-level tokenizer file, without its special tokens."""
+    import tiktoken
+
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    byte = byte_of()
+    ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+    return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def long_blank(text: str) -> bool:
+    """Whether white space may be too long for the faster library: a run of twice the length fills one of these pieces."""
+    return any(text[k : k + _BLANK].isspace() for k in range(0, len(text) - _BLANK + 1, _BLANK))
+
+
 def encoder(path: str):
     """Function from text to ids for a tokenizer file; the same ids as the file's own library, merged by a faster one.
 
     Texts that hold a special token, or white space that fills ``_BLANK`` characters, go to the file's own library.
     """
     if path not in _ENCODERS:
-        import tiktoken
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         special = {t["content"] for t in spec.get("added_tokens", [])}
-        byte = _byte_of()
-        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        fast = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        fast = plain_encoder(spec)
 
         def encode(text: str) -> list[int]:
-            # a run of twice the length fills one of these pieces
-            blank = any(text[k : k + _BLANK].isspace() for k in range(0, len(text) - _BLANK + 1, _BLANK))
-            if blank or any(t in text for t in special):
+            if long_blank(text) or any(t in text for t in special):
                 return _own_library(path).encode(text, add_special_tokens=False).ids
             return fast(text)
 

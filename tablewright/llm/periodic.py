@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.arrow import append_columns, slices
+from tablewright.llm.arrow import append_columns
 
 _RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 
@@ -152,15 +152,8 @@ def find_runs(docs: DataFrame, options: RunOptions | None = None, text_col="text
     the words that no run has behind its first period, joined by one space ('' without words). No shuffle."""
     o = options or RunOptions()
 
-    def compute(batch):
-        column = batch.column(text_col)
-        pieces = [_runs_of(s, o) for s in slices(column)]
-        if not pieces:
-            return [pa.array([], pa.list_(_RUN)), pa.array([], pa.string())]
-        return [pa.concat_arrays([p[k] for p in pieces]) for k in (0, 1)]
-
     fields = f"{runs_col} array<struct<start:long,length:long,period:long>>, {collapsed_col} string"
-    return append_columns(docs, fields, compute)
+    return append_columns(docs, fields, lambda batch: list(_runs_of(batch.column(text_col), o)), slice_by=text_col)
 
 
 def longest_run(runs: str | Column) -> Column:

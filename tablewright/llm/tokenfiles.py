@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from tablewright.llm.arrow import slices
+from tablewright.llm.arrow import spans
 from tablewright.llm.tables import stored
 
 MAGIC = b"TOKB"
@@ -268,8 +268,8 @@ def packed(docs: DataFrame, options: FileOptions, key_col="doc_id", text_col="te
         encode, part, row = encoder(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             sizes, out = [], []
-            for some in slices(batch.column("text")):
-                for ids in encode(some):
+            for span in spans(batch.column("text")):
+                for ids in encode(batch.column("text").slice(*span)):
                     ids = np.r_[ids, end]
                     if len(ids) and int(ids.max()) >= size:
                         raise ValueError(f"id {int(ids.max())} in a vocabulary of {size}")

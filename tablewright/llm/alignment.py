@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tablewright.functions.kinds import column
 from tablewright.llm.arrow import append_columns, free_names
 from tablewright.llm.packing import byte_of, long_blank, plain_encoder
 from tablewright.llm.tables import BROADCAST_BYTES, stored
@@ -40,7 +41,7 @@ _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BORDER = re.compile(f"(?<=[^{_BLANK}]) ")
 _LOOSE = re.compile(f"(?:^|[{_BLANK}]) ")
 #: Stretches that a worker remembers (twice as many at most), and the longest of them.
-_MEMO, _MEMO_CHARS = 200_000, 64
+_MEMO, _MEMO_CHARS = 150_000, 64
 #: Stretches that are encoded as one text.
 _TOGETHER = 1000
 #: Bytes of a row of a broadcast of pairs.
@@ -275,7 +276,7 @@ def pair_counts(aligned: DataFrame, pairs: str | Column = "pairs") -> DataFrame:
 def _least_count(counts: DataFrame, rows: int) -> int:
     """The smallest power of two such that at most ``rows`` pairs have that count or more; 1 if all fit."""
     by_size = counts.groupBy(F.floor(F.log2("count")).cast("int").alias("k")).count().collect()  # at most 64 rows
-    fit, least = 0, 1 << 63
+    fit, least = 0, 1 << 62
     for r in sorted(by_size, key=lambda r: -r["k"]):
         fit += r["count"]
         if fit > rows:
@@ -297,7 +298,8 @@ def link_support(aligned: DataFrame, pairs_col="pairs", broadcast_bytes: int = B
     if least > 1:
         rest = links.join(hot, ["a", "b"], "left_anti").join(counts.where(F.col("count") < least), ["a", "b"])
         met = met.unionByName(rest)
-    sums = met.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("n")).otherwise(0)).alias("n_best"), F.sum(F.col("n") * F.col("count")).alias("count_sum"))
     n_best, count_sum = free_names(table.drop(key, pairs_col), ["n_best", "count_sum"])
-    found = table.drop(pairs_col).join(sums.select(F.col("row").alias(key), F.col("n_best").alias("_b"), F.col("count_sum").alias("_c")), key, "left")
-    return found.select(*[c for c in table.columns if c not in (key, pairs_col)], F.coalesce("_b", F.lit(0).cast("long")).alias(n_best), F.coalesce("_c", F.lit(0).cast("long")).alias(count_sum))
+    best = F.sum(F.when(F.col("best"), F.col("n")).otherwise(0))
+    sums = met.groupBy(F.col("row").alias(key)).agg(best.alias(n_best), F.sum(F.col("n") * F.col("count")).alias(count_sum))
+    kept = [column(c) for c in table.columns if c not in (key, pairs_col)]
+    return table.join(sums, key, "left").select(*kept, *[F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c) for c in (n_best, count_sum)])

@@ -7,10 +7,10 @@ loop over ids. Layout, little-endian: ``HEAD``, byte offsets of the blocks and o
 document and at the end (8 bytes each), the documents' keys (an Arrow stream of one column, so of any type that can be
 ordered), the blocks.
 
-Texts are encoded in parallel, packed, written once, and dealt into ranges of the key by a shuffle of packed ids. Rows of
-one key stay in the order of the input table and may lie in several files, so a key that fills a third of the table does
-not meet in one task. A file ends after ``file_bytes``; only a single document can make it larger. Spark's text sink and
-binaryFile source carry the files, so any file system that Spark knows will do.
+Texts are dealt into ranges of the key by one shuffle, sorted there, encoded, packed and written. Rows of one key stay in
+the order of the input table and may lie in several ranges, so a key that fills a third of the table does not meet in one
+task. A file ends after ``file_bytes``; only a single document can make it larger. Spark's text sink and binaryFile source
+carry the files, so any file system that Spark knows will do.
 
 NULL and empty texts have no ids but the closing one. Documents without a key come first. Repeated rows are documents of
 their own. An empty table gives no file, and its folder reads as an empty table. Only the key goes into the files, so other
@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import json
 import struct
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,13 +33,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from tablewright.llm.arrow import spans
+from tablewright.llm.packing import byte_of
 from tablewright.llm.tables import stored
 
 MAGIC = b"TOKB"
 #: magic, version, bits of an id, ids of a block, part, ids of the part before this file, ids, documents, blocks, bytes of the keys
 HEAD = struct.Struct("<4sHHIIQQQQQ")
-#: Words whose ids a worker keeps (twice as many at most), the longest of them, and words that are asked for together.
-_MEMO, _MEMO_CHARS, _TOGETHER = 250_000, 64, 1000
+#: Marks that are cut from the end of words.
+_MARKS = ".,;:!?"
+#: Words of Latin letters, without the one whose small form is two signs: normalised as they are, lowered letter by letter.
+_LATIN = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}]+$"
+#: Stands for the end of a word; no letter.
+_END = "\x00"
+#: Bytes of text that are encoded together; a longer text is encoded alone.
+_TEXT_BYTES = 2 << 20
 _ENCODERS: dict = {}
 
 
@@ -52,7 +58,9 @@ class FileOptions:
     closing_id: int | None = 1
     vocabulary: int | None = None
     block_ids: int = 4096
-    file_bytes: int = 32 << 20
+    file_bytes: int = 16 << 20
+    # ranges of the key; by default as many as the session's shuffles have partitions
+    ranges: int | None = None
 
     def bits(self) -> int:
         return max(1, (self.size() - 1).bit_length())
@@ -86,16 +94,20 @@ def _words_apart(spec: dict) -> bool:
     return removed and bool(steps) and known and not loose and spec.get("post_processor") is None
 
 
-def _ends_in_letter(word: str) -> bool:
-    """Whether the normalised word ends in a letter or digit, behind which the splitting always cuts before a mark."""
-    return word[-1].isalnum() and (word[-1].isascii() or (word.lower()[-1].isalnum() and unicodedata.is_normalized("NFC", word)))
+def _letters_are_pieces(spec: dict) -> bool:
+    """Whether a word of letters is lowered, left whole and written byte by byte."""
+    steps = [s["type"] for s in spec["normalizer"]["normalizers"]]
+    split, *rest = spec["pre_tokenizer"]["pretokenizers"]
+    bytes_only = [p["type"] == "ByteLevel" and not p["add_prefix_space"] and not p["use_regex"] for p in rest] == [True]
+    return steps == ["NFC", "Replace", "Lowercase"] and split["type"] == "Split" and r"[\p{L}]+" in split["pattern"].get("Regex", "") and bytes_only
 
 
 class Encoder:
     """Ids of texts as the tokenizer file's own library has them (without special tokens around the text).
 
-    Where words do not depend on their neighbours, texts are split in Arrow and the library is asked once for a word, as
-    long as it is remembered: the last ``_MEMO`` new words are, and the ``_MEMO`` before them until then.
+    Where words do not depend on their neighbours, texts are split in Arrow and each different word of a slice is encoded
+    once: words of Latin letters, with marks behind them or not, by a faster library where that is proven to be the same,
+    others by the file's own.
     """
 
     def __init__(self, path: str):
@@ -105,78 +117,93 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.apart = _words_apart(spec)
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
-        self.lower = self.apart and {"type": "Lowercase"} in spec["normalizer"]["normalizers"]
-        self.marks = ".,;:!?" if self.apart and not any(c in t for t in self.added for c in ".,;:!?") else ""
-        ending = spec["model"].get("end_of_word_suffix")
-        vocabulary = spec["model"]["vocab"]
-        self.ends = np.zeros(1 + max([*vocabulary.values(), *(t["id"] for t in spec.get("added_tokens", []))]), bool)
-        if ending:
-            self.ends[[i for t, i in vocabulary.items() if t.endswith(ending)]] = True
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.fast, self.last = (self.apart and _letters_are_pieces(spec) and _merger(spec, self.tokenizer.model)) or (None, None)
+        # behind letters the splitting cuts before these marks, unless a token of its own holds them
+        self.marks = "" if any(c in t["content"] for t in spec.get("added_tokens", []) for c in _MARKS) else _MARKS
 
     def __call__(self, texts: pa.Array) -> list[np.ndarray]:
         """One array of unsigned 32-bit numbers for each text; NULL is empty."""
         texts = pc.fill_null(texts, "")
         if not self.apart:
             return self._plain(texts.to_pylist())
-        parts = pc.ascii_split_whitespace(texts)
-        bounds = parts.offsets.to_numpy().astype(np.int64)
-        words = parts.flatten().dictionary_encode()
-        known = self._words(words.dictionary.to_pylist())
-        sizes = np.array(list(map(len, known)), np.int64) // 4
-        flat = np.frombuffer(b"".join(known), "<u4")
-        at = words.indices.to_numpy(zero_copy_only=False)
+        split = pc.ascii_split_whitespace(texts)
+        bounds = split.offsets.to_numpy().astype(np.int64)
+        words = split.flatten().dictionary_encode()
+        flat, sizes, which = self._parts(words.dictionary)
+        at = which[words.indices.to_numpy(zero_copy_only=False)].ravel()
         n = sizes[at]
         ends = np.cumsum(n)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - n), n)]
-        return np.split(ids, np.r_[0, ends][bounds[1:-1] - bounds[0]]) if len(texts) else []
+        ids = flat[np.arange(n.sum()) + np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - n), n)]
+        return np.split(ids, np.r_[0, ends[1::2]][bounds[1:-1] - bounds[0]]) if len(texts) else []
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of each of some different words."""
-        if len(self.new) > _MEMO:
-            self.old, self.new = self.new, {}
-        found = list(map(self.new.get, words))
-        unknown = [k for k, x in enumerate(found) if x is None]
-        cuts = {}
-        for k in unknown:
-            found[k] = self.old.get(words[k])
-            if found[k] is None:
-                cuts[k] = self._cut(words[k])
-        ids = self._asked(list(dict.fromkeys(x for cut in cuts.values() for x in cut if x)))
-        ids[""] = b""
-        for k, (core, marks) in cuts.items():
-            found[k] = ids[core] + ids[marks]
-        self.new.update((words[k], found[k]) for k in unknown if len(words[k]) <= _MEMO_CHARS)
-        return found
-
-    def _cut(self, word: str) -> tuple[str, str]:
-        """A form of the word with the same ids, and the marks at its end."""
-        if self.lower and word.isascii():  # other letters can compose with marks in one case only
-            low = word.lower()
-            if not any(t in low for t in self.added):
-                word = low
-        core = word.rstrip(self.marks) if self.marks else word
-        return (core, word[len(core) :]) if core and _ends_in_letter(core) else (word, "")
-
-    def _asked(self, words: list[str]) -> dict[str, bytes]:
-        """The library's ids of each word. Words of letters go in one text: each has one id that ends a word, its last."""
-        single = [w for w in words if w.isalpha()]
-        found: dict[str, bytes] = {}
-        for k in range(0, len(single), _TOGETHER):
-            some = single[k : k + _TOGETHER]
-            ids = self._plain([" ".join(some)])[0]
-            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(ends) == len(some) and ends[-1] == 4 * len(ids):
-                data = ids.tobytes()
-                found.update((w, data[i:j]) for w, i, j in zip(some, [0, *ends.tolist()], ends.tolist()))
-        rest = [w for w in words if w not in found]
-        found.update((w, ids.tobytes()) for w, ids in zip(rest, self._plain(rest)))
-        return found
+    def _parts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of sequences one behind the other, their sizes, two sequences for each word): a word's ids are those of its
+        letters and those of its marks."""
+        which = np.zeros((len(words), 2), np.int64)
+        flat, sizes, held = [np.empty(0, "<u4")], [np.zeros(1, np.int64)], 1
+        direct = np.zeros(len(words), bool)
+
+        def add(to: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray | None = None, column: int = 0) -> None:
+            nonlocal held
+            which[to, column] = held + (np.arange(len(n)) if at is None else at)
+            flat.append(ids)
+            sizes.append(n)
+            held += len(n)
+
+        if self.fast and len(words):
+            core = pc.utf8_rtrim(words, characters=self.marks) if self.marks else words
+            direct = pc.match_substring_regex(core, _LATIN).to_numpy(zero_copy_only=False)
+            add(direct, *self._merged(pc.utf8_lower(core.filter(pa.array(direct)))))
+            marked = direct & (pc.binary_length(core).to_numpy() < pc.binary_length(words).to_numpy())
+            tails = pc.replace_substring_regex(words.filter(pa.array(marked)), f"^[^{_MARKS}]+", "").dictionary_encode()
+            add(marked, *_laid(self._plain(tails.dictionary.to_pylist())), tails.indices.to_numpy(zero_copy_only=False), 1)
+        add(~direct, *_laid(self._plain(words.filter(pa.array(~direct)).to_pylist())))
+        return np.concatenate(flat), np.concatenate(sizes), which
+
+    def _merged(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, their number for each piece); the sign behind a piece stands for the end of a word."""
+        if not len(pieces):
+            return _laid([])
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), _END)
+        ids = np.array(self.fast(joined[0].as_py() + _END), "<u4")
+        return ids, np.diff(np.flatnonzero(self.last[ids]), prepend=-1)
+
+
+def _laid(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([*parts, np.empty(0, "<u4")]), np.fromiter(map(len, parts), np.int64, len(parts))
+
+
+def _merger(spec: dict, library):
+    """(function from pieces that end in ``_END`` to ids, which ids end a piece) by a faster library, None if it could differ.
+
+    That library merges two neighbours whenever they spell a token, the earliest token first; the file's library merges
+    them if they are a pair of its list. A stretch that spells a token and whose ends no merge has crossed has been merged
+    like the token by itself, so both agree if every token by itself is merged to that token, and tokens are numbered in
+    the order of their pairs. Both are checked here for the whole vocabulary.
+    """
+    import tiktoken
+    from tokenizers import models
+
+    model, ending = spec["model"], spec["model"].get("end_of_word_suffix")
+    if not ending or model.get("continuing_subword_prefix") or model.get("dropout") or model.get("byte_fallback"):
+        return None
+    vocabulary, byte = model["vocab"], byte_of()
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    order = [vocabulary[a + b] for a, b in pairs]
+    base = set(vocabulary) - {a + b for a, b in pairs}
+    inner = models.BPE(vocab=vocabulary, merges=pairs)
+    alone = all([x.id for x in (library.tokenize(t[: -len(ending)]) if t.endswith(ending) else inner.tokenize(t))] == [i] for t, i in vocabulary.items())
+    plain = {c for c in byte} | {c + ending for c in byte}
+    if order != sorted(order) or base != plain or max(vocabulary[t] for t in base) > min(order) or not alone:
+        return None
+    spell = lambda t: bytes(byte[c] for c in t)
+    ranks = {spell(t[: -len(ending)]) + _END.encode() if t.endswith(ending) else spell(t): i for t, i in vocabulary.items()}
+    last = np.zeros(1 + max(vocabulary.values()), bool)
+    last[[i for t, i in vocabulary.items() if t.endswith(ending)]] = True
+    return tiktoken.Encoding("own", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary, last
 
 
 def encoder(path: str) -> Encoder:
@@ -258,72 +285,49 @@ class TokenFile:
 # Spark
 
 
-def packed(docs: DataFrame, options: FileOptions, key_col="doc_id", text_col="text") -> DataFrame:
-    """(key, part, row, n, bits): the packed ids of every document; part and row are its place in the input table."""
-    bits, closing, path, size = options.bits(), options.closing_id, options.tokenizer_path, options.size()
-    schema = StructType([StructField("key", docs.schema[key_col].dataType), *StructType.fromDDL("part int, row long, n long, bits binary").fields])
-    end = np.array([] if closing is None else [closing], "<u4")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, row = encoder(path), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            sizes, out = [], []
-            for span in spans(batch.column("text")):
-                for ids in encode(batch.column("text").slice(*span)):
-                    ids = np.r_[ids, end]
-                    if len(ids) and int(ids.max()) >= size:
-                        raise ValueError(f"id {int(ids.max())} in a vocabulary of {size}")
-                    sizes.append(len(ids))
-                    out.append(pack(ids, bits))
-            n = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=schema.names)
-            row += n
-
-    return docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, schema)
-
-
 def write_files(docs: DataFrame, folder: str, options: FileOptions, key_col="doc_id", text_col="text") -> None:
     """Writes the ids of all texts to ``folder`` in ascending order of the key."""
-    o, spark = options, docs.sparkSession
-    bits, block_ids, file_bytes = o.bits(), o.block_ids, o.file_bytes
-    table = stored(packed(docs, o, key_col, text_col), "packed")
-    total = table.agg(F.sum("n")).first()[0] or 0
-    parts = max(spark.sparkContext.defaultParallelism, -(-total * bits // 8 // file_bytes))
-    order = [F.col(c).asc_nulls_first() for c in ("key", "part", "row")]
-    dealt = table.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    o = options
+    bits, block_ids, file_bytes, path, size = o.bits(), o.block_ids, o.file_bytes, o.tokenizer_path, o.size()
+    end = np.array([] if o.closing_id is None else [o.closing_id], "<u4")
+    placed = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("place"))
+    order = [F.col("key").asc_nulls_first(), F.col("place")]
+    dealt = placed.repartitionByRange(*([o.ranges] if o.ranges else []), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before = TaskContext.get().partitionId(), 0
-        keys, sizes, ids, held = [], [], [], 0
+        encode, part, before = encoder(path), TaskContext.get().partitionId(), 0
+        keys: list[pa.Array] = []
+        sizes: list[int] = []
+        ids: list[np.ndarray] = []
+        held = 0
 
         def image() -> pa.RecordBatch:
             nonlocal before, held
-            n = np.concatenate(sizes)
-            data = file_image(pa.concat_arrays(keys), np.concatenate(ids), n, bits, block_ids, part, before)
-            before, held = before + int(n.sum()), 0
+            data = file_image(pa.concat_arrays(keys), np.concatenate(ids), np.array(sizes, np.int64), bits, block_ids, part, before)
+            before, held = before + sum(sizes), 0
             for x in (keys, sizes, ids):
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["value"])
 
         for batch in batches:
-            begin = 0
-            n = batch.column("n").to_numpy(zero_copy_only=False)
-            for k, data in enumerate(batch.column("bits")):
-                ids.append(unpack(data.as_buffer(), bits, int(n[k])))
-                held += 4 * int(n[k])
-                # ids wait unpacked, so they take up to 32 bits each
-                if held * bits >= 32 * file_bytes:
-                    keys.append(batch.column("key").slice(begin, k + 1 - begin))
-                    sizes.append(n[begin : k + 1])
-                    yield image()
-                    begin = k + 1
-            if begin < len(n):
-                keys.append(batch.column("key").slice(begin))
-                sizes.append(n[begin:])
+            for first, n in spans(batch.column("text"), _TEXT_BYTES):
+                begin = first
+                for k, some in enumerate(encode(batch.column("text").slice(first, n)), first):
+                    if len(some) and int(some.max()) >= size:
+                        raise ValueError(f"id {int(some.max())} in a vocabulary of {size}")
+                    ids += [some, end]
+                    sizes.append(len(some) + len(end))
+                    held += sizes[-1] * bits
+                    if held >= 8 * file_bytes:
+                        keys.append(batch.column("key").slice(begin, k + 1 - begin))
+                        yield image()
+                        begin = k + 1
+                if begin < first + n:
+                    keys.append(batch.column("key").slice(begin, first + n - begin))
         if sizes:
             yield image()
 
-    images = dealt.select("key", "n", "bits").mapInArrow(run, "value binary")
+    images = dealt.select("key", "text").mapInArrow(run, "value binary")
     # one record a file; the line end behind it is no part of the format
     images.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
 

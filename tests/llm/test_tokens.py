@@ -325,7 +325,7 @@ def test_other_tokenizer_files_are_encoded_whole():
 def test_files_hold_all_documents_in_order(spark, word_library):
     rows = [(None, "no key"), (7, None), (3, ""), (5, "five five"), (5, "again"), (5, "five five"), (-2, "minus"), (9, "w " * 30_000)] + [(100 + k, f"text {k}") for k in range(60)]
     docs = rows_of(spark, rows, ["key", "part", "n", "bits", "start", "path"]).repartition(5)
-    options = tokenfiles.FileOptions(WORDS, block_ids=64, file_bytes=200)
+    options = tokenfiles.FileOptions(WORDS, block_ids=64, file_bytes=30, ranges=6)
     assert options.bits() == 16
     folder = scratch_path(spark, "ids")
     tokenfiles.write_files(docs, folder, options)

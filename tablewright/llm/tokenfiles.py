@@ -46,7 +46,7 @@ _LATIN = r"^[A-Za-z\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{
 #: Stands for the end of a word; no letter.
 _END = "\x00"
 #: Bytes of text that are encoded together; a longer text is encoded alone.
-_TEXT_BYTES = 2 << 20
+_TEXT_BYTES = 1 << 20
 _ENCODERS: dict = {}
 
 
@@ -58,7 +58,7 @@ class FileOptions:
     closing_id: int | None = 1
     vocabulary: int | None = None
     block_ids: int = 4096
-    file_bytes: int = 16 << 20
+    file_bytes: int = 8 << 20
     # ranges of the key; by default as many as the session's shuffles have partitions
     ranges: int | None = None
 

@@ -4,9 +4,9 @@ Both token lists of a text spell the same bytes. The byte at which a token ends
 each side leads from ends to token numbers. The ends that both dictionaries hold, sorted, cut both id lists into groups,
 and within a group every pair of tokens whose bytes overlap is a link.
 
-Stretches between blanks that were met before are not encoded again, where neither tokenizer has a token across their
-borders. Whether that holds is read from the files (the splitting of the first, the pieces of the second); if not, texts
-are encoded whole.
+Where neither tokenizer has a token across the blanks between words, each different stretch between blanks is encoded and
+aligned once for some megabytes of text. Whether that holds is read from the files (the splitting of the first, the pieces
+of the second); if not, texts are encoded and aligned whole.
 
 How often a pair of ids is linked is counted over all texts. Pairs are joined back to texts in two parts: the most frequent
 ones, as many as a broadcast of bounded size takes, whose least count follows from a histogram of counts, and the rest by a
@@ -40,8 +40,6 @@ from tablewright.llm.tables import BROADCAST_BYTES, stored
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _BORDER = re.compile(f"(?<=[^{_BLANK}]) ")
 _LOOSE = re.compile(f"(?:^|[{_BLANK}]) ")
-#: Stretches that a worker remembers (twice as many at most), and the longest of them.
-_MEMO, _MEMO_CHARS = 150_000, 64
 #: Stretches that are encoded as one text.
 _TOGETHER = 1000
 #: Bytes of a row of a broadcast of pairs.
@@ -58,12 +56,9 @@ class ByteSide:
     """A byte-level BPE file; every text gets a blank in front."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path = path
         split = spec.get("pre_tokenizer") or {}
         self.apart = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not spec.get("normalizer") and all(t["special"] for t in spec.get("added_tokens", []))
         # the faster library has the same ids for the usual splitting
@@ -75,7 +70,15 @@ class ByteSide:
     def encode(self, text: str) -> list[int]:
         if self.fast is not None and not long_blank(text):
             return self.fast(" " + text)
-        return self.tokenizer.encode(" " + text, add_special_tokens=False).ids
+        return self._library().encode(" " + text, add_special_tokens=False).ids
+
+    @cache
+    def _library(self):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
 
 
 class PieceSide:
@@ -129,7 +132,7 @@ def align(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Aligner:
-    """Alignments of stretches of text, remembered if short; None if a side cannot spell the stretch.
+    """Alignments of stretches of text; None if a side cannot spell the stretch.
 
     An alignment is (tokens of a, tokens of b, groups, text of the groups as numbers in ``written``, links as numbers
     a * 2**32 + b).
@@ -139,8 +142,6 @@ class Aligner:
         self.a, self.b = ByteSide(options.first_path), PieceSide(options.second_path)
         self.apart = self.a.apart and self.b.apart
         self.a_sizes, self.b_sizes = (np.array([*map(len, side.spelt)], np.int64) for side in (self.a, self.b))
-        self.new: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
         # ids with what follows them in the text of groups: "," or "|" on the first side, ",", ";" or nothing on the second
         n, m = len(self.a_sizes), len(self.b_sizes)
         self.written = pa.array([f"{i}{c}" for c in ",|" for i in range(n)] + [f"{i}{c}" for c in (",", ";", "") for i in range(m)])
@@ -160,21 +161,14 @@ class Aligner:
 
     def __call__(self, stretches: list[str]) -> list[tuple | None]:
         """Alignments of some different stretches."""
-        if len(self.new) > _MEMO:
-            self.old, self.new = self.new, {}
-        found = list(map(self.new.get, stretches))
-        unknown = [k for k, x in enumerate(found) if x is None]
-        for k in unknown:
-            found[k] = self.old.get(stretches[k])
-        ask = [k for k in unknown if found[k] is None]
         # a stretch that ends in white space cannot be joined to the next
-        single = [k for k in ask if not self.apart or not stretches[k] or stretches[k][-1].isspace()]
-        joined = sorted(set(ask).difference(single)) if single else ask
+        single = [k for k, s in enumerate(stretches) if not self.apart or not s or s[-1].isspace()]
+        joined = np.setdiff1d(np.arange(len(stretches)), single).tolist()
+        found: list[tuple | None] = [None] * len(stretches)
         for some in [joined[i : i + _TOGETHER] for i in range(0, len(joined), _TOGETHER)] + [[k] for k in single]:
-            for k, ids in zip(some, self._encoded([stretches[k] for k in some])):
-                found[k] = ids
-        self.new.update((stretches[k], found[k]) for k in unknown if len(stretches[k]) <= _MEMO_CHARS)
-        return [x or None for x in found]
+            for k, one in zip(some, self._encoded([stretches[k] for k in some])):
+                found[k] = one or None
+        return found
 
     def _encoded(self, some: list[str]) -> list[tuple]:
         """Alignment of each stretch, () if a side cannot spell it."""

@@ -10,18 +10,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def all_queries() -> dict[str, Query]:
-    from tablewright.catalog import features, modelling, preparation, profiling, serving, training
+    from tablewright.catalog import features, lifecycle, modelling, preparation, profiling, serving, training
 
     out: dict[str, Query] = {}
-    for module in (profiling, preparation, features, modelling, serving, training):
+    for module in (profiling, preparation, features, modelling, serving, training, lifecycle):
         out.update(module.QUERIES)
     return out
 
 
 def all_sql() -> dict[str, str]:
-    from tablewright.catalog import features, modelling, preparation, profiling, serving, training
+    from tablewright.catalog import features, lifecycle, modelling, preparation, profiling, serving, training
 
     out: dict[str, str] = {}
-    for module in (profiling, preparation, features, modelling, serving, training):
+    for module in (profiling, preparation, features, modelling, serving, training, lifecycle):
         out.update(module.SQL)
     return out

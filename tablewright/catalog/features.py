@@ -44,6 +44,18 @@ def date_parts(spark, sf_dir):
     return out
 
 
+_SPELLINGS = ["M/d/yyyy", "yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm", "MMM d, yyyy", "d MMMM yyyy", "EEEE, MMMM d, yyyy", "yyyyMMdd", "M/d/yy", "yyyy.M.d hh:mm a", "dd-MMM-yyyy", "dd/MM/yyyy"]
+
+
+def date_grammar(spark, sf_dir):
+    """Parts of order dates in eleven spellings; the last one is read day first where the day is above 12."""
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % len(_SPELLINGS)
+    text = F.coalesce(*[F.when(k == i, F.date_format("o_orderdate", f)) for i, f in enumerate(_SPELLINGS)])
+    text = F.when((k == len(_SPELLINGS) - 1) & (F.dayofmonth("o_orderdate") <= 12), F.date_format("o_orderdate", "M/d/yyyy")).otherwise(text)
+    return add_date_parts(o.select("o_orderkey", text.alias("d")), ["d"])
+
+
 def interactions(spark, sf_dir):
     li = read(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_linenumber")
     out = add_interactions(li, li.columns)
@@ -107,6 +119,7 @@ def engineered(spark, sf_dir):
 QUERIES = {
     "date_detect": date_detect,
     "date_parts": date_parts,
+    "date_grammar": date_grammar,
     "interactions": interactions,
     "polynomial": polynomial,
     "frequency_encode": frequency_encode,
@@ -138,6 +151,8 @@ _PAIRS = [
 _CORR_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "double_quantity", "negative_discount"]
 
 SQL = {
+    "date_grammar": """SELECT o_orderkey, year(o_orderdate)::INTEGER AS d_year, month(o_orderdate)::INTEGER AS d_month,
+ (isodow(o_orderdate) - 1)::INTEGER AS d_weekday FROM orders""",
     "date_detect": f"WITH {_DATED_SQL} "
     + " UNION ALL ".join(
         [

@@ -206,9 +206,8 @@ SELECT round(AVG(ABS(y - q)), 5) AS mae, round(SQRT(AVG((y - q) * (y - q))), 5)
     "linear_shap": f"""WITH {_SHAP_SQL} SELECT l_orderkey, l_linenumber, l_partkey, {", ".join(f"round({e}, 5) AS phi_{n}" for n, e in _PHI.items())},
  round({_INTERCEPT} + {" + ".join(f"mu.{n} * ({w})::DOUBLE" for n, w in _WEIGHTS.items())}, 5) AS base_value FROM lineitem l, mu""",
     "shap_importance": f"WITH {_SHAP_SQL} " + " UNION ALL ".join(f"SELECT '{n}' AS feature, round(AVG(ABS({e})), 5) AS mean_abs_shap FROM lineitem l, mu" for n, e in _PHI.items()),
-    "top_contributions": f"""WITH {_SHAP_SQL}, rows_ AS (SELECT row_number() OVER () AS id, * FROM lineitem),
- phi AS ({" UNION ALL ".join(f"SELECT id, l_orderkey, l_linenumber, l_partkey, '{n}' AS feature, {e} AS v FROM rows_ l, mu" for n, e in _PHI.items())}),
- ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ABS(v) DESC) AS place FROM phi)
-SELECT a.l_orderkey, a.l_linenumber, a.l_partkey, a.feature AS first_feature, round(a.v, 4) AS first_shap,
- round(ABS(b.v) / GREATEST(ABS(a.v), CAST(0.0001 AS DOUBLE)) * 100, 3) AS second_bar FROM ranked a JOIN ranked b ON a.id = b.id AND a.place = 1 AND b.place = 2""",
+    "top_contributions": f"""WITH {_SHAP_SQL}, listed AS (SELECT l_orderkey, l_linenumber, l_partkey,
+ list_sort([{", ".join(f"struct_pack(k := -ABS({e}), i := {i}, feature := '{n}', v := {e})" for i, (n, e) in enumerate(_PHI.items()))}]) AS s FROM lineitem l, mu)
+SELECT l_orderkey, l_linenumber, l_partkey, s[1].feature AS first_feature, round(s[1].v, 4) AS first_shap,
+ round(ABS(s[2].v) / GREATEST(ABS(s[1].v), CAST(0.0001 AS DOUBLE)) * 100, 3) AS second_bar FROM listed""",
 }

@@ -115,6 +115,15 @@ def split_sizes(spark, sf_dir):
     )
 
 
+def split_without_key(spark, sf_dir):
+    """Sizes of both sides where rows have copies: only the flags and the line number of lineitem, no key."""
+    df = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", "l_linenumber")
+    split = fit_split(df, Target("l_returnflag", MULTICLASS))
+    marked = split.mark(df).groupBy("l_returnflag", "is_test").agg(F.count(F.lit(1)).alias("n"))
+    sides = split.train(df).groupBy("l_returnflag").count().withColumn("is_test", F.lit(False)).unionByName(split.test(df).groupBy("l_returnflag").count().withColumn("is_test", F.lit(True)))
+    return marked.join(sides, ["l_returnflag", "is_test"], "full").select("l_returnflag", "is_test", "n", F.col("count").alias("n_of_side"))
+
+
 def feature_matrix(spark, sf_dir):
     """Split, imputation, scaling, clipping, one-hot and ordinal codes in one pass over the rows."""
     df = orders_gaps(spark, sf_dir).drop("o_orderdate").join(
@@ -188,6 +197,7 @@ QUERIES = {
     "stratified_split": stratified_split,
     "random_split": random_split,
     "split_sizes": split_sizes,
+    "split_without_key": split_without_key,
     "feature_matrix": feature_matrix,
     "preprocessing_report": preprocessing_report,
     "payload_coerce": payload,
@@ -244,6 +254,9 @@ SELECT o_orderkey, round((a - (SELECT AVG(a) FROM full_rows)) / (SELECT stddev_p
 SELECT o_orderkey, row_number() OVER (ORDER BY {split_hash_sql("o_orderkey")}) <= (SELECT CEIL(CAST(0.2 AS DOUBLE) * COUNT(*)) FROM known) AS is_test FROM known""",
     "split_sizes": f"""WITH {_quota_sql("labels", "doc_id", "toxic").strip()}
 SELECT toxic, is_test, COUNT(*) AS n, CAST(SUM(doc_id) AS BIGINT) AS key_sum, TRUE AS stratified FROM marked GROUP BY toxic, is_test""",
+    "split_without_key": f"""WITH {_quota_sql("lineitem", "l_orderkey", "l_returnflag").strip()}
+SELECT cls AS l_returnflag, t AS is_test, CAST(CASE WHEN t THEN n_test ELSE n - n_test END AS BIGINT) AS n, CAST(CASE WHEN t THEN n_test ELSE n - n_test END AS BIGINT) AS n_of_side
+FROM quota JOIN counts USING (cls), (SELECT unnest([TRUE, FALSE]) AS t)""",
     "feature_matrix": f"""WITH {ORDERS_GAPS_SQL}, {_quota_sql("gaps", "o_orderkey", "o_orderstatus").strip()},
 joined AS (SELECT m.*, c_mktsegment, c_name FROM marked m LEFT JOIN customer c ON m.o_custkey = c.c_custkey),
 train AS (SELECT * FROM joined WHERE NOT is_test),

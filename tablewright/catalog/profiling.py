@@ -130,6 +130,12 @@ def full_profile(spark, sf_dir):
     return rounded(out, 6, ["mean", "median", "mode_number", "min", "max", "std"])
 
 
+def sample_of_copies(spark, sf_dir):
+    """A sample of a table of five contents, without a key: all five come up, in a sample of its full size."""
+    found = sample_rows(read(spark, sf_dir, "events").select("event_type"))
+    return found.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("event_type").alias("contents"))
+
+
 QUERIES = {
     "table_shape": table_shape,
     "missing_values": missing,
@@ -145,6 +151,7 @@ QUERIES = {
     "histogram": histogram,
     "boxplot": boxplot,
     "sample_rows": row_sample,
+    "sample_of_copies": sample_of_copies,
     "size_estimate": memory_estimate,
     "target_candidates": candidates,
     "bounded_cardinality": bounded_cardinality,
@@ -282,6 +289,7 @@ SELECT * FROM m WHERE missing_count > 0""",
 {_corr_sql("f", ["a", "b", "l_quantity", "l_extendedprice"])}""",
     "histogram": f"WITH {LINEITEM_GAPS_SQL} {_hist_sql('gaps', ['l_quantity', 'l_extendedprice', 'l_discount', 'l_suppkey'])}",
     "boxplot": f"WITH {LINEITEM_GAPS_SQL} {_box_sql('gaps', LINEITEM_NUMERIC)}",
+    "sample_of_copies": "SELECT LEAST(50, COUNT(*)) AS rows, COUNT(DISTINCT event_type) AS contents FROM events",
     "sample_rows": """SELECT event_id, user_id, event_type, value, props FROM events
  ORDER BY md5(CAST(event_id AS VARCHAR) || '|42') LIMIT 50""",
     "size_estimate": f"""SELECT bytes, CASE WHEN bytes < 1024 THEN printf('%.1f B', bytes::DOUBLE)

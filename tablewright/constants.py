@@ -65,14 +65,20 @@ NULL_TOKENS = (
     "null",
 )
 
-# Date spellings recognised by date detection: the shape of the text and its format.
-DATE_FORMATS = (
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}(\.\d{3}(\d{3})?)?$", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSS]"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{3}(\d{3})?)?$", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]"),
-    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
-    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
-    (r"^\d{2}-[A-Za-z]{3}-\d{4}$", "dd-MMM-yyyy"),
+# Names of months in date texts; their first three letters are names too.
+MONTH_NAMES = (
+    "january",
+    "february",
+    "march",
+    "april",
+    "may",
+    "june",
+    "july",
+    "august",
+    "september",
+    "october",
+    "november",
+    "december",
 )
 
 SIZE_UNITS = ("B", "KB", "MB", "GB", "TB")

@@ -24,3 +24,8 @@ def normalised_sum(values: Column) -> Column:
     """Array scaled to sum to one."""
     total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
     return F.transform(values, lambda x: x / total)
+
+
+def softmax(margins: Column) -> Column:
+    """Shares of an array of margins; the largest margin is taken off first, so none overflows."""
+    return normalised_sum(F.transform(margins, lambda x: F.exp(x - F.array_max(margins))))

@@ -66,12 +66,10 @@ def add_date_parts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def interaction_names(columns: Sequence[str]) -> tuple[list[tuple[str, str, str]], str | None]:
-    """``(name, a, b)`` for every pair, or the reason for leaving them out."""
-    if len(columns) < 2:
-        return [], None
-    if len(columns) > INTERACTION_MAX_NUMERIC:
-        return [], f"Skipped: {len(columns)} numeric columns exceed the limit of {INTERACTION_MAX_NUMERIC} for pairwise products"
-    return [(f"{a}_x_{b}", a, b) for a, b in combinations(columns, 2)], None
+    """``(name, a, b)`` for every pair; none, with the reason, for more columns than products are made for."""
+    made = len(columns) <= INTERACTION_MAX_NUMERIC
+    pairs = [(f"{a}_x_{b}", a, b) for a, b in combinations(columns, 2)] if made else []
+    return pairs, None if made else f"Skipped: products are made for up to {INTERACTION_MAX_NUMERIC} numeric columns, here are {len(columns)}"
 
 
 def add_interactions(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -137,7 +135,7 @@ def add_frequency_encoding(df: DataFrame, columns: Sequence[str], fit_on: DataFr
 
 def target_encoding_skipped(columns: Sequence[str], target: Target) -> str | None:
     if columns and target.problem_type == MULTICLASS:
-        return "Skipped: target encoding is not applied to multiclass targets"
+        return "Skipped: a multiclass target has no mean to encode"
     return None
 
 
@@ -154,18 +152,18 @@ def add_target_encoding(
 def correlated_drops(df: DataFrame, columns: Sequence[str] | None = None) -> list[tuple[str, str, float]]:
     """``(dropped, kept, r)``: in pair order the second of two strongly correlated columns goes.
 
-    Only the k*k coefficients come to the driver.
+    Only the pairs above the limit reach the driver, as edges of a graph of columns; an edge whose ends are both still
+    there takes its second end away.
     """
     names = list(columns if columns is not None else numeric_columns(df))
-    if len(names) < 2:
-        return []
-    r = {(p["col_a"], p["col_b"]): p["corr"] for p in correlation_pairs(df, names).collect()}
-    gone: dict[str, tuple[str, float]] = {}
-    for a, b in combinations(names, 2):
-        strength = abs(r[(a, b)]) if r.get((a, b)) is not None else 0.0
-        if a not in gone and b not in gone and strength > CORRELATION_DROP_ABOVE:
-            gone[b] = (a, round(strength, 4))
-    return [(b, a, s) for b, (a, s) in gone.items()]
+    place = {n: k for k, n in enumerate(names)}
+    strong = correlation_pairs(df, names).where(F.abs("corr") > CORRELATION_DROP_ABOVE).collect()
+    left, drops = set(names), []
+    for e in sorted(strong, key=lambda e: (place[e["col_a"]], place[e["col_b"]])):
+        if {e["col_a"], e["col_b"]} <= left:
+            left.remove(e["col_b"])
+            drops.append((e["col_b"], e["col_a"], round(abs(e["corr"]), 4)))
+    return drops
 
 
 @dataclass(frozen=True)

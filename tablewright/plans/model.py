@@ -1,8 +1,16 @@
-"""A fitted model with its pre-processing: score, save, load, promote."""
+"""A fitted model with its pre-processing: score, save, load, promote.
+
+A saved model is a folder that is written once. The saved model of a project is
+the one that the latest of its pointers names; a pointer is one row in one file
+that appears when everything it points to is there, so a reader sees the model
+before or the model after a promotion, and a promotion that breaks off changes
+nothing.
+"""
 
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -14,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablewright.functions.kinds import column, require_columns
-from tablewright.functions.scores import argmax_index, decode_label, normalised_sum
+from tablewright.functions.scores import argmax_index, decode_label, softmax
 from tablewright.functions.values import coerce_payload
 from tablewright.operators.target import Target
 from tablewright.plans.preprocess import FittedPreprocessor
@@ -24,6 +32,8 @@ META_SCHEMA = (
     "feature_columns array<string>, train_means array<double>, input_schema string, saved_at timestamp"
 )
 
+POINTER_SCHEMA = "project_id bigint, version string, path string, saved_at timestamp"
+
 
 def model_scores(fitted: PipelineModel, df: DataFrame, target: Target, n_classes: int) -> DataFrame:
     """Class probabilities as array ``scores``, or the number ``value``; the model's own columns are dropped."""
@@ -33,9 +43,8 @@ def model_scores(fitted: PipelineModel, df: DataFrame, target: Target, n_classes
         return out.select(*kept, F.col("prediction").alias("value"))
     if len(fitted.stages) == 1:
         return out.select(*kept, vector_to_array("probability").alias("scores"))
-    # one sub-model per class: probabilities of "this class", scaled to sum to one
-    single = [F.element_at(vector_to_array(f"probability_{i}"), 2) for i in range(n_classes)]
-    return out.select(*kept, normalised_sum(F.array(*single)).alias("scores"))
+    # one sum of trees per class
+    return out.select(*kept, softmax(F.array(*[F.col(f"margin_{k}") for k in range(n_classes)])).alias("scores"))
 
 
 @dataclass
@@ -48,19 +57,23 @@ class ScoringModel:
     fitted: PipelineModel
     train_means: list[float]
     schema: T.StructType
+    # the folder it was written to or read from
+    path: str | None = None
 
     @property
     def required_columns(self) -> list[str]:
         return self.preprocessor.input_columns
 
     def save(self, spark: SparkSession, path: str) -> None:
+        """Write to a new folder; an existing one is an error. The description comes last and marks the model as whole."""
+        self.fitted.write().save(f"{path}/model")
         self.preprocessor.save(spark, f"{path}/preprocessor")
-        self.fitted.write().overwrite().save(f"{path}/model")
         row = (
             self.name, self.target.name, self.target.problem_type, self.labels or None, self.feature_columns,
             self.train_means, self.schema.json(), datetime.now(timezone.utc),
         )
-        spark.createDataFrame([row], META_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+        spark.createDataFrame([row], META_SCHEMA).coalesce(1).write.parquet(f"{path}/meta")
+        self.path = path
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ScoringModel:
@@ -74,24 +87,43 @@ class ScoringModel:
             fitted=PipelineModel.load(f"{path}/model"),
             train_means=list(m["train_means"]),
             schema=T.StructType.fromJson(json.loads(m["input_schema"])),
+            path=path,
         )
 
 
 def promote_model(spark: SparkSession, model: ScoringModel, folder: str, project_id: int) -> DataFrame:
-    """Make a model the saved one of its project, replacing the one before."""
-    path = f"{folder}/project_{project_id}"
-    model.save(spark, path)
+    """Make a model the saved one of its project. A model that lies in a folder is pointed to, any other is written first."""
+    if model.path is None:
+        model.save(spark, f"{folder}/project_{project_id}/versions/{uuid.uuid4().hex}")
+    return promote_saved(spark, model.path, folder, project_id)
+
+
+def promote_saved(spark: SparkSession, path: str, folder: str, project_id: int) -> DataFrame:
+    """Make the model in ``path``, such as one of an earlier run, the saved one of a project."""
+    spark.read.schema(META_SCHEMA).parquet(f"{path}/meta").select("model_name").first()  # an unfinished folder is an error here
+    row = (project_id, uuid.uuid4().hex, path, datetime.now(timezone.utc))
+    spark.createDataFrame([row], POINTER_SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/project_{project_id}/pointers")
     return saved_model_info(spark, folder, project_id)
 
 
+def promotions(spark: SparkSession, folder: str, project_id: int) -> DataFrame:
+    """All pointers of a project, latest first."""
+    rows = spark.read.schema(POINTER_SCHEMA).parquet(f"{folder}/project_{project_id}/pointers")
+    return rows.orderBy(F.col("saved_at").desc(), F.col("version").desc())
+
+
+def promoted_path(spark: SparkSession, folder: str, project_id: int) -> str:
+    return promotions(spark, folder, project_id).first()["path"]
+
+
 def saved_model_info(spark: SparkSession, folder: str, project_id: int) -> DataFrame:
-    return spark.read.schema(META_SCHEMA).parquet(f"{folder}/project_{project_id}/meta").select(
+    return spark.read.schema(META_SCHEMA).parquet(f"{promoted_path(spark, folder, project_id)}/meta").select(
         "model_name", "target_column", "problem_type", "class_labels", "feature_columns", "saved_at"
     )
 
 
 def load_promoted(spark: SparkSession, folder: str, project_id: int) -> ScoringModel:
-    return ScoringModel.load(spark, f"{folder}/project_{project_id}")
+    return ScoringModel.load(spark, promoted_path(spark, folder, project_id))
 
 
 def score(df: DataFrame, model: ScoringModel, clip: bool = False, coerce: bool = True) -> DataFrame:

@@ -113,17 +113,16 @@ class FittedPreprocessor:
         return VectorAssembler(inputCols=inputs, outputCol=output).transform(frame).drop(*inputs)
 
     def save(self, spark: SparkSession, path: str) -> None:
+        """Write to a new folder; one that holds a preprocessor already is an error, so none is read while it is replaced."""
         state = {
             "numeric": [asdict(s) for s in self.numeric],
             "one_hot": [asdict(s) for s in self.one_hot],
             "ordinal": [asdict(s) for s in self.ordinal],
             "excluded": self.excluded,
         }
-        spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").parquet(
-            f"{path}/state"
-        )
+        spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.parquet(f"{path}/state")
         for i, s in enumerate(self.ordinal):
-            self.codes[s.name].write.mode("overwrite").parquet(f"{path}/codes-{i}")
+            self.codes[s.name].write.parquet(f"{path}/codes-{i}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FittedPreprocessor:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tablewright.plans.model import ScoringModel, score
@@ -30,17 +30,18 @@ def score_batch(
 ) -> BatchResult:
     """Write scored rows and log how many there were and how sure the model was.
 
-    The two numbers are read off the sink (one column of it), so the model runs once.
+    The two numbers are observed while the rows are written, so nothing is read back.
     """
-    spark = df.sparkSession
-    scored = score(df, model, clip)
+    scored, seen = observed(score(df, model, clip), model)
     write_scored(scored, path, fmt)
-    back = spark.read.schema(scored.schema).format(fmt)
-    if fmt == "csv":
-        back = back.option("header", True).option("escape", '"').option("multiLine", True)
-    rows = back.load(path)
-    confidence = F.avg("probability") if model.target.is_classification else F.lit(None).cast("double")
-    seen = rows.agg(F.count(F.lit(1)).alias("n"), confidence.alias("c")).first()
+    n, confidence = seen.get["n"], seen.get["c"]
     if log is not None:
-        append_log(spark, log, project_id, user_id, model.name, "batch", seen["n"], seen["c"])
-    return BatchResult(path, seen["n"], seen["c"])
+        append_log(df.sparkSession, log, project_id, user_id, model.name, "batch", n, confidence)
+    return BatchResult(path, n, confidence)
+
+
+def observed(scored: DataFrame, model: ScoringModel) -> tuple[DataFrame, Observation]:
+    """Scored rows and what their next action will have seen of them: ``n`` rows, mean probability ``c``."""
+    seen = Observation()
+    confidence = F.avg("probability") if model.target.is_classification else F.max(F.lit(None).cast("double"))
+    return scored.observe(seen, F.count(F.lit(1)).alias("n"), confidence.alias("c")), seen

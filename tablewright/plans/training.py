@@ -6,10 +6,11 @@ import time
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from functools import partial
 
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.base import Estimator
+from pyspark.ml.base import Estimator, Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -22,8 +23,10 @@ from tablewright.functions.values import as_double
 from tablewright.operators.encode import label_encode
 from tablewright.operators.metrics import binary_roc_auc, classification_metrics, ovr_roc_auc, regression_metrics
 from tablewright.operators.target import Target, class_labels
+from tablewright.plans.boosting import fit_joint_boosting
 from tablewright.plans.model import ScoringModel, model_scores
 from tablewright.plans.preprocess import Preprocessed
+from tablewright.session import checkpoint_folder, together
 
 RUN_SCHEMA = (
     "run_id bigint, dataset_id bigint, target_column string, problem_type string, "
@@ -32,7 +35,7 @@ RUN_SCHEMA = (
 RESULT_SCHEMA = (
     "run_id bigint, result_id bigint, model_name string, accuracy double, precision double, recall double, "
     "f1 double, roc_auc double, mae double, rmse double, r2 double, training_time_seconds double, "
-    "params map<string,string>, created_at timestamp"
+    "params map<string,string>, created_at timestamp, model_path string"
 )
 
 
@@ -60,19 +63,26 @@ class SuiteOptions:
     seed: int = SEED
     # Larger groups of tree nodes per pass over the data.
     tree_memory_mb: int = 1024
+    # Candidate cuts of a feature.
+    max_bins: int = 32
+    # Rounds of levels after which a forest's row positions are written; they save shipping the trees to every task.
+    checkpoint_levels: int = 10
+    # Models that train side by side; 1 for training times that can be compared.
+    parallel: int = 5
 
 
 def estimators(target: Target, n_train: int, options: SuiteOptions = SuiteOptions()) -> dict[str, Estimator]:
     """Unfitted models by name. The logistic penalty equals C = 1 on the summed loss."""
     o = options
-    tree = {"seed": o.seed, "maxMemoryInMB": o.tree_memory_mb}
+    tree = {"seed": o.seed, "maxMemoryInMB": o.tree_memory_mb, "maxBins": o.max_bins}
+    deep = {**tree, "cacheNodeIds": True, "checkpointInterval": o.checkpoint_levels}
     if target.is_classification:
         out: dict[str, Estimator] = {
             "logistic_regression": LogisticRegression(
                 maxIter=o.max_iter, regParam=1.0 / n_train, elasticNetParam=0.0, standardization=False
             ),
             "random_forest": RandomForestClassifier(
-                numTrees=o.trees, maxDepth=o.forest_depth, featureSubsetStrategy="sqrt", **tree
+                numTrees=o.trees, maxDepth=o.forest_depth, featureSubsetStrategy="sqrt", **deep
             ),
         }
         boosted = GBTClassifier
@@ -80,7 +90,7 @@ def estimators(target: Target, n_train: int, options: SuiteOptions = SuiteOption
         out = {
             "linear_regression": LinearRegression(regParam=0.0, maxIter=o.max_iter),
             "random_forest": RandomForestRegressor(
-                numTrees=o.trees, maxDepth=o.forest_depth, featureSubsetStrategy="all", **tree
+                numTrees=o.trees, maxDepth=o.forest_depth, featureSubsetStrategy="all", **deep
             ),
         }
         boosted = GBTRegressor
@@ -90,16 +100,20 @@ def estimators(target: Target, n_train: int, options: SuiteOptions = SuiteOption
 
 
 def fit_model(estimator: Estimator, train: DataFrame, n_classes: int) -> PipelineModel:
-    """One stage, or one stage per class where the learner only knows two classes."""
+    """One stage, or one per class of a joint loss where Spark's learner only knows two classes."""
+    checkpoint_folder(train.sparkSession)
     if isinstance(estimator, GBTClassifier) and n_classes > 2:
-        stages = []
-        for i in range(n_classes):
-            one = train.withColumn("label", (F.col("label") == i).cast("double"))
-            fitted = estimator.fit(one)
-            fitted.setPredictionCol(f"prediction_{i}").setRawPredictionCol(f"raw_{i}").setProbabilityCol(f"probability_{i}")
-            stages.append(fitted)
-        return PipelineModel(stages)
-    return PipelineModel([estimator.fit(train)])
+        e = estimator
+        return fit_joint_boosting(train, n_classes, e.getMaxIter(), e.getMaxDepth(), e.getStepSize(), e.getSeed(), e.getMaxMemoryInMB(), e.getMaxBins())
+    return PipelineModel([_without_summary(estimator.fit(train))])
+
+
+def _without_summary(model: Model) -> Model:
+    """The model without the summary of its training, which would tie it to the training rows and to the session; a session
+    that observes what it writes cannot be sent along with a model."""
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.apply(None))
+    return model
 
 
 _SCALAR_PARAMS = {TypeConverters.toInt, TypeConverters.toFloat, TypeConverters.toString, TypeConverters.toBoolean}
@@ -137,48 +151,57 @@ def run_suite(
     target: Target,
     options: SuiteOptions = SuiteOptions(),
     names: Sequence[str] | None = None,
-    run_id: int = 1,
+    run_id: int | None = None,
     dataset_id: int = 1,
+    folder: str | None = None,
 ) -> Suite:
-    """Fit the models on the same training rows and compare them on the same test rows."""
+    """Fit the models on the same training rows and compare them on the same test rows.
+
+    ``run_id`` is the time in microseconds unless given. With a ``folder`` every
+    model is saved below it, in a folder of its run and name that its result names.
+    """
     df = prepared.source
     spark = df.sparkSession
     labels = class_labels(df, target.name) if target.is_classification else []
     train = _labelled(prepared.features("train"), target, labels).persist(StorageLevel.MEMORY_AND_DISK)
     test = _labelled(prepared.features("test"), target, labels).persist(StorageLevel.MEMORY_AND_DISK)
-    rows, models = [], {}
     now = datetime.now(timezone.utc)
+    run_id = int(now.timestamp() * 1_000_000) if run_id is None else run_id
+
+    def one(number: int, name: str, estimator: Estimator) -> tuple[tuple, ScoringModel]:
+        start = time.perf_counter()
+        fitted = fit_model(estimator, train, len(labels))
+        seconds = round(time.perf_counter() - start, 4)
+        scored = model_scores(fitted, test, target, len(labels)).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            m = judge(scored, target, len(labels))
+        finally:
+            scored.unpersist()
+        found = [m.get(k) for k in ("accuracy", "precision", "recall", "f1", "roc_auc", "mae", "rmse", "r2")]
+        model = ScoringModel(
+            name=name,
+            target=target,
+            labels=[str(v) for v in labels],
+            feature_columns=[n for n in df.columns if n != target.name],
+            preprocessor=prepared.preprocessor,
+            fitted=fitted,
+            train_means=means,
+            schema=df.select(*prepared.preprocessor.input_columns).schema,
+        )
+        if folder is not None:
+            model.save(spark, f"{folder}/models/run_{run_id}/{name}")
+        return (run_id, number, name, *found, seconds, loggable_params(estimator), now, model.path), model
+
     try:
         means = _means(train, len(prepared.preprocessor.feature_names))
         todo = estimators(target, prepared.split.train_rows, options)
-        for i, (name, estimator) in enumerate((n, e) for n, e in todo.items() if names is None or n in names):
-            start = time.perf_counter()
-            fitted = fit_model(estimator, train, len(labels))
-            seconds = round(time.perf_counter() - start, 4)
-            scored = model_scores(fitted, test, target, len(labels)).persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                m = judge(scored, target, len(labels))
-            finally:
-                scored.unpersist()
-            rows.append(
-                (
-                    run_id, i + 1, name, *[m.get(k) for k in ("accuracy", "precision", "recall", "f1", "roc_auc", "mae", "rmse", "r2")],
-                    seconds, loggable_params(estimator), now,
-                )
-            )
-            models[name] = ScoringModel(
-                name=name,
-                target=target,
-                labels=[str(v) for v in labels],
-                feature_columns=[n for n in df.columns if n != target.name],
-                preprocessor=prepared.preprocessor,
-                fitted=fitted,
-                train_means=means,
-                schema=df.select(*prepared.preprocessor.input_columns).schema,
-            )
+        todo = {n: e for n, e in todo.items() if names is None or n in names}
+        jobs = [partial(one, i, n, e) for i, (n, e) in enumerate(todo.items(), 1)]
+        done = together(spark, *jobs, at_once=options.parallel)
     finally:
         train.unpersist()
         test.unpersist()
+    rows, models = [row for row, _ in done], {model.name: model for _, model in done}
     run = spark.createDataFrame(
         [(run_id, dataset_id, target.name, target.problem_type, [str(v) for v in labels] or None, now)], RUN_SCHEMA
     )
@@ -207,3 +230,11 @@ def read_experiments(spark: SparkSession, folder: str) -> tuple[DataFrame, DataF
         spark.read.schema(RESULT_SCHEMA).parquet(f"{folder}/results"),
     )
 
+
+
+def load_result(spark: SparkSession, results: DataFrame, run_id: int, model_name: str) -> ScoringModel:
+    """The model that a result of an earlier run names."""
+    row = results.where((F.col("run_id") == run_id) & (F.col("model_name") == model_name)).select("model_path").first()
+    if row is None or row["model_path"] is None:
+        raise ValueError(f"no saved model '{model_name}' of run {run_id}")
+    return ScoringModel.load(spark, row["model_path"])

@@ -47,17 +47,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tablewright-{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage and survives the loss of executors."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Checkpoints go below the shared folder, unless the session names another one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: cuts lineage and survives the loss of executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def together(spark: SparkSession, *jobs: Callable):
-    """Results of independent driver calls whose Spark jobs may run side by side."""
-    with ThreadPool(len(jobs)) as pool:
+def together(spark: SparkSession, *jobs: Callable, at_once: int | None = None) -> list:
+    """Results of independent driver calls whose Spark jobs may run side by side, ``at_once`` of them."""
+    if not jobs:
+        return []
+    with ThreadPool(min(at_once or len(jobs), len(jobs))) as pool:
         running = [pool.apply_async(inheritable_thread_target(spark)(job)) for job in jobs]
         return [r.get() for r in running]

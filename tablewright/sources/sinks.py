@@ -47,21 +47,22 @@ def append_log(
     row_count: int,
     avg_confidence: float | None,
     created_at: datetime | None = None,
+    once: str | None = None,
 ) -> None:
-    """Append one entry. The time in microseconds serves as id, so that appending needs no look at the log."""
+    """Append one entry. The time in microseconds serves as id, so that appending needs no look at the log.
+
+    ``once`` names the entry: written again under the same name, it replaces the one before.
+    """
     when = created_at or datetime.now(timezone.utc)
-    row = (
-        int(when.timestamp() * 1_000_000),
-        project_id,
-        user_id,
-        model_name,
-        prediction_type,
-        row_count,
-        avg_confidence,
-        when,
-    )
-    spark.createDataFrame([row], LOG_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    entry = spark.createDataFrame(
+        [(int(when.timestamp() * 1_000_000), project_id, user_id, model_name, prediction_type, row_count, avg_confidence, when)], LOG_SCHEMA
+    ).coalesce(1)
+    if once is None:
+        entry.write.mode("append").parquet(path)
+    else:
+        entry.write.mode("overwrite").parquet(f"{path}/{once}")
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LOG_SCHEMA).parquet(path)
+    """All entries, those of named folders included."""
+    return spark.read.schema(LOG_SCHEMA).option("recursiveFileLookup", True).parquet(path)

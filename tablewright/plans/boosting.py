@@ -5,8 +5,8 @@ Tibshirani, 2000): with p the class share that the trees so far give a row and y
 fits (y - p) / (p (1 - p)) under the weight p (1 - p), so a leaf holds the Newton step of its rows and a split gains what
 second-order boosting gains. The trees of a round are grown side by side. Probabilities are the softmax of the class sums.
 
-The class sums are a column. It is computed once a round, and every few rounds it is checkpointed, so neither the plan nor
-the work after the loss of an executor grows with the number of rounds.
+The class sums are a column that every round writes to the shared folder, where the next round reads it and then removes
+it, so neither the plan, nor the disk, nor the work after the loss of an executor grows with the number of rounds.
 """
 
 from __future__ import annotations
@@ -14,14 +14,14 @@ from __future__ import annotations
 import uuid
 from functools import partial
 
-from pyspark import SparkContext, StorageLevel
+from pyspark import SparkContext
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.functions.scores import softmax
-from tablewright.session import materialise, together
+from tablewright.session import remove, together, written
 
 # Fixed values of the method: the largest working response, and the smallest weight of a row.
 MAX_RESPONSE = 4.0
@@ -29,7 +29,7 @@ MIN_WEIGHT = 1e-6
 
 
 def fit_joint_boosting(
-    train: DataFrame, n_classes: int, rounds: int, depth: int, step: float, seed: int, memory_mb: int, max_bins: int, rounds_per_checkpoint: int = 10
+    train: DataFrame, n_classes: int, rounds: int, depth: int, step: float, seed: int, memory_mb: int, max_bins: int
 ) -> PipelineModel:
     """One stage of boosted trees per class, fitted jointly to ``train`` (features, label from 0); stage k adds ``margin_k``.
 
@@ -39,7 +39,7 @@ def fit_joint_boosting(
     scale = step * (n_classes - 1) / n_classes
     data = train.select("features", "label", F.array(*[F.lit(0.0)] * n_classes).alias("margins"))
     trees: list[list[DecisionTreeRegressionModel]] = [[] for _ in range(n_classes)]
-    held: list[DataFrame] = []
+    before = None
     for i in range(rounds):
         shares = data.withColumn("_p", softmax(F.col("margins")))
         todo = shares.select("features", *[c for k in range(n_classes) for c in _working(k)])
@@ -50,24 +50,17 @@ def fit_joint_boosting(
             for k in range(n_classes)
         ]
         grown = together(train.sparkSession, *[partial(learner.fit, todo) for learner in learners])
-        # the class sums of this round are held now, so those before are no longer read
-        for old in held[:-1]:
-            old.unpersist()
-        held = held[-1:]
         for k, tree in enumerate(grown):
             trees[k].append(tree)
             data = tree.transform(data)
         moved = F.array(*[F.element_at("margins", k + 1) + F.lit(scale) * F.col(f"f_{k}") for k in range(n_classes)])
         data = data.select("features", "label", moved.alias("margins"))
-        if (i + 1) % rounds_per_checkpoint == 0 and i + 1 < rounds:
-            data = materialise(data)
-            for old in held:
-                old.unpersist()
-            held = []
-        else:
-            held.append(data.persist(StorageLevel.MEMORY_AND_DISK))
-    for old in held:
-        old.unpersist()
+        if i + 1 < rounds:
+            data, path = written(data, "margins")
+            # nothing reads the sums of the round before any more
+            remove(train.sparkSession, before)
+            before = path
+    remove(train.sparkSession, before)
     return PipelineModel([_as_stage(k, trees[k], scale) for k in range(n_classes)])
 
 

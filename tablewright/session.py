@@ -60,6 +60,23 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written once to the shared folder and read again, and the path for ``remove``."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str | None) -> None:
+    """Delete a scratch table that ``written`` made, on whatever file system it lies."""
+    if path is None:
+        return
+    if not path.startswith(f"{shared_dir(spark)}/tablewright-"):
+        raise ValueError(f"not a scratch table: {path}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def together(spark: SparkSession, *jobs: Callable, at_once: int | None = None) -> list:
     """Results of independent driver calls whose Spark jobs may run side by side, ``at_once`` of them."""
     if not jobs:

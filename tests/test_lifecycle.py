@@ -25,7 +25,7 @@ from tablewright.plans.model import ScoringModel, load_promoted, model_scores, p
 from tablewright.plans.preprocess import preprocess
 from tablewright.plans.serve import score_batch
 from tablewright.plans.training import Boosting, SuiteOptions, append_experiment, estimators, load_result, read_experiments, run_suite
-from tablewright.session import scratch_path
+from tablewright.session import remove, scratch_path, shared_dir
 from tablewright.sources.sinks import append_log, read_log
 from tablewright.streaming import scoring, trend
 from tests.conftest import SF
@@ -62,7 +62,7 @@ def log_loss(df, scores):
 def test_joint_loss_is_below_one_model_per_class(spark, three):
     df, target, prepared = three
     train = labelled(df, target, prepared).persist()
-    joint = fit_joint_boosting(train, 3, 6, 3, 0.3, 42, 256, 32, rounds_per_checkpoint=3)
+    joint = fit_joint_boosting(train, 3, 6, 3, 0.3, 42, 256, 32)
     assert [s.getNumTrees for s in joint.stages] == [6, 6, 6]
     scored = model_scores(joint, train, target, 3)
     total = scored.select(F.aggregate("scores", F.lit(0.0), lambda a, x: a + x).alias("t"))
@@ -77,8 +77,9 @@ def test_joint_loss_is_below_one_model_per_class(spark, three):
     shares = F.array(*[F.element_at(vector_to_array(f"p{k}"), 2) for k in range(3)])
     shares = F.transform(shares, lambda x: x / F.aggregate(shares, F.lit(0.0), lambda a, y: a + y))
     assert log_loss(scored, F.col("scores")) < log_loss(alone, shares) < math.log(3)
-    # equal seeds give equal trees, however the sums are checkpointed
-    again = fit_joint_boosting(train, 3, 6, 3, 0.3, 42, 256, 32, rounds_per_checkpoint=100)
+    # equal seeds give equal trees, and the sums of the rounds are gone
+    again = fit_joint_boosting(train, 3, 6, 3, 0.3, 42, 256, 32)
+    assert not [f for f in os.listdir(shared_dir(spark)) if f.startswith("tablewright-margins")]
     same = model_scores(again, train, target, 3).select("scores").exceptAll(scored.select("scores"))
     assert same.count() == 0
 
@@ -99,6 +100,12 @@ def test_joint_model_is_saved_and_explained_per_class(spark, three, joint):
     assert {r["predicted_class"] for r in explain_rows(test, back, ["id"]).collect()} <= {"k0", "k1", "k2"}
 
 
+def test_only_scratch_tables_are_removed(spark):
+    with pytest.raises(ValueError, match="not a scratch table"):
+        remove(spark, "/somewhere/else")
+    remove(spark, None)
+
+
 def test_forests_keep_row_positions_between_levels():
     forest = estimators(Target("y", BINARY), 100)["random_forest"]
     assert forest.getCacheNodeIds() and forest.getCheckpointInterval() == 10 and forest.getMaxBins() == SuiteOptions().max_bins == 32

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tablewright.catalog.tables import ORDERS_GAPS_SQL, orders_gaps, r, read
-from tablewright.constants import BINARY, REGRESSION
+from tablewright.constants import BINARY, MULTICLASS, REGRESSION
 from tablewright.operators.features import (
     add_date_parts,
     add_frequency_encoding,
@@ -116,6 +116,13 @@ def engineered(spark, sf_dir):
     return out.select("p_partkey", *[F.col(c) if c in text else r(F.col(c).cast("double")).alias(c) for c in out.columns if c != "p_partkey"])
 
 
+def engineer_report(spark, sf_dir):
+    """What feature engineering made of orders, step by step; drops are those of two columns that are one another's square or product."""
+    df = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    _, report = engineer_features(df, Target("o_orderstatus", MULTICLASS), keep=["o_orderkey"])
+    return report.rows(spark).where("step NOT IN ('dropped', 'count')").select("step", "source", "made")
+
+
 QUERIES = {
     "date_detect": date_detect,
     "date_parts": date_parts,
@@ -126,6 +133,7 @@ QUERIES = {
     "target_encode": target_encode,
     "target_encode_binary": target_encode_binary,
     "drop_correlated": drop_correlated,
+    "engineer_report": engineer_report,
     "engineer_features": engineered,
 }
 
@@ -150,7 +158,15 @@ _PAIRS = [
 ]
 _CORR_COLUMNS = ["l_quantity", "l_extendedprice", "l_discount", "double_quantity", "negative_discount"]
 
+_MADE_OF = ["o_custkey", "o_totalprice", "o_orderdate_year", "o_orderdate_month", "o_orderdate_weekday"]
+_MADE = [("date", "o_orderdate", f"o_orderdate_{x}") for x in ("year", "month", "weekday")]
+_MADE += [("interaction", f"{a}, {b}", f"{a}_x_{b}") for i, a in enumerate(_MADE_OF) for b in _MADE_OF[i + 1 :]]
+_MADE += [("square", a, f"{a}_squared") for a in _MADE_OF] + [("frequency", "o_orderpriority", "o_orderpriority_freq")]
+
 SQL = {
+    "engineer_report": "SELECT * FROM (VALUES "
+    + ", ".join(str(row) for row in _MADE)
+    + ", ('target_encoding_skipped', NULL, 'Skipped: a multiclass target has no mean to encode')) t(step, source, made) WHERE (SELECT COUNT(*) FROM orders) > 0",
     "date_grammar": """SELECT o_orderkey, year(o_orderdate)::INTEGER AS d_year, month(o_orderdate)::INTEGER AS d_month,
  (isodow(o_orderdate) - 1)::INTEGER AS d_weekday FROM orders""",
     "date_detect": f"WITH {_DATED_SQL} "

@@ -156,6 +156,12 @@ def preprocessing_report(spark, sf_dir):
     return spark.createDataFrame(rows, "item string, value double")
 
 
+def preprocessing_report_rows(spark, sf_dir):
+    """The whole report of events: sizes, scaling, encodings, values beyond the outlier limit and their total."""
+    df = read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.nullif("value", F.lit(0.0)).alias("value"))
+    return preprocess(df, Target("event_type", MULTICLASS), ["event_id"], exclude=["event_id"]).report.rows(spark)
+
+
 def payload(spark, sf_dir):
     """Form-field text to numbers: padded numbers, plain text and empty fields."""
     df = read(spark, sf_dir, "orders").select(
@@ -200,6 +206,7 @@ QUERIES = {
     "split_without_key": split_without_key,
     "feature_matrix": feature_matrix,
     "preprocessing_report": preprocessing_report,
+    "preprocessing_report_rows": preprocessing_report_rows,
     "payload_coerce": payload,
     "payload_typed": typed_payload,
 }
@@ -277,6 +284,19 @@ UNION ALL SELECT 'columns_with_gaps', (COUNT(*) > COUNT(l_quantity))::INT + (COU
 UNION ALL SELECT 'scaled_columns', 8.0
 UNION ALL SELECT 'dropped_rows', COUNT(*) - COUNT(l_linestatus) FROM gaps
 UNION ALL SELECT 'rows', COUNT(*) FROM gaps""",
+    "preprocessing_report_rows": f"""WITH gaps AS (SELECT event_id, user_id, event_type, NULLIF(value, 0.0) AS value FROM events), {_quota_sql("gaps", "event_id", "event_type").strip()},
+train AS (SELECT * FROM marked WHERE NOT is_test),
+fill AS (SELECT quantile_cont(value, 0.5) AS v, quantile_cont(user_id::DOUBLE, 0.5) AS u FROM train),
+stat AS (SELECT AVG(COALESCE(value, v)) AS mv, stddev_pop(COALESCE(value, v)) AS sv, AVG(COALESCE(user_id, u)) AS mu, stddev_pop(COALESCE(user_id, u)) AS su FROM train, fill),
+clips AS (SELECT COUNT(*) FILTER (WHERE ABS(COALESCE(value, v) - mv) / sv > 3) AS cv, COUNT(*) FILTER (WHERE ABS(COALESCE(user_id, u) - mu) / su > 3) AS cu FROM marked, fill, stat),
+gone AS (SELECT COUNT(*) - COUNT(value) AS g, COUNT(*) AS n, COUNT(*) FILTER (WHERE is_test) AS t FROM marked)
+SELECT 'size' AS section, CAST(NULL AS VARCHAR) AS "column", x.k AS detail, CAST(x.v AS BIGINT) AS n FROM (SELECT unnest([
+ struct_pack(k := 'feature_count_before', v := 2), struct_pack(k := 'feature_count_after', v := 2), struct_pack(k := 'train_rows', v := n - t),
+ struct_pack(k := 'test_rows', v := t), struct_pack(k := 'dropped_rows', v := 0), struct_pack(k := 'total_clipped', v := cv + cu)]) AS x FROM gone, clips)
+UNION ALL SELECT 'scaling', unnest(['user_id', 'value']), 'StandardScaler', NULL
+UNION ALL SELECT 'missing', 'value', 'median', g FROM gone WHERE g > 0
+UNION ALL SELECT 'outliers', 'value', 'Clip standardized values beyond +/-3.0 std', cv FROM clips WHERE cv > 0
+UNION ALL SELECT 'outliers', 'user_id', 'Clip standardized values beyond +/-3.0 std', cu FROM clips WHERE cu > 0""",
     "payload_coerce": """SELECT o_orderkey, o_custkey::DOUBLE AS padded_number, CAST(NULL AS DOUBLE) AS status_number, o_orderpriority AS kept_text FROM orders""",
     "payload_typed": """SELECT o_orderkey, CASE WHEN o_orderpriority <> '5-LOW' THEN o_custkey END AS o_custkey,
  NULLIF(o_orderpriority, '1-URGENT') AS o_orderpriority FROM orders""",

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,3 +178,16 @@ class FeatureReport:
     dropped_correlated: list[tuple[str, str, float]] = field(default_factory=list)
     feature_count_before: int = 0
     feature_count_after: int = 0
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """``(step, source, made, r)``: the whole report as a table, a row per feature made, left out or dropped."""
+        rows = [("date", source, made, None) for source, parts in self.date_features for made in parts]
+        rows += [("interaction", f"{a}, {b}", made, None) for made, a, b in self.interaction_features]
+        rows += [("square", source, made, None) for source, made in self.polynomial_features]
+        rows += [("frequency", source, made, None) for source, made in self.frequency_encoded]
+        rows += [("target_encoding", source, made, None) for source, made in self.target_encoded]
+        rows += [("dropped", dropped, kept, float(r)) for dropped, kept, r in self.dropped_correlated]
+        skipped = (("interaction_skipped", self.interaction_skipped), ("target_encoding_skipped", self.target_encoding_skipped))
+        rows += [(step, None, why, None) for step, why in skipped if why is not None]
+        rows += [("count", None, "before", float(self.feature_count_before)), ("count", None, "after", float(self.feature_count_after))]
+        return spark.createDataFrame(rows, "step string, source string, made string, r double")

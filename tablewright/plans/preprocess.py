@@ -200,6 +200,33 @@ class PreprocessingReport:
     dropped_rows: int
     excluded_columns: list[str]
 
+    @property
+    def total_clipped(self) -> int:
+        """Values beyond the outlier limit, over all columns."""
+        return self.outlier_clips.agg(F.coalesce(F.sum("clipped_count"), F.lit(0)).alias("n")).first()["n"]
+
+    def rows(self, spark: SparkSession) -> DataFrame:
+        """``(section, column, detail, n)``: the whole report as a table, a row per column and step."""
+        sizes = {
+            "feature_count_before": self.feature_count_before, "feature_count_after": self.feature_count_after, "train_rows": self.train_rows,
+            "test_rows": self.test_rows, "dropped_rows": self.dropped_rows, "total_clipped": self.total_clipped,
+        }
+        fixed = [("size", None, name, int(n)) for name, n in sizes.items()]
+        fixed += [("scaling", c, self.scaling_method, None) for c in self.scaling_columns]
+        fixed += [("excluded", c, None, None) for c in self.excluded_columns]
+        table = spark.createDataFrame(fixed, _REPORT_ROW)
+        part = lambda df, section, detail, n: df.select(F.lit(section).alias("section"), "column", detail.alias("detail"), F.col(n).cast("bigint").alias("n"))
+        for df, section, detail, n in (
+            (self.missing_values, "missing", F.col("strategy"), "missing_count"),
+            (self.encoding, "encoding", F.col("strategy"), "categories_count"),
+            (self.outlier_clips, "outliers", F.lit(self.outlier_method), "clipped_count"),
+        ):
+            table = table.unionByName(part(df, section, detail, n))
+        return table
+
+
+_REPORT_ROW = "section string, column string, detail string, n bigint"
+
 
 @dataclass
 class Preprocessed:

@@ -11,17 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import StructField, StructType
 
 
-def add_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+def add_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch], list[pa.Array]], slice_by: str | None = None) -> DataFrame:
     """``df`` with the columns of ``fields`` (a DDL string) computed per batch; no shuffle.
 
-    A column of ``df`` that has the name of a new one is replaced by it.
+    A column of ``df`` that has the name of a new one is replaced by it. Batches are cut so that each holds some megabytes
+    of the text column ``slice_by``.
     """
     new = StructType.fromDDL(fields)
     keep = [n for n in df.columns if n not in new.names]
     schema = StructType([df.schema[n] for n in keep] + new.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _cut(batches, slice_by):
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in keep] + compute(batch), names=schema.names)
 
     return df.mapInArrow(run, schema)
@@ -50,9 +51,8 @@ def append_columns(df: DataFrame, fields: str, compute: Callable[[pa.RecordBatch
     schema = StructType([df.schema.fields[k] for k in keep] + [StructField(n, f.dataType) for n, f in zip(names[len(keep) :], new.fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in [whole] if slice_by is None else (whole.slice(*s) for s in spans(whole.column(slice_by))):
-                yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + compute(batch), names=names)
+        for batch in _cut(batches, slice_by):
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + compute(batch), names=names)
 
     return df.mapInArrow(run, schema)
 
@@ -73,3 +73,11 @@ def spans(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
         end = max(begin + 1, int(np.searchsorted(ends, before + size, "right")))
         yield begin, end - begin
         begin = end
+
+
+def _cut(batches: Iterator[pa.RecordBatch], slice_by: str | None) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if slice_by is None:
+            yield batch
+        else:
+            yield from (batch.slice(*s) for s in spans(batch.column(slice_by)))

@@ -140,7 +140,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, t
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).orderBy("i", "t").collect()
         block = docs.sparkSession.sparkContext.broadcast(BenchmarkBlock([(r["i"], r["t"]) for r in rows], width))
-        out = add_columns(out, f"n_words long, hit_spans {SPANS}, matches {MATCHES}", lambda b, block=block, k=k: _judge(b, text_col, block.value, k > 0))
+        out = add_columns(out, f"n_words long, hit_spans {SPANS}, matches {MATCHES}", lambda b, block=block, k=k: _judge(b, text_col, block.value, k > 0), slice_by=text_col)
     return out
 
 

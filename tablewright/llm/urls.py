@@ -5,9 +5,10 @@ to a wildcard of its shape ({n} digits, {x} hexadecimal, {s} other, with the fil
 longest path; a level carries only urls that still have a segment. Once no node has enough urls for a segment of its own,
 no deeper one has, and what is left of the paths takes its shapes at once. Urls that a rule decides are the labelled samples. Sibling branches that differ in one segment are merged
 unless their labelled share of blocked urls differs significantly from that of their family. A template is rejected if
-its blocked share, smoothed towards the share of all labelled urls, is high enough.
+its blocked share, smoothed towards the share of all labelled urls, is high enough; one without labelled urls is allowed and
+has no share.
 
-NULL urls and urls without ``://`` have an empty host and path. Repeated urls count as often as they occur. All steps are
+NULL urls and urls without ``://`` have an empty host and path, which no rule fits, so they are allowed. Repeated urls count as often as they occur. All steps are
 groupings with map-side sums and joins on (host, prefix, segment) whose right side has one row per key, so a host with a
 third of all urls is split like any other skewed join key.
 """
@@ -101,7 +102,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], options: UrlOptions | None =
     apart = (F.col("l") > 0) & (F.abs(F.col("b") / F.greatest("l", F.lit(1)) - p) / spread > o.similar_z)
     named = stored(branches.join(families, ["host", "family"]).withColumn("merged", F.when(apart, F.col("template")).otherwise(F.col("family"))), "branches")
     share = (F.sum("b") + o.prior_weight * prior) / (F.sum("l") + o.prior_weight)
-    purity = named.groupBy("host", "merged").agg(share.alias("blocked_share"))
+    # what no label has been seen of is not rejected
+    purity = named.groupBy("host", "merged").agg(F.when(F.sum("l") > 0, share).alias("blocked_share"))
     known = named.select("host", "template", "family", "merged").join(purity, ["host", "merged"]).select("host", "template", "family", F.col("merged"), "blocked_share")
     judged = urls.join(known, ["host", "template", "family"], "left")
     method = F.when(F.col("blocked_share") >= o.reject_share, "block").otherwise("allow")

@@ -72,7 +72,6 @@ def test_packing_is_a_partition_of_the_ids(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(OPTIONS.tokenizer_path)
-    tokenizer.encode_special_tokens = True
     pieces = catalog.op1_packing(spark, SF).collect()
     check_pieces(pieces, [tuple(r) for r in table(spark, "documents").select("doc_id", "text").collect()], tokenizer)
     ids = sum(p["length"] for p in pieces)
@@ -149,6 +148,16 @@ def test_url_templates_reject_bad_branches(spark):
     assert urls.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def test_urls_that_no_label_speaks_of_are_allowed(spark):
+    urls_of = [f"http://bad.com/de/{k}" for k in range(30)] + [f"http://bad.com/fr/{k}" for k in range(10)]
+    urls_of += [f"http://never.net/a/{k}" for k in range(40)] + [None, "plain", ""]
+    pages = spark.createDataFrame(list(enumerate(urls_of)), "page_id long, url string")
+    got = {r["page_id"]: r for r in urls.judge_urls(pages, [("block", "com", "/de/"), ("allow", "com", "/fr/")]).collect()}
+    assert len(got) == len(urls_of)
+    assert {got[k]["verdict"] for k in range(30)} == {"block"} and {got[k]["verdict"] for k in range(30, 40)} == {"allow"}
+    assert all((got[k]["verdict"], got[k]["blocked_share"]) == ("allow", None) for k in range(40, len(urls_of)))
+
+
 def test_url_templates_reach_the_last_segment(spark):
     leaves = {("de", "d1"): 10, ("fr", "f1"): 15, ("en", "d1"): 10, ("en", "f1"): 10}
     urls_of = [f"http://x.com/{lang}/a/b/c/{leaf}?{k}" for (lang, leaf), n in leaves.items() for k in range(n)]

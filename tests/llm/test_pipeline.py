@@ -23,7 +23,6 @@ def test_stages_keep_what_they_should(spark):
     clean = p.drop_contaminated(spark, single, SF)
     assert clean.columns == p.COLUMNS and clean.count() <= single.count()
     tokenizer = Tokenizer.from_file(OPTIONS.tokenizer_path)
-    tokenizer.encode_special_tokens = True
     check_pieces(p.pack_sequences(spark, clean, SF).collect(), [tuple(r) for r in clean.select("doc_id", "text").collect()], tokenizer)
 
 

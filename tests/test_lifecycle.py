@@ -20,6 +20,7 @@ from tablewright.operators.split import fit_split
 from tablewright.operators.target import Target
 from tablewright.plans import explain
 from tablewright.plans.boosting import fit_joint_boosting
+from tablewright.plans.engineer import engineer_features
 from tablewright.plans.explain import explain_position, explain_rows, row_at, shap_frame
 from tablewright.plans.model import ScoringModel, load_promoted, model_scores, promote_model, promote_saved, promoted_path, promotions
 from tablewright.plans.preprocess import preprocess
@@ -354,3 +355,18 @@ def test_dates_in_everyday_spellings(spark):
     df = spark.createDataFrame([(t,) for t in spelt], "t string")
     got = {r["t"]: r["d"] for r in df.select("t", parse_date_text(F.col("t")).alias("d")).collect()}
     assert got == spelt
+
+
+def test_reports_as_rows(spark, three):
+    df, target, prepared = three
+    rows = {(r["section"], r["column"], r["detail"]): r["n"] for r in prepared.report.rows(spark).collect()}
+    assert rows["size", None, "train_rows"] + rows["size", None, "test_rows"] == 600
+    assert rows["size", None, "feature_count_before"] == 3 and rows["size", None, "dropped_rows"] == 0
+    assert rows["size", None, "total_clipped"] == sum(n for (section, _, _), n in rows.items() if section == "outliers")
+    assert {c for section, c, _ in rows if section == "scaling"} == {"a", "b", "c"}
+    wide = df.withColumn("twin", 2 * F.col("a")).withColumn("when", F.lit("Jan 5, 2024")).withColumn("kind", F.when(F.col("id") % 2 == 0, "x").otherwise("y"))
+    _, report = engineer_features(wide, target, keep=["id"])
+    made = [(r["step"], r["source"], r["made"]) for r in report.rows(spark).collect()]
+    assert ("date", "when", "when_month") in made and ("frequency", "kind", "kind_freq") in made and ("square", "a", "a_squared") in made
+    assert ("dropped", "twin", "a") in made and ("target_encoding_skipped", None, report.target_encoding_skipped) in made
+    assert report.rows(spark).where("step = 'count' AND made = 'before'").first()["r"] == 6.0

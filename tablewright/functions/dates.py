@@ -4,9 +4,9 @@ A text is cut into the tokens of its date and the rest, its time of day. What
 the tokens are (a year of four digits, a number, the name of a month) decides
 by a small grammar which of them is the year, the month and the day, in column
 expressions that stay in generated code. Of two leading numbers the first is the
-month, unless it is above 12. Years of two digits are 1969 to 2068, and only
-1678 to 2261 are years of dates. A zone or an offset is read and does not move
-the date: the parts are those that are written.
+month, unless it is above 12. Years of two digits are 1969 to 2068; a year
+alone is a date from 1678 to 2261. A zone or an offset is read and does not
+move the date: the parts are those that are written.
 """
 
 from __future__ import annotations
@@ -57,14 +57,14 @@ def _moment(t: Column, clock: Column) -> Column:
         .when(number(a) & year(b), ymd(value(b), value(a), first))
         .when(year(b), ymd(value(b), name(a), first))
     )
-    date = F.when(size == 3, three).when(size == 2, two).when((size == 1) & year(a), ymd(value(a), first, first))
+    date = F.when(size == 3, three).when(size == 2, two).when((size == 1) & year(a) & value(a).between(1678, 2261), ymd(value(a), first, first))
     hour, minute, second, half = (F.regexp_extract(clock, _TIME, k) for k in range(1, 5))
     hour, second = hour.try_cast("int"), F.coalesce(second.try_cast("decimal(11,9)"), F.lit(0))
     hour = F.when(half == "", hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
     zero = F.lit(0)
     told = clock != ""
     return F.try_make_timestamp_ntz(
-        F.when(date["y"].between(1678, 2261), date["y"]), date["m"], date["d"], F.when(told, hour).otherwise(zero), F.when(told, minute.try_cast("int")).otherwise(zero), F.when(told, second.cast("decimal(16,6)")).otherwise(F.lit(0).cast("decimal(16,6)"))
+        date["y"], date["m"], date["d"], F.when(told, hour).otherwise(zero), F.when(told, minute.try_cast("int")).otherwise(zero), F.when(told, second.cast("decimal(16,6)")).otherwise(F.lit(0).cast("decimal(16,6)"))
     )
 
 

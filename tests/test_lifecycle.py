@@ -349,7 +349,7 @@ def test_dates_in_everyday_spellings(spark):
         "Jan 5, 2024": at(), "January 5th, 2024 3:04 PM": at(15, 4), "Fri, 5 Jan 2024 10:30:00 GMT": at(10, 30), "2024-01-05T10:30:00Z": at(10, 30), "2024-01-05 10:30": at(10, 30),
         "2024-01-05 10:30:00.123456+02:00": at(10, 30, 0, 123456), "2024-Jan-05": at(), "1/5/2024 12:00 am": at(), "Jan 2024": at().replace(day=1), "2024-01": at().replace(day=1),
         "13/01/2024": at().replace(day=13), "sept 3, 2021": datetime.datetime(2021, 9, 3), "2024": at().replace(day=1), "29.02.2024": datetime.datetime(2024, 2, 29),
-        "2023-02-29": None, "13/13/2024": None, "12.05": None, "x": None, "": None, None: None, "2024-01-05T25:00": None, "January 32, 2024": None, "1/2/3/4": None, "9999-01-01": None,
+        "2023-02-29": None, "13/13/2024": None, "12.05": None, "x": None, "": None, None: None, "2024-01-05T25:00": None, "January 32, 2024": None, "1/2/3/4": None, "9999-01-01": datetime.datetime(9999, 1, 1), "1234": None,
         "2024-01-05 10:30 and more": None, "sunny 5 2024": None, "1e5": None, "-1": None, "x" * 100_000: None, "1/5/2024 13:00 pm": None,
     }
     df = spark.createDataFrame([(t,) for t in spelt], "t string")

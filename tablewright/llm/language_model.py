@@ -3,7 +3,8 @@
 Nothing of the model is broadcast: it grows with the corpus. Texts are tokenised once into blocks of some million tokens
 (written to the shared folder). A block sends the distinct tokens and token pairs it holds, with their counts in training
 texts, to shards by hash; a shard adds up what it gets, builds its part of the model and answers every block in the order
-it asked. A token pair is one row of a block however often it occurs, and the pairs of a context are spread over some
+it asked. Tokens are sent and answered before pairs are, so that the disk never holds both, and counts and lengths travel
+compressed. A token pair is one row of a block however often it occurs, and the pairs of a context are spread over some
 shards, so frequent words stay balanced.
 
 A shard's trie has a level of contexts, monotone pointers and a level of successors, all Elias-Fano coded in
@@ -49,7 +50,7 @@ class ModelOptions:
     """``block_tokens`` and ``shard_chars`` set the size of the pieces of work, not the result."""
 
     mass: float = 20.0
-    block_tokens: int = 2_000_000
+    block_tokens: int = 1_000_000
     shard_chars: int = 32_000_000
     spread: int = 4
     order: int = 2
@@ -118,6 +119,25 @@ def _blocks(rows: DataFrame, options: ModelOptions) -> DataFrame:
     return rows.mapInArrow(run, _ROW)
 
 
+def _train(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Id and training marks of the texts of a block, their token counts, and the training mark of each token."""
+    marks, sizes = np.frombuffer(row["b"], np.uint8).reshape(-1, 2).astype(bool), np.frombuffer(row["c"], np.int64)
+    return marks, sizes, np.repeat(marks[:, 1], sizes)
+
+
+def _token_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
+    return ((_mixed(hashes) >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return pa.compress(values.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data, length: int) -> np.ndarray:
+    """The ``length`` 32-bit numbers of ``_packed``."""
+    return np.frombuffer(pa.decompress(data, 4 * length, "zstd"), np.uint32)
+
+
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     distinct, at = np.unique(keys, return_inverse=True)
     return distinct, at.astype(np.int32)
@@ -127,10 +147,9 @@ class _Block:
     """A block with its distinct tokens, token pairs and, at order 3, triples, in the order in which shards are asked."""
 
     def __init__(self, row: dict, shards: int, options: ModelOptions):
-        self.ids, self.marks = np.frombuffer(row["a"], np.int64), np.frombuffer(row["b"], np.uint8).reshape(-1, 2).astype(bool)
-        self.sizes, self.rank, self.hashes = np.frombuffer(row["c"], np.int64), np.frombuffer(row["d"], np.uint32).astype(np.int64), np.frombuffer(row["e"], np.uint64)
+        self.ids, (self.marks, self.sizes, self.train) = np.frombuffer(row["a"], np.int64), _train(row)
+        self.rank, self.hashes = np.frombuffer(row["d"], np.uint32).astype(np.int64), np.frombuffer(row["e"], np.uint64)
         self.first = np.cumsum(self.sizes) - self.sizes
-        self.train = np.repeat(self.marks[:, 1], self.sizes)
         n = len(self.hashes)
         before = np.empty(len(self.rank), np.int64)
         before[1:] = self.rank[:-1]
@@ -143,7 +162,7 @@ class _Block:
         self.successor = self.successor_hash(successor)
         mixed = _mixed(self.context) >> np.uint64(32)
         self.pair_shard = ((mixed + self.successor % np.uint64(options.spread)) % np.uint64(shards)).astype(np.int32)
-        self.token_shard = ((_mixed(self.hashes) >> np.uint64(32)) % np.uint64(shards)).astype(np.int32)
+        self.token_shard = _token_shard(self.hashes, shards)
         # pairs come by context; those of one shard stay in this order
         self.pair_order = _stable(self.pair_shard)
         self.token_order = _stable(self.token_shard)
@@ -164,15 +183,24 @@ class _Block:
         return _mixed(self.hashes[rank]) >> np.uint64(32)
 
 
-def _requests(blocks: DataFrame, shards: int, options: ModelOptions) -> DataFrame:
+def _token_requests(blocks: DataFrame, shards: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for row in _rows(batch):
+                rank, hashes = (np.frombuffer(row[c], t) for c, t in (("d", np.uint32), ("e", np.uint64)))
+                count = np.bincount(rank[_train(row)[2]], minlength=len(hashes)).astype(np.uint32)
+                shard = _token_shard(hashes, shards)
+                yield _table([(row["block"], s, "tokens", hashes[at].tobytes(), _packed(count[at]), *[None] * 5) for s, at in _by_shard(shard, _stable(shard), shards)])
+
+    return blocks.mapInArrow(run, _ROW)
+
+
+def _pair_requests(blocks: DataFrame, shards: int, options: ModelOptions) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in _rows(batch):
                 x = _Block(row, shards, options)
                 rows = []
-                count = np.bincount(x.rank[x.train], minlength=len(x.hashes)).astype(np.uint32)
-                for s, at in _by_shard(x.token_shard, x.token_order, shards):
-                    rows.append((row["block"], s, "tokens", x.hashes[at].tobytes(), count[at].tobytes(), *[None] * 5))
                 count = np.bincount(x.pair_of[x.train], minlength=x.n_pairs).astype(np.uint32)
                 third = {}
                 if options.order > 2:
@@ -185,8 +213,8 @@ def _requests(blocks: DataFrame, shards: int, options: ModelOptions) -> DataFram
                     below = [None] * 3
                     if options.order > 2:
                         follow = third.get(s, x.triple_order[:0])
-                        below = [x.below[at].tobytes(), x.third[follow].tobytes(), triples[follow].tobytes()]
-                    rows.append((row["block"], s, "pairs", context[start].tobytes(), length.tobytes(), x.successor[at].astype(np.uint32).tobytes(), count[at].tobytes(), *below))
+                        below = [_packed(x.below[at]), x.third[follow].tobytes(), _packed(triples[follow])]
+                    rows.append((row["block"], s, "pairs", context[start].tobytes(), _packed(length), x.successor[at].astype(np.uint32).tobytes(), _packed(count[at]), *below))
                     if sum(len(v) for r in rows for v in r[3:] if v) > _SENT:
                         yield _table(rows)
                         rows = []
@@ -217,7 +245,8 @@ def _answer(table: pa.Table) -> pa.Table:
     out = []
     asked = [r for r in rows if r["kind"] == "tokens"]
     if asked:
-        hashes, counts = (np.concatenate([np.frombuffer(r[c], t) for r in asked]) for c, t in (("a", np.uint64), ("b", np.uint32)))
+        hashes = np.concatenate([np.frombuffer(r["a"], np.uint64) for r in asked])
+        counts = np.concatenate([_unpacked(r["b"], len(r["a"]) // 8) for r in asked])
         distinct, at = np.unique(hashes, return_inverse=True)
         total = np.bincount(at, weights=counts).astype(np.int64)
         out.append((-1, asked[0]["shard"], "sums", np.array([total.sum(), (total > 0).sum()], np.int64).tobytes(), *[None] * 6))
@@ -230,10 +259,10 @@ def _answer(table: pa.Table) -> pa.Table:
         with tempfile.TemporaryDirectory() as folder:
             trie = _trie(asked, folder)
             for r in asked:
-                pair = trie.pairs(np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.uint32), np.frombuffer(r["c"], np.uint32).astype(np.uint64))
+                pair = trie.pairs(np.frombuffer(r["a"], np.uint64), _unpacked(r["b"], len(r["a"]) // 8), np.frombuffer(r["c"], np.uint32).astype(np.uint64))
                 third = None
                 if r["e"] is not None:
-                    third = trie.third_codes_of(pair, np.frombuffer(r["e"], np.uint32), np.frombuffer(r["f"], np.uint32).astype(np.uint64)).tobytes()
+                    third = trie.third_codes_of(pair, _unpacked(r["e"], len(r["c"]) // 4), np.frombuffer(r["f"], np.uint32).astype(np.uint64)).tobytes()
                 out.append((r["block"], r["shard"], "pairs", trie.codes_of(pair).tobytes(), third, *[None] * 5))
     return pa.Table.from_batches([_table(out)], _SCHEMA)
 
@@ -241,26 +270,29 @@ def _answer(table: pa.Table) -> pa.Table:
 def _trie(asked: list[dict], folder: str):
     from tablewright.llm.eliasfano import Trie
 
-    context, successor, count, third, held = [], [], [], [], 0
+    pairs, count, third, held, begin = [], [], [], 0, 0
+    names, number = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in asked]), return_inverse=True)
+    number = number.astype(np.uint64) << np.uint64(32)
     for r in asked:
-        n = np.frombuffer(r["d"], np.uint32)
-        seen = n > 0
-        context.append(np.repeat(np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.uint32))[seen])
-        successor.append(np.frombuffer(r["c"], np.uint32)[seen])
+        n = _unpacked(r["d"], len(r["c"]) // 4)
+        seen, end = n > 0, begin + len(r["a"]) // 8
+        pairs.append((np.repeat(number[begin:end], _unpacked(r["b"], end - begin)) | np.frombuffer(r["c"], np.uint32))[seen])
         count.append(n[seen])
+        begin = end
         if r["e"] is not None:
             # the pair of a triple that occurs in training texts occurs there too
-            m = np.frombuffer(r["g"], np.uint32)
-            pair = np.repeat((held + np.cumsum(seen) - 1).astype(np.int32), np.frombuffer(r["e"], np.uint32))
+            m = _unpacked(r["g"], len(r["f"]) // 4)
+            pair = np.repeat((held + np.cumsum(seen) - 1).astype(np.int32), _unpacked(r["e"], len(n)))
             third.append((pair[m > 0], np.frombuffer(r["f"], np.uint32)[m > 0], m[m > 0]))
         held += len(count[-1])
-    context, successor, count = (np.concatenate(x) for x in (context, successor, count))
-    order = np.lexsort((successor, context))
-    context, successor, count = context[order], successor[order], count[order]
+    pairs, count = np.concatenate(pairs), np.concatenate(count)
+    order = np.argsort(pairs)
+    pairs, count = pairs[order], count[order]
     new = np.ones(len(order), bool)
-    new[1:] = (context[1:] != context[:-1]) | (successor[1:] != successor[:-1])
+    new[1:] = pairs[1:] != pairs[:-1]
     start = np.flatnonzero(new)
-    context, successor, total = context[start], successor[start].astype(np.uint64), _sums(count, start)
+    pairs, total = pairs[start], _sums(count, start)
+    context, successor = names[pairs >> np.uint64(32)], pairs & np.uint64(0xFFFFFFFF)
     below = None
     if third:
         place = np.empty(len(order), np.uint64)
@@ -323,9 +355,9 @@ def score_texts(docs: DataFrame, train: Column, options: ModelOptions | None = N
     shards = max(8, -(-size * (o.order - 1) // o.shard_chars))
     o = replace(o, spread=max(o.spread, shards // 16))
     blocks = stored(_blocks(rows, o), "blocks")
-    answers = stored(_requests(blocks, shards, o).groupBy("shard").applyInArrow(_answer, _ROW), "answers")
-    sums = answers.where("kind = 'sums'").select("a").toArrow().column("a").to_pylist()  # two numbers a shard
+    counts, codes = (stored(asked.groupBy("shard").applyInArrow(_answer, _ROW), "answers") for asked in (_token_requests(blocks, shards), _pair_requests(blocks, shards, o)))
+    sums = counts.where("kind = 'sums'").select("a").toArrow().column("a").to_pylist()  # two numbers a shard
     n, v = (int(x) for x in sum((np.frombuffer(b, np.int64) for b in sums), np.zeros(2, np.int64)))
-    both = blocks.union(answers.where("kind <> 'sums'"))
+    both = blocks.union(counts.where("kind <> 'sums'")).union(codes)
     fields = "id long, train boolean, n_tokens long, n_known long, base_score double, score double"
     return both.groupBy("block").applyInArrow(_scores(shards, o, n, v), fields), n

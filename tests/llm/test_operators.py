@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tablewright.llm import archives, catalog, decontamination, language_model, lines, neardup, packing, quality, secrets, toxicity, urls
+from tablewright.llm import archives, catalog, decontamination, language_model, lines, neardup, packing, quality, secrets, tables, toxicity, urls
 from tablewright.llm.components import components
 from tests.compare import connect, difference
 from tests.conftest import SF
@@ -414,6 +414,22 @@ def test_language_model_matches_plain_counts(spark):
     assert language_model.score_texts(docs.limit(0), F.lit(True))[0].count() == 0
 
 
+def test_language_model_sends_tokens_before_pairs(spark, monkeypatch):
+    asked = []
+
+    def stored(df, label):
+        out = tables.stored(df, label)
+        if label == "answers":
+            asked.append({r["kind"] for r in out.select("kind").collect()})
+        return out
+
+    monkeypatch.setattr(language_model, "stored", stored)
+    docs = spark.createDataFrame([(1, "a b a b"), (2, None), (None, "c")], "doc_id long, text string")
+    found, n = language_model.score_texts(docs, F.lit(True), language_model.ModelOptions(order=3))
+    assert found.count() == 3 and n == 8
+    assert asked == [{"sums", "tokens"}, {"pairs"}]
+
+
 def test_language_model_query_knows_contexts_of_two_words(spark, tmp_path):
     train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]

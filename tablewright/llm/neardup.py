@@ -15,7 +15,9 @@ many of each text that two texts over the threshold share one. Should such a gro
 are compared with all members in blocks of bounded size, which return links only.
 
 *Estimate and verification.* The share of agreeing registers, corrected for accidental collisions, drops pairs that lie
-more than five standard errors under the threshold. The rest is confirmed on the full shingle sets.
+more than five standard errors under the threshold where they meet, so no row is made for them. The error is that of one
+permutation's registers: those of a text of few shingles hold nearly all of them. The rest is confirmed on the full
+shingle sets.
 Links are closed to components by star contraction. No links, sets or components reach the driver.
 
 Null and empty texts have no shingles, are linked with nothing and kept. Rows with a NULL id are returned with
@@ -29,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.arrow import add_columns, texts
@@ -131,11 +133,11 @@ def sketches(docs: DataFrame, options: NearDupOptions, id_col="doc_id", text_col
             r = registers(s) if len(s) else None
             ids.append(None if r is None else xxhash.xxh3_128_digest(s.tobytes()))
             keys.append(None if r is None else bands(r, options.rows_per_band))
-            regs.append(None if r is None else r.tobytes())
-        return [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(regs, pa.binary())]
+            regs.append(None if r is None else r.view(np.int16))
+        return [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(regs, pa.list_(pa.int16()))]
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return add_columns(rows, "n long, set_id binary, bands array<long>, regs binary", compute).drop("text")
+    return add_columns(rows, "n long, set_id binary, bands array<long>, regs array<short>", compute).drop("text")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, most: int, options: NearDupOptions, id_col: str, text_col: str, listed: bool = False) -> DataFrame:
@@ -151,27 +153,28 @@ def _sets(docs: DataFrame, ids: DataFrame, most: int, options: NearDupOptions, i
     return add_columns(rows, f"shingles {ddl}", compute).drop("text")
 
 
+def _near(percent: int, n: tuple[str, str], regs: tuple[str, str]) -> Column:
+    """Whether the estimated similarity of two classes is not clearly under the threshold, which their sizes bound as well."""
+    na, nb = (F.col(c) for c in n)
+    least, count = percent / 100, lambda test: F.size(F.filter(F.zip_with(*regs, test), lambda hit: hit))
+    filled, same = count(lambda a, b: (a != 0) | (b != 0)), count(lambda a, b: (a == b) & (a != 0))
+    # variance of the share of agreeing registers at the threshold, where both sets together have so many other shingles
+    others = F.greatest((na + nb) / (1 + least) - 1, F.lit(1.0))
+    error = 5 * F.sqrt(least * (1 - least) * F.greatest((1 + 1 / others) / filled - 1 / others, F.lit(0.0))) + 1 / filled
+    alike = (na * 100 >= nb * percent) & (nb * 100 >= na * percent)
+    return alike & (same / filled - COLLISION * 2.0**-MANTISSA_BITS >= least - error)
+
+
 def _plausible(pairs: DataFrame, classes: DataFrame, options: NearDupOptions) -> DataFrame:
     """The pairs whose estimated similarity is not clearly under the threshold."""
     side = classes.select("id", "n", "regs")
     wide = pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b")
-    least = options.percent / 100
-
-    def near(batch):
-        keep = []
-        for na, ra, nb, rb in zip(*(batch.column(c).to_pylist() for c in ("na", "ra", "nb", "rb"))):
-            # min/max of the sizes bounds the similarity; a register sketch of few shingles has as many draws as shingles
-            draws = min(REGISTERS, na, nb)
-            error = 5 * (least * (1 - least) / draws) ** 0.5 + 1 / draws
-            keep.append(100 * min(na, nb) >= options.percent * max(na, nb) and similarity(np.frombuffer(ra, np.uint16), np.frombuffer(rb, np.uint16)) >= least - error)
-        return [pa.array(keep, pa.bool_())]
-
-    return add_columns(wide, "near boolean", near).where("near").select("a", "b")
+    return wide.where(_near(options.percent, ("na", "nb"), ("ra", "rb"))).select("a", "b")
 
 
-def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, options: NearDupOptions, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) confirmed on their full shingle sets."""
-    pairs = stored(_plausible(pairs, classes, options), "pairs")
+def _links(docs: DataFrame, pairs: DataFrame, options: NearDupOptions, id_col: str, text_col: str) -> DataFrame:
+    """The plausible pairs (a, b) confirmed on their full shingle sets."""
+    pairs = stored(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
     sets = stored(_sets(docs, ids, 2 * pairs.count(), options, id_col, text_col), "sets")
     wide = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
@@ -188,7 +191,7 @@ def _links(docs: DataFrame, classes: DataFrame, pairs: DataFrame, options: NearD
 
 
 def _mixed_groups(keyed: DataFrame, roots: DataFrame) -> DataFrame:
-    """(key, id, n, keys, root, main, members, outsiders) of the groups that hold several components.
+    """The columns of ``keyed`` (key, id and others), root, main, members and outsiders of the groups that hold several components.
 
     ``main`` marks the members of the group's largest component, ``outsiders`` counts the others.
     """
@@ -209,28 +212,31 @@ def _by_work(keyed: DataFrame, roots: DataFrame, options: NearDupOptions):
     return left.where(work <= options.group_pairs), left.where(work > options.group_pairs), most > options.group_pairs
 
 
-def _across(some: DataFrame, others: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a > b) of members of one group that are in different components.
+def _across(members: DataFrame, asks: Column, classes: DataFrame, percent: int) -> DataFrame:
+    """Plausible pairs (a > b) of members of one group, one of which ``asks``, that are in different components.
 
-    A pair that shares several groups is made in that of the smallest key only; sizes bound the similarity.
+    ``keys`` are a member's groups, its bands unless it names others. A pair that shares several groups is made in that of
+    the smallest key only, and once if both ask.
     """
-    x = some.select("key", F.col("id").alias("x"), F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("keys").alias("kx"))
-    y = others.select("key", F.col("id").alias("y"), F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("keys").alias("ky"))
-    alike = (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent)
+    wide = members.withColumn("asks", asks).join(classes.select("id", "n", "regs", *([] if "keys" in members.columns else [F.col("bands").alias("keys")])), "id")
+    side = lambda c: [F.col(n).alias(a) for n, a in zip(("id", "root", "n", "keys", "regs", "asks"), (c, f"r{c}", f"n{c}", f"k{c}", f"s{c}", f"a{c}"))]
+    x, y = wide.where("asks").select("key", *side("x")).drop("ax"), wide.select("key", *side("y"))
+    new = (F.col("rx") != F.col("ry")) & (~F.col("ay") | (F.col("x") > F.col("y")))
     once = F.array_min(F.array_intersect("kx", "ky")) == x["key"]
-    both = x.join(y, (x["key"] == y["key"]) & (F.col("rx") != F.col("ry")) & alike & once)
+    both = x.join(y, (x["key"] == y["key"]) & new & once & _near(percent, ("nx", "ny"), ("sx", "sy")))
     return both.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
 
 
 def _rare_shingles(docs: DataFrame, ids: DataFrame, options: NearDupOptions, id_col: str, text_col: str) -> DataFrame:
-    """(key, id, n, keys): the rarest shingles of each document, so many that two documents over the threshold share one (prefix filter)."""
+    """(key, id, keys): the rarest shingles of each document, so many that two documents over the threshold share one (prefix filter)."""
     sets = _sets(docs, ids, ids.count(), options, id_col, text_col, listed=True)
-    each = stored(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("key")), "shingles")
-    often = each.groupBy("key").agg(F.count("*").alias("c"))
-    ranked = each.join(often, "key").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("s"))
-    prefix = (F.col("n") - F.ceil(F.col("n") * options.percent / 100) + 1).cast("int")
-    rare = F.filter(F.slice("s", 1, prefix), lambda t: t["c"] > 1)["key"]
-    return ranked.select("id", F.col("n").cast("long").alias("n"), rare.alias("keys")).select(F.explode("keys").alias("key"), "id", "n", "keys")
+    each = stored(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+    often = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = each.join(often, "shingle").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
+    # shingles of one document only come first and pair it with none
+    prefix = F.col("n") - F.ceil(F.col("n") * options.percent / 100) + 1 - (F.col("n") - F.size("s"))
+    rare = F.slice("s", 1, F.greatest(prefix, F.lit(0)).cast("int"))["shingle"]
+    return ranked.select("id", rare.alias("keys")).select(F.explode("keys").alias("key"), "id", "keys")
 
 
 def _overlaps(sets: list[np.ndarray]):
@@ -307,27 +313,27 @@ def near_duplicates(docs: DataFrame, options: NearDupOptions | None = None, id_c
     shared = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("centre")).where("members > 1")
     members = stored(banded.select("key", "id").join(shared, "key"), "members")
     first = members.where("centre <> id").groupBy(F.col("id").alias("a")).agg(F.min("centre").alias("b"))
-    links = _links(docs, classes, first, o, id_col, text_col)
+    links = _links(docs, _plausible(first, classes, o), o, id_col, text_col)
     roots = stored(components(links, links.count()), "roots")
-    keyed = members.select("key", "id").join(classes.select("id", "n", F.col("bands").alias("keys")), "id")
+    keyed = members.select("key", "id")
     for turn in range(2):
         few, many, crowded = _by_work(keyed, roots, o)
         if few is None:
             break
-        pairs, block_links = _across(few.where("NOT main"), few, o.percent), None
+        pairs, block_links = _across(few, ~F.col("main"), classes, o.percent), None
         if crowded and turn == 0:
             # most outsiders of a large group are linked with one of a few members
             draw = F.xxhash64("id").cast("double") / F.lit(2.0**64) + F.lit(0.5)
-            pairs = pairs.union(_across(many.where(draw < F.lit(o.centres) / F.col("members")), many, o.percent))
+            pairs = pairs.union(_across(many, draw < F.lit(o.centres) / F.col("members"), classes, o.percent))
             keyed = many.select(*keyed.columns)
         elif crowded:
             rare = stored(_rare_shingles(docs, many.select("id"), o, id_col, text_col), "rare")
             few, many, crowded = _by_work(rare, roots, o)
             if few is not None:
-                pairs = pairs.union(_across(few.where("NOT main"), few, o.percent))
+                pairs = pairs.union(_across(few, ~F.col("main"), classes, o.percent))
             if crowded:
                 block_links = stored(_block_links(docs, many, o, id_col, text_col), "links")
-        found = _links(docs, classes, pairs.distinct(), o, id_col, text_col)
+        found = _links(docs, pairs.distinct(), o, id_col, text_col)
         roots = stored(_relabelled(roots, found if block_links is None else found.union(block_links)), "roots")
         if turn == 0 and not crowded:
             break

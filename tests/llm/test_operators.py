@@ -344,6 +344,16 @@ def test_near_duplicates_hard_rows(docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_pairs_of_a_group_are_made_once_and_only_if_plausible(spark):
+    common = [f"c{k}" for k in range(30)]
+    rows = [(1, " ".join(f"n{k}" for k in range(120))), (2, " ".join(f"n{k}" for k in range(3, 120)))]
+    rows += [(i, " ".join(common + [f"u{i}x{k}" for k in range(90)])) for i in range(3, 23)]  # a common line, nothing else
+    classes = neardup.sketches(spark.createDataFrame(rows, "doc_id long, text string"), neardup.NearDupOptions(words=2))
+    group = classes.select(F.lit(7).cast("long").alias("key"), "id", F.col("id").alias("root"), (F.col("id") > 20).alias("main"), F.array(F.lit(7).cast("long")).alias("keys"))
+    pairs = neardup._across(group, ~F.col("main"), classes, 80).collect()
+    assert [(r["a"], r["b"]) for r in pairs] == [(2, 1)]
+
+
 def test_register_estimate():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))

@@ -14,6 +14,7 @@ from tablewright.operators.leaderboard import best_models, training_runs
 from tablewright.operators.monitor import prediction_overview, prediction_stats
 from tablewright.operators.target import Target
 from tablewright.operators.tree_shap import build_ensemble, shap_values
+from tablewright.plans import training
 from tablewright.plans.explain import explain_rows, shap_summary
 from tablewright.plans.model import ScoringModel, score
 from tablewright.plans.preprocess import preprocess
@@ -291,3 +292,12 @@ def test_suite_queries_train_at_full_size_on_all_columns(spark, monkeypatch, nam
     many = ["c_name"] if name == "train_suite_binary" else ["o_orderdate", "o_custkey"]
     assert seen["options"] == SuiteOptions() and set(many) <= set(seen["columns"])
     assert "training_time_seconds" not in out.columns
+
+
+def test_training_rows_of_one_partition_are_spread(spark):
+    one = spark.range(35_000).coalesce(1).withColumn("label", F.col("id") % 2)
+    spread = training._spread(one, 35_000)
+    assert spread.rdd.getNumPartitions() == 3 and max(spread.rdd.glom().map(len).collect()) < 12_000
+    assert spread.agg(F.sum("id")).first()[0] == sum(range(35_000))
+    assert training._spread(one, 19_999).rdd.getNumPartitions() == 1
+    assert training._spread(one, 900_000).rdd.getNumPartitions() == 36

@@ -122,22 +122,30 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def sketches(docs: DataFrame, options: NearDupOptions, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, n, set_id, bands, regs) of every row; set_id, bands and regs are NULL without words."""
+    """(id, n, set_id, regs) of every row; set_id and regs are NULL without words."""
     hashes = WordHashes()
 
     def compute(batch):
-        n, ids, keys, regs = [], [], [], []
+        n, ids, regs = [], [], []
         for text in texts(batch, "text"):
             s = shingle_set(text, options.words, hashes)
             n.append(len(s))
-            r = registers(s) if len(s) else None
-            ids.append(None if r is None else xxhash.xxh3_128_digest(s.tobytes()))
-            keys.append(None if r is None else bands(r, options.rows_per_band))
-            regs.append(None if r is None else r.view(np.int16))
-        return [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(regs, pa.list_(pa.int16()))]
+            ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+            regs.append(registers(s).view(np.int16) if len(s) else None)
+        return [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(regs, pa.list_(pa.int16()))]
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return add_columns(rows, "n long, set_id binary, bands array<long>, regs array<short>", compute).drop("text")
+    return add_columns(rows, "n long, set_id binary, regs array<short>", compute).drop("text")
+
+
+def _with_bands(classes: DataFrame, options: NearDupOptions) -> DataFrame:
+    """``classes`` with the band keys, which follow from ``regs`` and so need not travel with them."""
+
+    def compute(batch):
+        regs = batch.column("regs").flatten().to_numpy().view(np.uint16).reshape(-1, REGISTERS)
+        return [pa.array([bands(r, options.rows_per_band) for r in regs], pa.list_(pa.int64()))]
+
+    return add_columns(classes, "bands array<long>", compute)
 
 
 def _sets(docs: DataFrame, ids: DataFrame, most: int, options: NearDupOptions, id_col: str, text_col: str, listed: bool = False) -> DataFrame:
@@ -165,9 +173,15 @@ def _near(percent: int, n: tuple[str, str], regs: tuple[str, str]) -> Column:
     return alike & (same / filled - COLLISION * 2.0**-MANTISSA_BITS >= least - error)
 
 
+def _sides(classes: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """(id, n, regs) of the classes in ``ids`` (``most`` rows at the most); the registers of the others are not shuffled."""
+    return classes.select("id", "n", "regs").join(bounded_broadcast(ids.distinct(), most, 16), "id", "left_semi")
+
+
 def _plausible(pairs: DataFrame, classes: DataFrame, options: NearDupOptions) -> DataFrame:
     """The pairs whose estimated similarity is not clearly under the threshold."""
-    side = classes.select("id", "n", "regs")
+    pairs = stored(pairs, "pairs")
+    side = _sides(classes, pairs.select(F.col("a").alias("id")).union(pairs.select("b")), 2 * pairs.count())
     wide = pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b")
     return wide.where(_near(options.percent, ("na", "nb"), ("ra", "rb"))).select("a", "b")
 
@@ -191,34 +205,42 @@ def _links(docs: DataFrame, pairs: DataFrame, options: NearDupOptions, id_col: s
 
 
 def _mixed_groups(keyed: DataFrame, roots: DataFrame) -> DataFrame:
-    """The columns of ``keyed`` (key, id and others), root, main, members and outsiders of the groups that hold several components.
+    """key, id, root, main, members and outsiders of the groups of ``keyed`` (key, id) that hold several components.
 
-    ``main`` marks the members of the group's largest component, ``outsiders`` counts the others.
+    ``main`` marks the members of the group's largest component, ``outsiders`` counts the others. Of groups with the same
+    members, as most bands of near copies are, only that of the smallest key is returned.
     """
-    labelled = keyed.join(bounded_broadcast(roots, roots.count(), 16), "id", "left").select(*keyed.columns, F.coalesce("root", "id").alias("root"))
-    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("members"))
-    mixed = largest.where("top.n < members").select("key", "members", F.col("top.root").alias("top"), (F.col("members") - F.col("top.n")).alias("outsiders"))
-    return labelled.join(mixed, "key").select(*keyed.columns, "root", (F.col("root") == F.col("top")).alias("main"), "members", "outsiders")
+    labelled = keyed.join(bounded_broadcast(roots, roots.count(), 16), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    # sums, as an id that is repeated counts each time
+    digest = [F.sum(F.xxhash64("id", F.lit(k)).cast("decimal(20,0)")).alias(f"d{k}") for k in range(2)]
+    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("n"), *digest)
+    largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("members"), F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
+    mixed = largest.where("top.n < members").groupBy("members", "d0", "d1").agg(F.min(F.struct("key", "top")).alias("g"))
+    mixed = mixed.select("g.key", "members", F.col("g.top.root").alias("top"), (F.col("members") - F.col("g.top.n")).alias("outsiders"))
+    return labelled.join(mixed, "key").select("key", "id", "root", (F.col("root") == F.col("top")).alias("main"), "members", "outsiders")
 
 
 def _by_work(keyed: DataFrame, roots: DataFrame, options: NearDupOptions):
-    """The mixed groups with few pairs between components, those with many, and whether there are any of these; None without mixed groups."""
+    """The mixed groups with few pairs between components, those with many, and whether there are any of these; None without mixed groups.
+
+    Both have ``keys``, all mixed groups of the member.
+    """
     left = stored(_mixed_groups(keyed, roots), "left")
     work = F.col("outsiders") * F.col("members")
-    most = left.agg(F.max(work)).first()[0]
+    most, rows = left.agg(F.max(work), F.count("*")).first()
     if most is None:
         return None, None, False
+    left = stored(left.join(few_tasks(left.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys")), rows), "id"), "left")
     return left.where(work <= options.group_pairs), left.where(work > options.group_pairs), most > options.group_pairs
 
 
 def _across(members: DataFrame, asks: Column, classes: DataFrame, percent: int) -> DataFrame:
     """Plausible pairs (a > b) of members of one group, one of which ``asks``, that are in different components.
 
-    ``keys`` are a member's groups, its bands unless it names others. A pair that shares several groups is made in that of
-    the smallest key only, and once if both ask.
+    ``keys`` are a member's groups. A pair that shares several groups is made in that of the smallest key only, and once if
+    both ask.
     """
-    wide = members.withColumn("asks", asks).join(classes.select("id", "n", "regs", *([] if "keys" in members.columns else [F.col("bands").alias("keys")])), "id")
+    wide = members.withColumn("asks", asks).join(_sides(classes, members.select("id"), members.count()), "id")
     side = lambda c: [F.col(n).alias(a) for n, a in zip(("id", "root", "n", "keys", "regs", "asks"), (c, f"r{c}", f"n{c}", f"k{c}", f"s{c}", f"a{c}"))]
     x, y = wide.where("asks").select("key", *side("x")).drop("ax"), wide.select("key", *side("y"))
     new = (F.col("rx") != F.col("ry")) & (~F.col("ay") | (F.col("x") > F.col("y")))
@@ -228,7 +250,7 @@ def _across(members: DataFrame, asks: Column, classes: DataFrame, percent: int)
 
 
 def _rare_shingles(docs: DataFrame, ids: DataFrame, options: NearDupOptions, id_col: str, text_col: str) -> DataFrame:
-    """(key, id, keys): the rarest shingles of each document, so many that two documents over the threshold share one (prefix filter)."""
+    """(key, id): the rarest shingles of each document, so many that two documents over the threshold share one (prefix filter)."""
     sets = _sets(docs, ids, ids.count(), options, id_col, text_col, listed=True)
     each = stored(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
     often = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
@@ -236,7 +258,7 @@ def _rare_shingles(docs: DataFrame, ids: DataFrame, options: NearDupOptions, id_
     # shingles of one document only come first and pair it with none
     prefix = F.col("n") - F.ceil(F.col("n") * options.percent / 100) + 1 - (F.col("n") - F.size("s"))
     rare = F.slice("s", 1, F.greatest(prefix, F.lit(0)).cast("int"))["shingle"]
-    return ranked.select("id", rare.alias("keys")).select(F.explode("keys").alias("key"), "id", "keys")
+    return ranked.select(F.explode(rare).alias("key"), "id")
 
 
 def _overlaps(sets: list[np.ndarray]):
@@ -307,7 +329,7 @@ def near_duplicates(docs: DataFrame, options: NearDupOptions | None = None, id_c
     o = options or NearDupOptions()
     rows = stored(sketches(docs, o, id_col, text_col), "sketches")
     usable = rows.where("set_id IS NOT NULL AND id IS NOT NULL")
-    classes = stored(usable.groupBy("set_id").agg(F.min(F.struct("id", "n", "bands", "regs")).alias("c")).select("set_id", "c.*"), "classes")
+    classes = stored(_with_bands(usable.groupBy("set_id").agg(F.min(F.struct("id", "n", "regs")).alias("c")).select("set_id", "c.*"), o), "classes")
     banded = classes.select("id", F.explode("bands").alias("key"))
     # band keys that at least two classes share
     shared = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("centre")).where("members > 1")

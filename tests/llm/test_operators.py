@@ -354,6 +354,29 @@ def test_pairs_of_a_group_are_made_once_and_only_if_plausible(spark):
     assert [(r["a"], r["b"]) for r in pairs] == [(2, 1)]
 
 
+def test_groups_of_the_same_members_are_taken_once(spark):
+    groups = {1: [5, 6, 7], 2: [7, 6, 5], 3: [5, 5, 7], 4: [6, 6, 7], 5: [6, 7], 6: [5, 6], 7: [5, 6, 7]}
+    keyed = spark.createDataFrame([(k, i) for k, ids in groups.items() for i in ids], "key long, id long")
+    roots = spark.createDataFrame([(5, 5), (6, 5)], "id long, root long")
+    few, many, crowded = neardup._by_work(keyed, roots, neardup.NearDupOptions())
+    got = sorted((r["key"], r["id"], r["root"], r["main"], r["members"], r["outsiders"]) for r in few.collect())
+    assert got == sorted((k, i, 7 if i == 7 else 5, i != 7 if k != 5 else i == 7, len(groups[k]), 1) for k in (1, 3, 4, 5) for i in groups[k])
+    assert {(r["id"], tuple(r["keys"])) for r in few.collect()} == {(5, (1, 3)), (6, (1, 4, 5)), (7, (1, 3, 4, 5))}
+    assert many.count() == 0 and not crowded
+
+
+def test_registers_of_classes_in_no_pair_are_not_shuffled(spark):
+    words = lambda i: " ".join(f"u{i}x{k}" for k in range(40))
+    docs = spark.createDataFrame([(i, words(i)) for i in range(50)], "doc_id long, text string")
+    options = neardup.NearDupOptions(words=2)
+    classes = neardup.sketches(docs, options)
+    assert "bands" not in classes.columns
+    banded = neardup._with_bands(classes, options).collect()
+    assert all(r["bands"] == neardup.bands(np.array(r["regs"], np.int16).view(np.uint16), options.rows_per_band).tolist() for r in banded)
+    sides = neardup._sides(classes, spark.createDataFrame([(3,), (3,), (7,)], "id long"), 3)
+    assert sorted(r["id"] for r in sides.collect()) == [3, 7]
+
+
 def test_register_estimate():
     rng = np.random.default_rng(1)
     a = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))

@@ -46,6 +46,8 @@ COLLISION = 0.169919487159739
 _MIX1, _MIX2, _STEP = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 _PROBES = np.argsort(np.random.default_rng(20).random((REGISTERS, REGISTERS)), axis=1)
 _MEMO = 1 << 17
+#: Rows of texts, registers or shingle sets that go to Python at once, and pairs of blocks of sets.
+_BATCH, _BLOCK_PAIRS = 1_000, 8
 
 
 @dataclass(frozen=True)
@@ -190,7 +192,7 @@ def _links(docs: DataFrame, pairs: DataFrame, options: NearDupOptions, id_col: s
     """The plausible pairs (a, b) confirmed on their full shingle sets."""
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    sets = stored(_sets(docs, ids, 2 * pairs.count(), options, id_col, text_col), "sets")
+    sets = stored(_sets(docs, ids, 2 * pairs.count(), options, id_col, text_col), "sets", _BATCH)
     wide = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
 
     def confirm(batch):
@@ -201,7 +203,7 @@ def _links(docs: DataFrame, pairs: DataFrame, options: NearDupOptions, id_col: s
             out.append(100 * both >= options.percent * (len(sa) + len(sb) - both))
         return [pa.array(out, pa.bool_())]
 
-    return stored(add_columns(wide, "linked boolean", confirm).where("linked").select("a", "b"), "links")
+    return stored(add_columns(wide, "linked boolean", confirm).where("linked").select("a", "b"), "links", _BATCH)
 
 
 def _mixed_groups(keyed: DataFrame, roots: DataFrame) -> DataFrame:
@@ -252,7 +254,7 @@ def _across(members: DataFrame, asks: Column, classes: DataFrame, percent: int)
 def _rare_shingles(docs: DataFrame, ids: DataFrame, options: NearDupOptions, id_col: str, text_col: str) -> DataFrame:
     """(key, id): the rarest shingles of each document, so many that two documents over the threshold share one (prefix filter)."""
     sets = _sets(docs, ids, ids.count(), options, id_col, text_col, listed=True)
-    each = stored(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles")
+    each = stored(sets.select("id", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")), "shingles", _BATCH)
     often = each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1")
     ranked = each.join(often, "shingle").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("c", "shingle"))).alias("s"))
     # shingles of one document only come first and pair it with none
@@ -281,7 +283,7 @@ def _overlaps(sets: list[np.ndarray]):
 
 def _block_links(docs: DataFrame, many: DataFrame, options: NearDupOptions, id_col: str, text_col: str) -> DataFrame:
     """Links (a > b) between the outsiders of large groups and all their members, block against block, on full sets."""
-    sets = stored(_sets(docs, many.select("id"), many.count(), options, id_col, text_col), "sets")
+    sets = stored(_sets(docs, many.select("id"), many.count(), options, id_col, text_col), "sets", _BATCH)
     rows = many.withColumn("earlier", F.filter("keys", lambda k: k < F.col("key"))).join(sets, "id")
 
     def blocks(part: DataFrame, size: str) -> DataFrame:
@@ -327,9 +329,9 @@ def _relabelled(roots: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, options: NearDupOptions | None = None, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, n, component) of every row of ``docs``; component is the smallest id reachable over links."""
     o = options or NearDupOptions()
-    rows = stored(sketches(docs, o, id_col, text_col), "sketches")
+    rows = stored(sketches(docs, o, id_col, text_col), "sketches", _BATCH)
     usable = rows.where("set_id IS NOT NULL AND id IS NOT NULL")
-    classes = stored(_with_bands(usable.groupBy("set_id").agg(F.min(F.struct("id", "n", "regs")).alias("c")).select("set_id", "c.*"), o), "classes")
+    classes = stored(_with_bands(usable.groupBy("set_id").agg(F.min(F.struct("id", "n", "regs")).alias("c")).select("set_id", "c.*"), o), "classes", _BATCH)
     banded = classes.select("id", F.explode("bands").alias("key"))
     # band keys that at least two classes share
     shared = banded.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("centre")).where("members > 1")
@@ -354,7 +356,7 @@ def near_duplicates(docs: DataFrame, options: NearDupOptions | None = None, id_c
             if few is not None:
                 pairs = pairs.union(_across(few, ~F.col("main"), classes, o.percent))
             if crowded:
-                block_links = stored(_block_links(docs, many, o, id_col, text_col), "links")
+                block_links = stored(_block_links(docs, many, o, id_col, text_col), "links", _BLOCK_PAIRS)
         found = _links(docs, pairs.distinct(), o, id_col, text_col)
         roots = stored(_relabelled(roots, found if block_links is None else found.union(block_links)), "roots")
         if turn == 0 and not crowded:

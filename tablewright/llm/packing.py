@@ -33,6 +33,8 @@ SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 _ENCODERS: dict = {}
 # The faster library overflows its stack on white space of about a million characters.
 _BLANK = 5_000
+#: Texts that go to Python at once; their ids leave together.
+_BATCH = 1_000
 
 
 @dataclass(frozen=True)
@@ -220,7 +222,7 @@ def pack(docs: DataFrame, options: PackOptions, text_col="text") -> tuple[DataFr
     """(documents, pieces): the stored tokenised documents with an array column ``pieces`` of
     (start, length, sequence_id, offset), and one row per piece with its ids (binary) and the document's other columns."""
     spark = docs.sparkSession
-    table = stored(tokenised(docs, options, text_col), "tokens")
+    table = stored(tokenised(docs, options, text_col), "tokens", _BATCH)
     per = stored(table.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum(F.expr(f"n_ids div {options.size}")).alias("b")), "lengths")
     totals = per.groupBy("rest").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).orderBy("rest").collect()  # at most `size` rows
     patterns = pack_histogram({r["rest"]: r["n"] for r in totals}, options.size, options.min_cut)

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
@@ -354,6 +355,14 @@ def test_pairs_of_a_group_are_made_once_and_only_if_plausible(spark):
     assert [(r["a"], r["b"]) for r in pairs] == [(2, 1)]
 
 
+def test_stored_bounds_the_rows_that_python_gets_at_once(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    sizes = spark.range(0, 100, 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    before = spark.conf.get(name)
+    got = [r["n"] for r in tables.stored(sizes, "sizes", 7).collect()]
+    assert max(got) <= 7 and sum(got) == 100 and spark.conf.get(name) == before
+
+
 def test_groups_of_the_same_members_are_taken_once(spark):
     groups = {1: [5, 6, 7], 2: [7, 6, 5], 3: [5, 5, 7], 4: [6, 6, 7], 5: [6, 7], 6: [5, 6], 7: [5, 6, 7]}
     keyed = spark.createDataFrame([(k, i) for k, ids in groups.items() for i in ids], "key long, id long")

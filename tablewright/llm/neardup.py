@@ -232,17 +232,26 @@ def _by_work(keyed: DataFrame, roots: DataFrame, options: NearDupOptions):
     most, rows = left.agg(F.max(work), F.count("*")).first()
     if most is None:
         return None, None, False
-    left = stored(left.join(few_tasks(left.groupBy("id").agg(F.array_sort(F.collect_set("key")).alias("keys")), rows), "id"), "left")
+    mine = few_tasks(left.groupBy("id", "root").agg(F.collect_list(F.struct("key", "main", "members", "outsiders")).alias("mine")), rows)
+    left = stored(mine.select("id", "root", F.array_sort(F.array_distinct("mine.key")).alias("keys"), F.explode("mine").alias("g")).select("g.*", "id", "root", "keys"), "left")
     return left.where(work <= options.group_pairs), left.where(work > options.group_pairs), most > options.group_pairs
 
 
+def _joined_once(members: DataFrame, side: DataFrame) -> DataFrame:
+    """``members`` with the columns of ``side`` (id, ...), which are joined once for each id and not for each of its groups."""
+    own = ("id", "root", "keys")  # the same in all groups of a member
+    mine = members.groupBy("id", "root").agg(F.first("keys").alias("keys"), F.collect_list(F.struct(*[c for c in members.columns if c not in own])).alias("mine"))
+    wide = mine.join(side, "id")
+    return wide.select(*[c for c in wide.columns if c != "mine"], F.explode("mine").alias("g")).select("*", "g.*").drop("g")
+
+
 def _across(members: DataFrame, asks: Column, classes: DataFrame, percent: int) -> DataFrame:
     """Plausible pairs (a > b) of members of one group, one of which ``asks``, that are in different components.
 
     ``keys`` are a member's groups. A pair that shares several groups is made in that of the smallest key only, and once if
     both ask.
     """
-    wide = members.withColumn("asks", asks).join(_sides(classes, members.select("id"), members.count()), "id")
+    wide = _joined_once(members.select("key", "id", "root", "keys", asks.alias("asks")), _sides(classes, members.select("id"), members.count()))
     side = lambda c: [F.col(n).alias(a) for n, a in zip(("id", "root", "n", "keys", "regs", "asks"), (c, f"r{c}", f"n{c}", f"k{c}", f"s{c}", f"a{c}"))]
     x, y = wide.where("asks").select("key", *side("x")).drop("ax"), wide.select("key", *side("y"))
     new = (F.col("rx") != F.col("ry")) & (~F.col("ay") | (F.col("x") > F.col("y")))
@@ -284,7 +293,7 @@ def _overlaps(sets: list[np.ndarray]):
 def _block_links(docs: DataFrame, many: DataFrame, options: NearDupOptions, id_col: str, text_col: str) -> DataFrame:
     """Links (a > b) between the outsiders of large groups and all their members, block against block, on full sets."""
     sets = stored(_sets(docs, many.select("id"), many.count(), options, id_col, text_col), "sets", _BATCH)
-    rows = many.withColumn("earlier", F.filter("keys", lambda k: k < F.col("key"))).join(sets, "id")
+    rows = _joined_once(many, sets).withColumn("earlier", F.filter("keys", lambda k: k < F.col("key")))
 
     def blocks(part: DataFrame, size: str) -> DataFrame:
         block = F.pmod(F.xxhash64("id"), F.ceil(F.col(size) / options.block).cast("long"))

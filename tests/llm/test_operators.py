@@ -374,6 +374,37 @@ def test_groups_of_the_same_members_are_taken_once(spark):
     assert many.count() == 0 and not crowded
 
 
+def rows_of_joins(df, key):
+    """Rows that the joins of ``df`` on ``key`` made while it was collected, without adaptive execution."""
+    nodes, rows = [df._jdf.queryExecution().executedPlan()], 0
+    for node in nodes:
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if f"Join [{key}#" in node.simpleString(50):
+            rows += node.metrics().apply("numOutputRows").value()
+    return rows
+
+
+def test_registers_meet_a_member_once_and_not_in_each_of_its_groups(spark):
+    words = [f"n{k}" for k in range(120)]
+    docs = spark.createDataFrame([(i, " ".join(words[i:])) for i in range(1, 6)], "doc_id long, text string")
+    options = neardup.NearDupOptions(words=2)
+    classes = neardup.sketches(docs, options)
+    keyed = spark.createDataFrame([(k, i) for k in range(40) for i in range(1, 6) if i != 1 + k % 5], "key long, id long")
+    few, _, _ = neardup._by_work(keyed, spark.createDataFrame([(1, 1), (2, 1)], "id long, root long"), options)
+    assert few.count() == 20  # of groups of the same members one is left
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        pairs = neardup._across(few, ~F.col("main"), classes, options.percent)
+        got = sorted((r["a"], r["b"]) for r in pairs.collect())
+        rows = rows_of_joins(pairs, "id")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert got == sorted({(a, b) for a in range(1, 6) for b in range(1, a)} - {(2, 1)})
+    # on either side of the pairs: 5 classes in a group and 5 members with their registers, not 20
+    assert rows == 20
+
+
 def test_registers_of_classes_in_no_pair_are_not_shuffled(spark):
     words = lambda i: " ".join(f"u{i}x{k}" for k in range(40))
     docs = spark.createDataFrame([(i, words(i)) for i in range(50)], "doc_id long, text string")

@@ -301,3 +301,55 @@ def test_training_rows_of_one_partition_are_spread(spark):
     assert spread.agg(F.sum("id")).first()[0] == sum(range(35_000))
     assert training._spread(one, 19_999).rdd.getNumPartitions() == 1
     assert training._spread(one, 900_000).rdd.getNumPartitions() == 36
+
+
+@pytest.mark.parametrize("kind", [BINARY, MULTICLASS, REGRESSION])
+def test_forests_grow_in_parts_on_few_partitions(spark, monkeypatch, tmp_path, kind):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
+
+    from tablewright.plans import forest
+    from tablewright.plans.training import estimators, fit_model
+
+    label = {BINARY: F.col("id") % 2, MULTICLASS: F.col("id") % 3, REGRESSION: F.col("id") / 10}[kind]
+    rows = spark.range(600).select((F.col("id") % 6).alias("a"), F.hash("id").alias("b"), label.cast("double").alias("label"))
+    train = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows).select("features", "label").repartition(6)
+    estimator = estimators(Target("y", kind), 600, SuiteOptions(trees=23, forest_depth=5))["random_forest"]
+    learner = RandomForestRegressor if kind == REGRESSION else RandomForestClassifier
+    fits, fit = [], learner.fit
+
+    def seen(self, df, *rest):
+        fits.append((self.getNumTrees(), self.getSeed(), (self.getMaxDepth(), df.rdd.getNumPartitions(), df.count())))
+        return fit(self, df, *rest)
+
+    monkeypatch.setattr(learner, "fit", seen)
+    monkeypatch.setattr(forest, "WHOLE_ROWS", 100)
+    monkeypatch.setattr(forest, "PARTITION_ROWS", 300)
+    classes = {BINARY: 2, MULTICLASS: 3, REGRESSION: 0}[kind]
+    model = fit_model(estimator, train, classes)
+    # all trees at the same depth on all rows, in parts with seeds of their own
+    assert sorted(n for n, *_ in fits) == [3, 10, 10] and len({s for _, s, *_ in fits}) == 3
+    assert {rest for *_, rest in fits} == {(5, 2, 600)}
+    stage = model.stages[0]
+    assert len(stage.trees) == 23 and len({t.toDebugString for t in stage.trees}) > 20
+    assert stage.getOrDefault("numTrees") == stage._java_obj.getNumTrees() == 23 and stage.getOrDefault("maxDepth") == 5 and stage.numFeatures == 2
+    output = "prediction" if kind == REGRESSION else "probability"
+    read = lambda m: [r[0] for r in m.transform(train).orderBy("features").select(output).collect()]
+    found = read(model)
+    if kind == REGRESSION:  # the mean of the trees
+        first = train.orderBy("features").first()["features"]
+        assert found[0] == pytest.approx(sum(t._call_java("predict", first) for t in stage.trees) / 23)
+    else:
+        assert all(sum(p) == pytest.approx(1.0) and len(p) == classes for p in found)
+    # the same rows and seed give the same forest, and a saved one is the same
+    assert read(fit_model(estimator, train, classes)) == found
+    model.write().save(f"{tmp_path}/m")
+    back = PipelineModel.load(f"{tmp_path}/m")
+    assert isinstance(back.stages[0], (RandomForestClassificationModel, RandomForestRegressionModel))
+    assert len(back.stages[0].trees) == 23 and read(back) == found
+    # a small table keeps one forest
+    fits.clear()
+    monkeypatch.setattr(forest, "WHOLE_ROWS", 600)
+    assert len(fit_model(estimator, train, classes).stages[0].trees) == 23 and [n for n, *_ in fits] == [23]

@@ -5,7 +5,8 @@ the tokens are (a year of four digits, a number, the name of a month) decides
 by a small grammar which of them is the year, the month and the day, in column
 expressions that stay in generated code. Of two leading numbers the first is the
 month, unless it is above 12. Years of two digits are 1969 to 2068; a year
-alone is a date from 1678 to 2261. A zone or an offset is read and does not
+alone is a date from 1678 to 2261. A year above 9999 carries a sign and comes first, as ISO 8601 and
+Spark's own rendering write it (+12345-01-31), up to +293999, where timestamps end. A zone or an offset is read and does not
 move the date: the parts are those that are written.
 """
 
@@ -38,6 +39,7 @@ def _moment(t: Column, clock: Column) -> Column:
     size = F.size(t)
     a, b, c = (F.get(t, k) for k in range(3))
     year = lambda x: x.rlike("^[0-9]{4}$")
+    late = lambda x: x.rlike("^[+](1?[0-9]{5}|2[0-8][0-9]{4}|29[0-3][0-9]{3})$")
     number = lambda x: x.rlike("^[0-9]{1,2}$")
     value = lambda x: x.cast("int")
     name = lambda x: F.element_at(_months(), F.regexp_replace(x, "[.]$", ""))
@@ -45,7 +47,7 @@ def _moment(t: Column, clock: Column) -> Column:
     ymd = lambda y, m, d: F.struct(y.alias("y"), m.alias("m"), d.alias("d"))
     swapped = (value(a) > 12) & (value(b) <= 12)
     three = (
-        F.when(year(a) & number(b) & number(c), ymd(value(a), value(b), value(c)))
+        F.when((year(a) | late(a)) & number(b) & number(c), ymd(value(a), value(b), value(c)))
         .when(year(a) & number(c), ymd(value(a), name(b), value(c)))
         .when(number(a) & number(b), ymd(full(c), F.when(swapped, value(b)).otherwise(value(a)), F.when(swapped, value(a)).otherwise(value(b))))
         .when(number(a), ymd(full(c), name(b), value(a)))

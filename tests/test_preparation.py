@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablewright.constants import BINARY, MULTICLASS, REGRESSION
+from tablewright.functions.dates import parsed_date
 from tablewright.operators import lookup, ranking, split as split_module
 from tablewright.operators.encode import label_encode, ordinal_codes
 from tablewright.operators.features import add_value_encodings, correlated_drops, date_columns, interaction_names
@@ -198,6 +199,20 @@ def test_date_columns(spark):
     assert date_columns(df) == ["iso", "named"]
 
 
+def test_years_above_9999_are_dates(spark, tmp_path):
+    from tablewright.catalog.features import engineered
+
+    spelt = {"+10000-02-07": (10000, 2), "+179400-12-31T10:30:00Z": (179400, 12), "+293999-01-01": (293999, 1), "+294000-01-01": None, "+999999-01-01": None, "+10000-02-30": None, "+1995-01-01": None, "12345-01-01": None}
+    d = parsed_date(df := spark.createDataFrame([(t,) for t in spelt], "t string"), "t")
+    assert {r[0]: None if r[1] is None else (r[1], r[2]) for r in df.select("t", F.year(d), F.month(d)).collect()} == spelt
+    # most dates of these parts have more than four digits
+    key = (F.col("id") * 400_000 + 7).alias("p_partkey")
+    parts = spark.range(12).select(key, F.lit("a").alias("p_name"), F.lit("b").alias("p_brand"), (F.col("id") % 5).cast("int").alias("p_size"), (F.col("id") % 3 + 1.0).alias("p_retailprice"))
+    parts.write.parquet(f"{tmp_path}/part.parquet")
+    years = {r["p_partkey"]: int(r["made_year"]) for r in engineered(spark, str(tmp_path)).collect()}
+    assert len(years) == 12 and all(abs(y - 1995 - k * 9 / 365.2425) < 1.01 for k, y in years.items())
+
+
 def test_large_lookups_grow_linearly(spark, monkeypatch):
     monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
     rows = spark.range(400).select("id", *[F.when(F.col("id") % 3 > 0, F.col("id") % (50 + k)).alias(f"c{k}") for k in range(4)])
